@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideglass.llm._common import table
+from tideglass.llm._common import shared_dir, table
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +17,16 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op10_simhash_near_dedup": op10_simhash_near_dedup}
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tideglass.llm import token_files
+
+    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.encode_documents(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_files.decode_documents(spark, folder)
+
+
+QUERIES = {"op5_token_files": op5_token_files, "op10_simhash_near_dedup": op10_simhash_near_dedup}
 
 ORACLE_SQL: dict[str, str] = {}
