@@ -17,6 +17,20 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideglass.llm import decontaminate
+
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -27,6 +41,6 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.decode_documents(spark, folder)
 
 
-QUERIES = {"op5_token_files": op5_token_files, "op10_simhash_near_dedup": op10_simhash_near_dedup}
+QUERIES = {"op2_benchmark_decontamination": op2_benchmark_decontamination, "op5_token_files": op5_token_files, "op10_simhash_near_dedup": op10_simhash_near_dedup}
 
 ORACLE_SQL: dict[str, str] = {}
