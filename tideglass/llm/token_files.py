@@ -14,6 +14,7 @@ kept, ordered by text hash; an empty table gives an empty file set; other column
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ ESCAPE = 15
 #: The bits that ids under 2 ** 16 need.
 _BITS = np.maximum(1, np.frexp(np.arange(1 << 16).astype(float))[1]).astype(np.int8)
 #: Ids that a block gathers before it is written, and cached words of text.
-BLOCK_IDS, CACHED = 1 << 16, 3 << 18
+BLOCK_IDS, CACHED = 1 << 16, 1 << 19
 # --- Simple-8b ----------------------------------------------------------------------------------
 
 
@@ -115,16 +116,6 @@ def unpack(words: np.ndarray) -> np.ndarray:
 # --- texts to ids -------------------------------------------------------------------------------
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 #: Of a tokenizer that may be asked word by word: it lower-cases, drops white space, and cuts words into these pieces.
 _WORDWISE = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -151,9 +142,10 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import pre_tokenizers
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = _tokenizer(path)
+        self.tokenizer = Tokenizer.from_file(path)
         setup = json.loads(self.tokenizer.to_str())
         self.wordwise = all(setup[k] == v for k, v in _WORDWISE.items()) and setup["model"]["type"] == "BPE"
         self.model = self.tokenizer.model
@@ -196,13 +188,19 @@ class Encoder:
         return [self._encode([t])[0] if w is None else b"".join(map(get, w)) for t, w in zip(texts, split)]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker, so that its cache stays."""
+    return Encoder(path)
+
+
 SCHEMA = "shard int, before bigint, n_ids bigint, doc_ids array<{id}>, word_start array<bigint>, id_start array<bigint>, words binary"
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    encoder, shard = Encoder(path), TaskContext.get().partitionId()
+    encoder, shard = _encoder(path), TaskContext.get().partitionId()
     ids, coded, size, before = [], [], 0, 0
     end = np.array([end_id], "<u4").tobytes()
 
