@@ -31,6 +31,21 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideglass.llm import quality_rules
+
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "rule")
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideglass.llm import mixing
+
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs, mixing.repeating_weights(docs, (3.0, 1.0, 2.0)), share=1.5, cap=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,6 +56,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.decode_documents(spark, folder)
 
 
-QUERIES = {"op2_benchmark_decontamination": op2_benchmark_decontamination, "op5_token_files": op5_token_files, "op10_simhash_near_dedup": op10_simhash_near_dedup}
+QUERIES = {
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_mix_sources": op4_mix_sources,
+    "op5_token_files": op5_token_files,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
+}
 
 ORACLE_SQL: dict[str, str] = {}
