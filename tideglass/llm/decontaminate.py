@@ -194,23 +194,27 @@ def _char_spans(text: bytes, spans: list[tuple[int, int]]) -> list[dict]:
     return [{"start": chars(at[a][0]), "end": chars(at[b - 1][1])} for a, b in spans]
 
 
-def _search(batches: Iterator[pa.RecordBatch], blocks: list, window: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    held: list[Phrases | None] = [None]
+class _Searcher:
+    """Searches shards of whole texts for all blocks of phrases."""
+
+    def __init__(self, blocks: list, window: int):
+        self.blocks, self.window, self.held = blocks, window, None
 
-    def block_phrases(k: int) -> Phrases:
-        if len(blocks) > 1 or held[0] is None:
-            held[0] = Phrases(blocks[k].value, window)
-        return held[0]
+    def _phrases(self, k: int) -> Phrases:
+        if len(self.blocks) > 1 or self.held is None:
+            self.held = Phrases(self.blocks[k].value, self.window)
+        return self.held
 
-    def shard(ids: list, texts: list[bytes | None]) -> pa.RecordBatch:
+    def shard(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[set[str]], list[list[tuple[int, int]]]]:
+        """For each text: its words, those hit, the items found, and the merged spans of words."""
         split = [words(t) for t in texts]
         sizes = np.array([len(w) for w in split], np.int64)
         starts = np.cumsum(sizes) - sizes
         total = int(sizes.sum())
         edges = np.zeros(total + 1, np.int64)
-        items: list[set[str]] = [set() for _ in ids]
-        for k in range(len(blocks)):
-            phrases = block_phrases(k)
+        items: list[set[str]] = [set() for _ in texts]
+        for k in range(len(self.blocks)):
+            phrases = self._phrases(k)
             number = phrases.number.get
             numbers = np.fromiter((number(w, 0) for ws in split for w in ws), np.int64, total)
             for place, phrase, of, n in _occurrences(numbers, starts, phrases):
@@ -220,39 +224,54 @@ def _search(batches: Iterator[pa.RecordBatch], blocks: list, window: int, id_typ
                 for pair in np.unique(doc * len(of) + phrase).tolist():
                     items[pair // len(of)].update(of[pair % len(of)])
         hit = np.cumsum(edges[:-1]) > 0
-        spans, n_hit = [], np.zeros(len(ids), np.int64)
+        spans, n_hit = [], np.zeros(len(texts), np.int64)
         for k, found in enumerate(items):
-            if not found:
-                spans.append([])
-                continue
-            own = hit[starts[k] : starts[k] + sizes[k]].astype(np.int8)
-            turns = np.flatnonzero(np.diff(np.r_[0, own, 0])).reshape(-1, 2)
+            own = hit[starts[k] : starts[k] + sizes[k]].astype(np.int8) if found else np.zeros(0, np.int8)
             n_hit[k] = own.sum()
-            spans.append(_char_spans(texts[k], turns.tolist()))
-        columns = [(ids, id_type), (sizes, pa.int64()), (n_hit, pa.int64()), ([sorted(s) for s in items], pa.list_(pa.string())), (spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["doc_id", "n_words", "n_hit", "items", "spans"])
+            spans.append(np.flatnonzero(np.diff(np.r_[0, own, 0])).reshape(-1, 2).tolist())
+        return sizes, n_hit, items, spans
+
 
-    ids, texts, size = [], [], 0
+def _gathered(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[pa.RecordBatch], list[bytes | None]]]:
+    """Batches and their texts, gathered to shards of SHARD_WORDS words (counted as six bytes each) at least."""
+    held, texts, size = [], [], 0
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), text_bytes(batch, 1)):
-            ids.append(doc_id)
-            texts.append(text)
-            size += len(text or b"") // 6 + 1
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            new = list(text_bytes(part, column))
+            held.append(part)
+            texts += new
+            size += sum(len(t or b"") // 6 + 1 for t in new)
             if size >= SHARD_WORDS:
-                yield shard(ids, texts)
-                ids, texts, size = [], [], 0
-    if ids:
-        yield shard(ids, texts)
+                yield held, texts
+                held, texts, size = [], [], 0
+    if texts:
+        yield held, texts
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1 << 20) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, spans) of every row of docs.
-
-    A window is `window` consecutive words of an item, or all words of a shorter one. items: the item_ids
-    (as strings, sorted) with a window in the text; n_hit: words inside occurrences; spans: their merged
-    places as code points [start, end). benchmark: item_id, text.
-    """
-    context = docs.sparkSession.sparkContext
+def _search(batches: Iterator[pa.RecordBatch], blocks: list, window: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    searcher = _Searcher(blocks, window)
+    types = [id_type, pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
+    for held, texts in _gathered(batches, 1):
+        sizes, n_hit, items, spans = searcher.shard(texts)
+        ids = [x for part in held for x in part.column(0).to_pylist()]
+        columns = [ids, sizes, n_hit, [sorted(s) for s in items], [_char_spans(t, s) if s else [] for t, s in zip(texts, spans)]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "n_words", "n_hit", "items", "spans"])
+
+
+def _clean(batches: Iterator[pa.RecordBatch], blocks: list, window: int, column: int) -> Iterator[pa.RecordBatch]:
+    searcher = _Searcher(blocks, window)
+    for held, texts in _gathered(batches, column):
+        clean = searcher.shard(texts)[1] == 0
+        at = 0
+        for part in held:
+            yield part.filter(pa.array(clean[at : at + part.num_rows]))
+            at += part.num_rows
+
+
+def _blocks(benchmark: DataFrame, block_words: int) -> list:
+    """The items as broadcasts of at most about block_words words each."""
+    context = benchmark.sparkSession.sparkContext
     blocks, block, size = [], [], 0
     for row in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).toLocalIterator():
         item = words(bytes(row[1]) if row[1] is not None else None)
@@ -262,13 +281,28 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
         if size >= block_words:
             blocks.append(context.broadcast(block))
             block, size = [], 0
-    blocks.append(context.broadcast(block))
+    return [*blocks, context.broadcast(block)] if block or not blocks else blocks
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1 << 20) -> DataFrame:
+    """(doc_id, n_words, n_hit, items, spans) of every row of docs.
+
+    A window is `window` consecutive words of an item, or all words of a shorter one. items: the item_ids
+    (as strings, sorted) with a window in the text; n_hit: words inside occurrences; spans: their merged
+    places as code points [start, end). benchmark: item_id, text.
+    """
     kind = dict(docs.dtypes)["doc_id"]
     cols = docs.select(F.col("doc_id").cast("bigint" if kind != "string" else kind).alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    run = partial(_search, blocks=blocks, window=window, id_type=pa.string() if kind == "string" else pa.int64())
+    run = partial(_search, blocks=_blocks(benchmark, block_words), window=window, id_type=pa.string() if kind == "string" else pa.int64())
     return cols.mapInArrow(run, f"doc_id {dict(cols.dtypes)['doc_id']}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:int,end:int>>")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1 << 20) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text holds no window of an item. Nothing is joined or shuffled."""
+    run = partial(_clean, blocks=_blocks(benchmark, block_words), window=window, column=docs.columns.index("text"))
+    return docs.mapInArrow(run, docs.schema)
+
+
 def cut_spans(text: Column | str, spans: Column | str) -> Column:
     """text without its spans."""
     text, spans = (F.col(c) if isinstance(c, str) else c for c in (text, spans))

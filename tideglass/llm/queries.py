@@ -17,6 +17,15 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideglass.llm import language_id
+
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(~language_id.held_out()))
+    found = language_id.identify(docs.select("doc_id", "text"), model, reject=False)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), F.col("lang").alias("lang_pred"), "score", "entropy", "rejected")
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideglass.llm import decontaminate
 
@@ -57,6 +66,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_quality_rules": op3_quality_rules,
     "op4_mix_sources": op4_mix_sources,
