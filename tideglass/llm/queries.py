@@ -10,6 +10,27 @@ from pyspark.sql import functions as F
 from tideglass.llm._common import shared_dir, table
 
 
+def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 of low quality, 1 good but toxic, 2 good and not toxic; kept if grade 1 or more is likelier than not."""
+    from tideglass.llm import ordinal_quality
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+    model = ordinal_quality.train(docs, labels.select("doc_id", grade.alias("y")))
+    found = ordinal_quality.score(docs, model)
+    tail = F.coalesce(F.get("tails", F.lit(0)), F.lit(0.0))
+    return found.select("doc_id", "expected_grade", tail.alias("tail_probability"), (tail >= 0.5).alias("kept"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideglass.llm import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~toxicity.held_out()).select("doc_id", F.col("toxic").alias("y")))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("sentences").cast("bigint").alias("n_sentences"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideglass.llm import simhash
 
@@ -71,6 +92,8 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_mix_sources": op4_mix_sources,
     "op5_token_files": op5_token_files,
+    "op6_ordinal_quality": op6_ordinal_quality,
+    "op8_toxicity": op8_toxicity,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
