@@ -22,6 +22,12 @@ def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "expected_grade", tail.alias("tail_probability"), (tail >= 0.5).alias("kept"))
 
 
+def op7_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideglass.llm import sentence_dedup
+
+    return sentence_dedup.remove_repeated(table(spark, sf_dir, "documents"), min_words=40)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideglass.llm import toxicity
 
@@ -31,6 +37,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("sentences").cast("bigint").alias("n_sentences"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segmenter counts the words of page titles and of the urls themselves."""
+    from tideglass.llm import url_filter
+
+    pages = table(spark, sf_dir, "pages")
+    titles = pages.select(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("text"))
+    judged = url_filter.judge(pages.select("page_id", "url"), titles.unionByName(pages.select(F.col("url").alias("text"))))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "odds")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideglass.llm import simhash
 
@@ -93,7 +109,9 @@ QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op5_token_files": op5_token_files,
     "op6_ordinal_quality": op6_ordinal_quality,
+    "op7_sentence_dedup": op7_sentence_dedup,
     "op8_toxicity": op8_toxicity,
+    "op9_url_filter": op9_url_filter,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
