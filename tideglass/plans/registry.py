@@ -1,5 +1,6 @@
 """All registered queries with their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+from tideglass.plans import evaluation, graph, ingest, knowledge, memory, relational, retrieval, streams, text  # noqa: F401  they register their queries
+from tideglass.plans._base import ORACLE_SQL, QUERIES  # noqa: F401
+
+FLAGSHIP = "model_metrics"
