@@ -127,17 +127,24 @@ _WORDWISE = {
         ],
     },
 }
-#: White space at which a text may be cut before that; the words that can be lower-cased and cut here (ASCII and
-#: precomposed Latin letters, which normalization leaves alone); and their pieces.
+#: What a text may consist of to be lower-cased and cut into pieces here (ASCII and precomposed Latin letters,
+#: which normalization leaves alone), and its pieces. Other texts are cut at white space only.
+_LATIN = bytes([9, 10, 13, *range(32, 127), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^ \t\n\ra-z0-9\xdf-\xf6\xf8-\xff]+")
 _SPACE = re.compile("[ \t\n\r]+")
-_LATIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
-_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        return not text.encode("latin-1").translate(None, _LATIN)
+    except UnicodeEncodeError:
+        return False
 
 
 class Encoder:
     """Whole texts to ids by the tokenizers library.
 
-    A tokenizer set up as _WORDWISE gives a text the ids of its words, so each distinct word is asked
+    A tokenizer set up as _WORDWISE gives a text the ids of its pieces, so each distinct piece is asked
     for once and cached; other tokenizers, and texts that hold a special token's string, go to the library whole.
     """
 
@@ -158,34 +165,29 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _piece(self, piece: str) -> bytes:
-        code = self.pieces.get(piece)
-        if code is None:
-            code = self.pieces[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(piece.translate(self.bytewise))])
-        return code
-
-    def _learn(self, words: set[str]) -> None:
-        other = []
-        if len(self.pieces) > CACHED:
-            self.pieces = {}
-        for word in words:
-            if _LATIN.fullmatch(word):
-                self.words[word] = b"".join(map(self._piece, _PIECE.findall(word.lower())))
-            else:
-                other.append(word)
-        self.words.update(zip(other, self._encode(other)))
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        ids = self.model.tokenize
+        return [b"".join([t.id.to_bytes(4, "little") for t in ids(p.translate(self.bytewise))]) for p in pieces]
+
+    def _known(self, cache: dict[str, bytes], cut: list[list[str]], encode) -> dict[str, bytes]:
+        """cache with all that the lists hold; it starts anew when it is full."""
+        distinct = set().union(*cut)
+        if len(cache) + len(distinct) > CACHED:
+            cache.clear()
+        new = list(distinct.difference(cache))
+        cache.update(zip(new, encode(new)))
+        return cache
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if not self.wordwise:
             return self._encode(texts)
-        split = [None if any(s in t for s in self.special) else _SPACE.split(t) for t in texts]
-        distinct = set().union(*(w for w in split if w))
-        if len(self.words) + len(distinct) > CACHED:
-            self.words = {}
-        self._learn(distinct.difference(self.words))
-        get = self.words.__getitem__
-        return [self._encode([t])[0] if w is None else b"".join(map(get, w)) for t, w in zip(texts, split)]
+        whole = [any(s in t for s in self.special) for t in texts]
+        latin = [not w and _is_latin(t) for t, w in zip(texts, whole)]
+        cut = [[] if w else _PIECE.findall(t.lower()) if x else _SPACE.split(t) for t, w, x in zip(texts, whole, latin)]
+        pieces = self._known(self.pieces, [c for c, x in zip(cut, latin) if x], self._pieces).__getitem__
+        words = self._known(self.words, [c for c, x in zip(cut, latin) if not x], self._encode).__getitem__
+        return [self._encode([t])[0] if w else b"".join(map(pieces if x else words, c)) for t, w, x, c in zip(texts, whole, latin, cut)]
 
 
 @lru_cache(maxsize=1)
