@@ -1 +1,103 @@
-"""Queries."""
+"""Queries of the text scalars."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tideglass.functions import text as T
+from tideglass.plans._base import query, table
+
+_NORM = r'''array_to_string(list_filter(regexp_split_to_array(translate({0}, '!"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~', ''), '\s+'), lambda w: w NOT IN ('a', 'an', 'the', '')), ' ')'''
+
+
+def _norm(sql: str, lower: bool = True) -> str:
+    return _NORM.format(f"lower({sql})" if lower else sql)
+
+
+@query(f"SELECT doc_id, {_norm('text')} AS normalized FROM documents")
+def squad_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.squad_normalize(F.col("text")).alias("normalized"))
+
+
+_PAIRS = """WITH p AS (SELECT a.conv_id, a.turn, a.text AS prediction, b.text AS gold FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
+
+
+def pairs(spark, sf_dir):
+    """Consecutive turns as predictions and gold answers."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.col("text").alias("prediction")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("gold")), ["conv_id", "turn"])
+
+
+@query(f"{_PAIRS} SELECT conv_id, turn, CAST({_norm('prediction')} = {_norm('gold')} AS DOUBLE) AS em FROM p")
+def em_score(spark, sf_dir):
+    return pairs(spark, sf_dir).select("conv_id", "turn", T.exact_match(F.col("prediction"), F.array("gold")).alias("em"))
+
+
+_TOKENS = "list_transform(list_filter(string_split({0}, ' '), lambda w: w <> ''), lambda w: CASE WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN w[1:-2] ELSE w END)"
+
+
+@query(f"""{_PAIRS}, t AS (SELECT conv_id, turn, {_TOKENS.format(_norm('prediction', False))} AS a, {_TOKENS.format(_norm('gold', False))} AS b FROM p),
+  ca AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(a) AS w FROM t) GROUP BY ALL),
+  cb AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(b) AS w FROM t) GROUP BY ALL),
+  o AS (SELECT conv_id, turn, sum(least(ca.n, cb.n)) AS common FROM ca JOIN cb USING (conv_id, turn, w) GROUP BY ALL)
+  SELECT conv_id, turn, round(CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE coalesce(2.0 * common / (len(a) + len(b)), 0.0) END, 6)::DOUBLE AS f1 FROM t LEFT JOIN o USING (conv_id, turn)""")
+def f1_score(spark, sf_dir):
+    rows = pairs(spark, sf_dir).select("conv_id", "turn", T.answer_tokens(F.col("prediction")).alias("a"), T.answer_tokens(F.col("gold")).alias("b"))
+    return rows.select("conv_id", "turn", F.round(T.f1(F.col("a"), F.col("b")), 6).alias("f1"))
+
+
+@query("""SELECT doc_id, round((contains(lower(text), 'the ')::INT + contains(lower(text), 'tion')::INT + contains(lower(text), 'zzz')::INT) / 3.0::DOUBLE, 4) AS coverage FROM documents""")
+def keyword_match(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.keyword_coverage(F.col("text"), F.array(*map(F.lit, ("the ", "TION", "zzz")))).alias("coverage"))
+
+
+@query(r"""SELECT event_id, CAST(replace(coalesce(nullif(regexp_extract(t, '####\s*(-?\d[\d,]*(?:\.\d+)?)', 1), ''), list_extract(regexp_extract_all(t, '-?\d[\d,]*(?:\.\d+)?'), -1)), ',', '') AS DOUBLE) AS answer
+  FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'work ' || event_id || ' #### ' || CAST(value AS VARCHAR) || ' end 7' ELSE props || ' then 1,234' END AS t FROM events)""")
+def numeric_answer(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("work "), F.col("event_id"), F.lit(" #### "), F.col("value").cast("string"), F.lit(" end 7"))).otherwise(F.concat("props", F.lit(" then 1,234")))
+    return e.select("event_id", T.final_number(text).alias("answer"))
+
+
+@query(r"""SELECT doc_id, 2 * CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS INTEGER) AS by_words, greatest(1, CAST(floor(length(text) / 4) AS INTEGER)) AS mixed,
+  CAST(floor(length(text) / 2) AS INTEGER) AS half FROM documents""")
+def token_counts(spark, sf_dir):
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", T.tokens_regex(text).alias("by_words"), T.tokens_mixed(text).alias("mixed"), T.tokens_half(text).alias("half"))
+
+
+@query(r"""SELECT doc_id, 0.25::DOUBLE * ((length(text) >= 200)::INT + (len(string_split(text, chr(10))) >= 3)::INT + regexp_matches(text, '(?m)^(#|\d+\.|[A-Z])')::INT + (2 * length(regexp_replace(text, '[^\p{L}]', '', 'g')) >= length(text))::INT) AS quality FROM documents""")
+def parse_quality(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.parse_quality(F.col("text")).alias("quality"))
+
+
+@query(r"""SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(p_name, '[A-Za-z0-9]+'), lambda w: upper(w[1]) || lower(w[2:])), '') AS camel,
+  array_to_string(list_transform(regexp_extract_all(p_name, '[A-Za-z0-9]+'), lambda w: lower(w)), '_') AS snake FROM part""")
+def identifier_case(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", T.camel_case(F.col("p_name")).alias("camel"), T.snake_case(F.col("p_name")).alias("snake"))
+
+
+@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(list_concat(regexp_extract_all(text, 'https?://[^\s<>"]+'), regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')),
+  regexp_extract_all(text, '[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}')))), ' ') AS found FROM documents""")
+def literals(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(T.literals(F.col("text"))), " ").alias("found"))
+
+
+@query(r"""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN 'none' ELSE ['date', 'month', 'year'][o_orderkey % 4 + 1] END AS rule,
+  CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderdate AS DATE) WHEN 1 THEN CAST(date_trunc('month', o_orderdate) AS DATE) WHEN 2 THEN CAST(date_trunc('year', o_orderdate) AS DATE) END AS published FROM orders""")
+def published_at(spark, sf_dir):
+    form = F.element_at(F.array(F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format("o_orderdate", "yyyy-MM"), F.date_format("o_orderdate", "yyyy"), F.lit("?")), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    day, rule = T.published_at(F.concat(F.lit("issue "), form))
+    return table(spark, sf_dir, "orders").select("o_orderkey", rule.alias("rule"), day.alias("published"))
+
+
+@query(r"""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '^\W*(?:yes|correct|true)\b', 'i') THEN 'yes' WHEN regexp_matches(text, '^\W*(?:no|incorrect|false)\b', 'i') THEN 'no' ELSE 'unknown' END AS verdict,
+  len(regexp_extract_all(text, '\[(\d{1,9})\]')) > 0 AS cites FROM conversations""")
+def judge_replies(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.verdict(F.col("text")).alias("verdict"), T.citations_ok(F.col("text"), F.lit(10**9)).alias("cites"))
+
+
+@query("""SELECT n.n AS attempt, CAST(least(900, 30 * pow(2, n.n - 1)) AS INTEGER) AS delay FROM (SELECT DISTINCT l_linenumber AS n FROM lineitem) n""")
+def retry_backoff(spark, sf_dir):
+    n = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("attempt")).distinct()
+    return n.select("attempt", T.retry_delay(F.col("attempt")).alias("delay"))
