@@ -1 +1,99 @@
-"""Queries."""
+"""Retrieval queries: benchmark items ask, documents and embeddings answer."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tideglass.functions import text as T
+from tideglass.operators import retrieval as R
+from tideglass.plans._base import query, table
+
+
+def chunks(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "source", T.search_tokens(F.col("text")).alias("tokens"))
+
+
+def questions(spark, sf_dir):
+    """The first eight tokens of each benchmark item."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(T.search_tokens(F.col("text")), 1, 8).alias("tokens"))
+
+
+_BM25 = """WITH c AS (SELECT doc_id, source, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: lower(w)) AS t FROM documents),
+  q AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: lower(w))[1:8]) AS term FROM benchmark) GROUP BY ALL),
+  n AS (SELECT count(*) AS n_all, avg(len(t)) AS mean FROM c), p AS (SELECT doc_id, source, len(t) AS len, unnest(t) AS term FROM c),
+  tf AS (SELECT doc_id, source, len, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+  s AS (SELECT query_id, doc_id, source, round(sum(times * ln(1 + (n_all - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 6) AS score
+    FROM q JOIN tf USING (term) JOIN df USING (term), n GROUP BY ALL)"""
+
+
+@query(f"""{_BM25} SELECT query_id, doc_id AS chunk_id, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM s) WHERE r <= 5""")
+def bm25_topk(spark, sf_dir):
+    scored = R.bm25(chunks(spark, sf_dir), questions(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return R.top_k(scored, ["query_id"], [F.desc("score"), "chunk_id"], 5)
+
+
+@query(f"""{_BM25}, a AS (SELECT query_id, doc_id, source, score * CASE doc_id % 4 + 1 WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.95::DOUBLE WHEN 3 THEN 0.85::DOUBLE ELSE 0.75::DOUBLE END AS ranked FROM s),
+  g AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY round(ranked, 6) DESC, doc_id) AS i FROM a)
+  SELECT query_id, doc_id AS chunk_id, round(ranked, 6) AS ranked, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(ranked, 6) DESC, doc_id) AS r FROM g WHERE i <= 2) WHERE r <= 8""")
+def bm25_authority_quota(spark, sf_dir):
+    docs = chunks(spark, sf_dir)
+    scored = R.bm25(docs, questions(spark, sf_dir)).join(docs.select("chunk_id", "source"), "chunk_id")
+    ranked = scored.withColumn("ranked", F.round(R.authority(F.round("score", 6), F.col("chunk_id") % 4 + 1), 6))
+    return R.quota(ranked, ["query_id"], "source", [F.desc("ranked"), "chunk_id"], 2, 8).select("query_id", "chunk_id", "ranked", "rank")
+
+
+def vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+_COSINE = """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)"""
+
+
+@query(f"{_COSINE} SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
+def cosine_topk(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    found = R.cosine_top_k(v, v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), 10)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query(f"""{_BM25}, v AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings e
+    WHERE q.vec_id % 20 = 0 AND q.vec_id < (SELECT count(*) FROM benchmark)), vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM v), vt AS (SELECT * FROM vr WHERE rank <= 20),
+  a AS (SELECT query_id, doc_id AS id, score / max(score) OVER (PARTITION BY query_id) AS x FROM s WHERE query_id % 20 = 0), b AS (SELECT query_id, id, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE 0 END AS y FROM vt)
+  SELECT query_id, id, round(0.3::DOUBLE * coalesce(x, 0) + 0.7::DOUBLE * coalesce(y, 0), 6) AS score FROM a FULL JOIN b USING (query_id, id)""")
+def hybrid_maxnorm(spark, sf_dir):
+    n = table(spark, sf_dir, "benchmark").count()
+    lexical = R.bm25(chunks(spark, sf_dir), questions(spark, sf_dir).where("query_id % 20 = 0")).select("query_id", F.col("chunk_id").alias("id"), F.round("score", 6).alias("score"))
+    v = vectors(spark, sf_dir)
+    semantic = R.cosine_top_k(v, v.where(f"id % 20 = 0 and id < {n}").select(F.col("id").alias("query_id"), "vector"), 20).select("query_id", "id", "score")
+    return R.hybrid(lexical, semantic, 0.3).withColumn("score", F.round("score", 6))
+
+
+_LISTS = """l AS (SELECT lang AS list_no, doc_id AS pos, doc_id % 37 AS id FROM documents)"""
+
+
+@query(f"""WITH {_LISTS}, r AS (SELECT list_no, id, row_number() OVER (PARTITION BY list_no ORDER BY pos) AS rank FROM l), f AS (SELECT list_no, id, min(rank) AS rank FROM r GROUP BY ALL),
+  s AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(rank) AS best_rank, count(*) AS n_lists FROM f GROUP BY 1)
+  SELECT id, round(score, 9) AS score, CAST(best_rank AS INTEGER) AS best_rank, n_lists, CAST(row_number() OVER (ORDER BY score DESC, best_rank, id) AS INTEGER) AS place FROM s""")
+def rrf3(spark, sf_dir):
+    lists = table(spark, sf_dir, "documents").select(F.col("lang").alias("list_no"), F.col("doc_id").alias("pos"), (F.col("doc_id") % 37).alias("id"))
+    return R.rrf(lists).withColumn("score", F.round("score", 9))
+
+
+@query("SELECT event_id, round(CASE WHEN max(value) OVER (PARTITION BY event_type) > 0 THEN value / max(value) OVER (PARTITION BY event_type) ELSE 0 END, 6) AS value FROM events")
+def max_normalise(spark, sf_dir):
+    return R.max_normalize(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), "value", ["event_type"]).select("event_id", F.round("value", 6).alias("value"))
+
+
+@query("""WITH d AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank, source AS title, text FROM documents), b AS (SELECT *, '[' || rank || '] ' || title || chr(10) || text AS block FROM d),
+  u AS (SELECT *, CAST(sum(length(block)) OVER (PARTITION BY lang ORDER BY rank) AS BIGINT) AS used FROM b) SELECT lang, CAST(rank AS INTEGER) AS rank, used, substr(sha256(text), 1, 16) AS span_hash FROM u WHERE used <= 4000 OR rank = 1""")
+def context_pack(spark, sf_dir):
+    ranked = R.top_k(table(spark, sf_dir, "documents").select("lang", "doc_id", F.col("source").alias("title"), "text"), ["lang"], ["doc_id"], 10**9)
+    return R.pack_context(ranked, ["lang"], 4000).select("lang", "rank", "used", "span_hash")
+
+
+@query("""WITH a AS (SELECT user_id, event_id AS pos, event_id % 40 AS id, 1 AS source FROM events WHERE event_type = 'view' UNION ALL SELECT user_id, event_id, event_id % 40, 2 FROM events WHERE event_type = 'click'),
+  o AS (SELECT *, row_number() OVER (PARTITION BY user_id, id ORDER BY source, pos) AS n FROM a), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY source, pos, id) AS rank FROM o WHERE n = 1) SELECT user_id, pos, id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 12""")
+def first_then_fill(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("pos"), (F.col("event_id") % 40).alias("id"), "event_type")
+    return R.fill_from(e.where("event_type = 'view'").drop("event_type"), e.where("event_type = 'click'").drop("event_type"), ["user_id"], 12).select("user_id", "pos", "id", "rank")
