@@ -48,18 +48,36 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = set(text.translate(LOWER_WORDS).split())
             raw = text.split()
             found.append(np.unique(np.array([f(w) for w in words for f in (word_feature, stem_feature)] + _shapes(Counter(map(shape, raw)), len(raw)), np.int32)))
-        yield pa.RecordBatch.from_arrays([batch.column(2).cast(pa.int32()), pa.array(found, pa.list_(pa.int32()))], ["y", "features"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "y", "features"])
 
 
 def train(docs: DataFrame, ratings: DataFrame, max_rows: int = 8000, epochs: int = 12, rate: float = 0.1, least_docs: int = 5, l2: float = 1e-4) -> Model:
-    """A model from ratings (doc_id, y 0 .. K - 1) of about max_rows documents at most, by Adagrad on batches of them."""
-    rows = labelled_sample(docs, ratings, max_rows, seed=31).orderBy("doc_id").mapInArrow(_featurize, "y int, features array<int>").toPandas()
-    y = rows["y"].to_numpy()
+    """A model from ratings (doc_id, y 0 .. K - 1) of about max_rows documents at most, by Adagrad on batches of them.
+
+    One task holds the features of that bounded sample and sends the weights to the driver.
+    """
+    sample = labelled_sample(docs, ratings, max_rows, seed=31)
+    rows = sample.mapInArrow(_featurize, f"doc_id {dict(sample.dtypes)['doc_id']}, y int, features array<int>")
+    run = partial(_fit_task, epochs=epochs, rate=rate, least_docs=least_docs, l2=l2)
+    found = rows.repartition(1).sortWithinPartitions("doc_id").select("y", "features").mapInArrow(run, "weights binary, thresholds array<double>").first()
+    return Model(np.frombuffer(found["weights"], np.float32), np.array(found["thresholds"], float))
+
+
+def _fit_task(batches: Iterator[pa.RecordBatch], **options) -> Iterator[pa.RecordBatch]:
+    parts = list(batches)
+    y = np.concatenate([p.column(0).to_numpy() for p in parts] or [np.zeros(0, np.int32)]).astype(np.int64)
+    sizes = np.concatenate([p.column(1).value_lengths().to_numpy() for p in parts] or [np.zeros(0, np.int64)])
+    features = np.concatenate([p.column(1).flatten().to_numpy() for p in parts] or [np.zeros(0, np.int32)])
+    model = fit(y, sizes, features, **options)
+    yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.thresholds.tolist()], pa.list_(pa.float64()))], ["weights", "thresholds"])
+
+
+def fit(y: np.ndarray, sizes: np.ndarray, features: np.ndarray, epochs: int, rate: float, least_docs: int, l2: float) -> Model:
+    """y and the number of features of each document, and the features of all."""
     grades = int(y.max(initial=0)) + 1
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(SIZE, np.float32), np.full(grades - 1, -20.0))
-    sizes = np.array([len(f) for f in rows["features"]])
-    features, doc = np.concatenate(rows["features"].tolist()), np.repeat(np.arange(len(y)), sizes)
+    doc = np.repeat(np.arange(len(y)), sizes)
     features = np.where(frequent(doc, features, least_docs)[features], features, SIZE)
     at = np.r_[0, np.cumsum(sizes)]
     share = np.clip([(y <= k).mean() for k in range(grades - 1)], 0.01, 0.99)

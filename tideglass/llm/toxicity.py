@@ -45,7 +45,7 @@ class Model:
 
 
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(y, word features with -1 at sentence ends, stem features) of each labelled text."""
+    """(doc_id, y, word features with -1 at sentence ends, stem features) of each labelled text."""
     for batch in batches:
         words, stems = [], []
         for text in text_bytes(batch, 1):
@@ -53,21 +53,35 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words.append(np.array([-1 if t == _MARK else word_feature(t) for t in tokens], np.int32))
             stems.append(np.array([-1 if t == _MARK else stem_feature(t) for t in tokens], np.int32))
         kind = pa.list_(pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column(2).cast(pa.int32()), pa.array(words, kind), pa.array(stems, kind)], ["y", "words", "stems"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), pa.array(words, kind), pa.array(stems, kind)], ["doc_id", "y", "words", "stems"])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, epochs: int = 20, rate: float = 0.35, least_docs: int = 3, l2: float = 1e-5, toxic_weight: float = 3.0) -> Model:
     """A model from labels (doc_id, y 0/1) of about max_rows documents at most, by Adagrad on batches of them.
 
     toxic_weight: how much a toxic document counts, for they are few. least_docs: documents that a feature needs.
+    One task holds the features of that bounded sample and sends the weights to the driver.
     """
-    rows = labelled_sample(docs, labels, max_rows, seed=21).orderBy("doc_id")
-    rows = rows.mapInArrow(_featurize, "y int, words array<int>, stems array<int>").toPandas()
-    y = rows["y"].to_numpy(float)
+    sample = labelled_sample(docs, labels, max_rows, seed=21)
+    rows = sample.mapInArrow(_featurize, f"doc_id {dict(sample.dtypes)['doc_id']}, y int, words array<int>, stems array<int>")
+    run = partial(_fit_task, epochs=epochs, rate=rate, least_docs=least_docs, l2=l2, toxic_weight=toxic_weight)
+    found = rows.repartition(1).sortWithinPartitions("doc_id").select("y", "words", "stems").mapInArrow(run, "weights binary, bias double").first()
+    return Model(np.frombuffer(found["weights"], np.float32), found["bias"])
+
+
+def _fit_task(batches: Iterator[pa.RecordBatch], **options) -> Iterator[pa.RecordBatch]:
+    parts = list(batches)
+    flat = lambda k: np.concatenate([p.column(k).flatten().to_numpy() for p in parts] or [np.zeros(0, np.int32)])
+    y = np.concatenate([p.column(0).to_numpy() for p in parts] or [np.zeros(0)]).astype(float)
+    sizes = np.concatenate([p.column(1).value_lengths().to_numpy() for p in parts] or [np.zeros(0, np.int64)])
+    model = fit(y, sizes, flat(1), flat(2), **options)
+    yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], ["weights", "bias"])
+
+
+def fit(y: np.ndarray, sizes: np.ndarray, words: np.ndarray, stems: np.ndarray, epochs: int, rate: float, least_docs: int, l2: float, toxic_weight: float) -> Model:
+    """y and the number of tokens of each document; the features of all tokens, -1 at sentence ends."""
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(SIZE, np.float32), 20.0 if len(y) and y.min() else -20.0)
-    sizes = np.array([len(w) for w in rows["words"]])
-    words, stems = np.concatenate(rows["words"].tolist()), np.concatenate(rows["stems"].tolist())
     doc = np.repeat(np.arange(len(y)), sizes)
     sentence = np.cumsum(words == -1) + doc  # a new one after each mark and at each document
     real = words >= 0

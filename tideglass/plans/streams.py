@@ -1 +1,59 @@
-"""Queries."""
+"""Queries of the stream operators on the events table (sliding and session windows go beyond the usual set)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tideglass.plans._base import query, table
+from tideglass.streaming import streams as S
+
+
+@query("SELECT event_type, date_trunc('minute', ts) AS minute, count(*) AS n FROM events GROUP BY 1, 2")
+def events_per_minute(spark, sf_dir):
+    return S.per_minute(table(spark, sf_dir, "events"), "event_type")
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY event_type, date_trunc('minute', ts) ORDER BY ts, event_id) <= 1 AS allowed FROM events")
+def rate_limit_minute(spark, sf_dir):
+    return S.rate_limited(table(spark, sf_dir, "events"), "event_type", 1).select("event_id", "allowed")
+
+
+@query("""SELECT event_type, to_timestamp(0)::TIMESTAMP + to_seconds(((epoch(ts)::BIGINT // 21600) - k) * 21600) AS start, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, unnest([0, 1]) AS k FROM events) GROUP BY 1, 2""")
+def sliding(spark, sf_dir):
+    return S.windowed(table(spark, sf_dir, "events"), "event_type", "12 hours", "6 hours")
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+  SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+def session(spark, sf_dir):
+    return S.sessions(table(spark, sf_dir, "events"), "user_id", "6 hours")
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER w AS n, sum(strlen(props)) OVER w AS used FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id DESC)) SELECT user_id, event_id FROM r WHERE n = 1 OR (n <= 8 AND used <= 70)""")
+def ring_buffer(spark, sf_dir):
+    return S.ring_buffer(table(spark, sf_dir, "events"), "user_id", 8, 70, "props", "event_id").select("user_id", "event_id")
+
+
+@query("SELECT event_id, value FROM events WHERE event_id > 900")
+def replay_after(spark, sf_dir):
+    return S.replay(table(spark, sf_dir, "events").select("event_id", "value"), "event_id", 900)
+
+
+@query()
+def tag_state_machine(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").withColumn("part", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<think>"), "text")).otherwise(F.concat("text", F.lit("</think>after "))))
+    return S.tag_spans(turns, "conv_id", "turn", "part")
+
+
+@query("""SELECT event_id AS job_id, ts AS due_at FROM events WHERE ts <= TIMESTAMP '2024-01-15' AND event_id % 4 <> 0 ORDER BY ts, event_id LIMIT 25""")
+def claim_leases(spark, sf_dir):
+    now = F.lit("2024-01-15").cast("timestamp_ntz")
+    later = F.lit("2024-02-01").cast("timestamp_ntz")
+    jobs = table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), F.col("ts").alias("due_at"), F.when(F.col("event_id") % 4 == 0, later).alias("lease_until"))
+    return S.claim_leases(jobs, now, "w1", 25, 60).select("job_id", "due_at")
+
+
+@query("SELECT user_id, CAST(least(sum(CASE WHEN event_type = 'click' THEN 2 ELSE 0 END), count(*) // 3) AS BIGINT) AS processed, count(*) // 3 AS total FROM events GROUP BY 1")
+def progress_clamp(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(F.when(F.col("event_type") == "click", 2).otherwise(0)).alias("done"), F.floor(F.count("*") / 3).alias("total"))
+    return S.progress(e, "user_id")
