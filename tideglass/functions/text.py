@@ -53,22 +53,23 @@ def keyword_coverage(text: Column, keywords: Column) -> Column:
     return F.when(F.size(keywords) == 0, 0.0).otherwise(F.round(F.size(found) / F.size(keywords), 4))
 
 
-_NUMBER = r"-?\d[\d,]*(?:\.\d+)?"
+_NUMBER = r"-?[\d,]+(?:\.\d+)?"
 
 
 def final_number(text: Column) -> Column:
-    """The number after "####", else after "answer is", else the last one; null without any."""
-    marked = F.regexp_extract(text, rf"####\s*({_NUMBER})", 1)
-    stated = F.regexp_extract(text, rf"(?i)answer is:?\s*({_NUMBER})", 1)
+    """The number after "####", else after "answer is", "=" or ":" (or "so, the answer"), else the last one; null without any."""
+    marked = F.regexp_extract(text, r"####\s*([\d,]+(?:\.\d+)?)", 1)
+    stated = F.regexp_extract(text, rf"(?i)answer\s*(?:is|=|:)\s*({_NUMBER})", 1)
+    hence = F.regexp_extract(text, rf"(?i)(?:so|therefore|thus)\s*,?\s*(?:the\s+)?(?:final\s+)?answer\s*(?:is|=|:)?\s*({_NUMBER})", 1)
     every = F.regexp_extract_all(text, F.lit(f"({_NUMBER})"), F.lit(1))
     last = F.when(F.size(every) > 0, F.element_at(every, -1))
-    found = F.coalesce(F.nullif(marked, F.lit("")), F.nullif(stated, F.lit("")), last)
-    return F.replace(found, F.lit(","), F.lit("")).cast("double")
+    found = F.coalesce(*(F.nullif(x, F.lit("")) for x in (marked, stated, hence)), last)
+    return F.replace(found, F.lit(","), F.lit("")).try_cast("double")
 
 
 def tokens_regex(text: Column) -> Column:
-    """Twice the words between white space."""
-    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")) * 2
+    """Twice the pieces between white space and punctuation."""
+    return F.size(F.filter(F.split(text, r"""[\s,.:;!?()\[\]{}«»"'…—–-]+"""), lambda w: w != "")) * 2
 
 
 def tokens_mixed(text: Column) -> Column:
@@ -92,20 +93,30 @@ def search_tokens(text: Column) -> Column:
 
 
 def parse_quality(text: Column) -> Column:
-    """Quality of a parse from 0 to 1: length, lines, headings and share of letters, a quarter each."""
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    marks = [F.length(text) >= 200, F.size(F.split(text, "\n")) >= 3, text.rlike(r"(?m)^(#|\d+\.|[A-Z])"), letters * 2 >= F.length(text)]
-    return sum((m.cast("double") * 0.25 for m in marks[1:]), marks[0].cast("double") * 0.25)
+    """Quality of a parse from 0 to 1: length (0.1, 0.2, 0.4), headings, lists or tables, and words among its first 500 characters (0.2 each)."""
+    text = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""))
+    length = F.when(F.length(text) >= 800, 0.4).when(F.length(text) >= 200, 0.2).otherwise(0.1)
+    heading = text.rlike(r"(?m)^#+\s|第[一二三四五六七八九十百]+[章节篇]|^\s*[\d一二三四五六七八九十]+[、.．]\s")
+    listed = text.rlike(r"(?m)^[-*•]|\|\s*-{2,}\s*\|")
+    sample = F.substring(text, 1, 500)
+    dense = (F.length(F.regexp_replace(sample, f"[^{CJK}]", "")) >= 20) | (F.regexp_count(sample, F.lit(r"[A-Za-z]{2,}")) >= 15)
+    score = length + sum((m.cast("double") * 0.2 for m in (listed, dense)), heading.cast("double") * 0.2)
+    return F.when(text == "", 0.0).otherwise(F.round(F.least(F.lit(1.0), score), 2))
+
+
+def _name_words(name: Column) -> Column:
+    bare = F.trim(F.regexp_replace(name, f"[{CJK}]", ""))
+    return F.filter(F.split(bare, r"[\s_-]+"), lambda w: w != "")
 
 
 def camel_case(name: Column) -> Column:
-    """Identifier in CamelCase of the ASCII words of a name."""
-    words = F.regexp_extract_all(name, F.lit(r"([A-Za-z0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))), "")
+    """Name of a class: its words (CJK left out) with a capital each."""
+    return F.array_join(F.transform(_name_words(name), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), "")
 
 
 def snake_case(name: Column) -> Column:
-    return F.array_join(F.transform(F.regexp_extract_all(name, F.lit(r"([A-Za-z0-9]+)"), F.lit(1)), F.lower), "_")
+    """Name of a property: its words in lower case, joined by _."""
+    return F.array_join(F.transform(_name_words(name), F.lower), "_")
 
 
 def literals(text: Column) -> Column:
@@ -157,9 +168,7 @@ def retry_delay(attempt: Column) -> Column:
 
 
 def task_state(process: Column, forward: Column) -> Column:
-    """One state of a two-step task from the states of its steps."""
-    return (
-        F.when(process == "FAILURE", "PROCESS_FAILED").when(forward == "FAILURE", "FORWARD_FAILED").when((process == "SUCCESS") & (forward == "SUCCESS"), "COMPLETED")
-        .when(process.isNull() & forward.isNull(), "WAIT_FOR_PROCESSING").when((process == "SUCCESS") & forward.isNull(), "WAIT_FOR_FORWARDING")
-        .when(process == "SUCCESS", "FORWARDING").otherwise("PROCESSING")
-    )
+    """One state of a two-step task from the states (PENDING, STARTED, SUCCESS, FAILURE, null) of its steps."""
+    by_process = F.when(process == "STARTED", "PROCESSING").when(process == "SUCCESS", "WAIT_FOR_FORWARDING").otherwise("WAIT_FOR_PROCESSING")
+    by_forward = F.when(forward == "STARTED", "FORWARDING").when(forward == "SUCCESS", "COMPLETED").otherwise("WAIT_FOR_FORWARDING")
+    return F.when(process == "FAILURE", "PROCESS_FAILED").when(forward == "FAILURE", "FORWARD_FAILED").when(F.coalesce(forward, F.lit("")) != "", by_forward).otherwise(by_process)

@@ -86,6 +86,7 @@ def hit_stats(hits: DataFrame) -> DataFrame:
         F.countDistinct("day").alias("n_days"),
         F.countDistinct("query_hash").alias("n_queries"),
         F.sum("score").alias("total_score"),
+        F.datediff(F.max(F.to_date("day")), F.min(F.to_date("day"))).alias("span_days"),
         F.max("occurred_at").alias("last_recalled_at"),
     )
 
@@ -100,24 +101,40 @@ def age_days(at: Column, now: Column) -> Column:
     return F.greatest(F.lit(0.0), (micros(now) - micros(at)) / 86_400_000_000.0)
 
 
+def _recency(at: Column, now: Column) -> Column:
+    return F.when(at.isNull(), 0.0).otherwise(_clamp(F.exp(-F.log(F.lit(2.0)) * age_days(at, now) / HALF_LIFE_DAYS)))
+
+
 def dreaming_metrics(stats: DataFrame, now: Column) -> DataFrame:
-    """The parts of a memory's score: frequency, relevance, diversity and recency, each from 0 to 1."""
-    signal = F.col("recall_count") + F.col("grounded_count")
+    """stats (see hit_stats) with the parts of a memory's score, each from 0 to 1.
+
+    Columns that stats may lack count as 0 or null: daily_count, span_days (between the first and last day),
+    n_tags, light_hits, rem_hits, last_light_at, last_rem_at.
+    """
+    of = lambda name, other: F.coalesce(F.col(name), F.lit(other)) if name in stats.columns else F.lit(other)
+    when = lambda name: F.col(name) if name in stats.columns else F.lit(None).cast("timestamp")
+    grown = lambda n, most: _clamp(F.log1p(n.cast("double")) / F.log1p(F.lit(float(most))))
+    signal = F.col("recall_count") + of("daily_count", 0) + F.col("grounded_count")
+    spread = F.greatest(_clamp(0.55 * grown(F.col("n_days") - 1, 4) + 0.45 * _clamp(of("span_days", 0) / 7)), _clamp(F.col("grounded_count") / 3))
+    boost = 0.06 * grown(of("light_hits", 0), 6) * _recency(when("last_light_at"), now) + 0.09 * grown(of("rem_hits", 0), 6) * _recency(when("last_rem_at"), now)
     return stats.withColumns(
         {
             "signal": signal,
-            "frequency": _clamp(F.log1p(signal.cast("double")) / F.log1p(F.lit(10.0))),
-            "relevance": F.when(F.col("recall_count") > 0, _clamp(F.col("total_score") / F.col("recall_count"))).otherwise(0.0),
+            "frequency": grown(signal, 10),
+            "relevance": _clamp(F.col("total_score") / F.greatest(F.lit(1), signal)),
             "diversity": _clamp(F.greatest("n_days", "n_queries") / 5.0),
-            "recency": F.exp(-F.log(F.lit(2.0)) * age_days(F.col("last_recalled_at"), now) / HALF_LIFE_DAYS),
+            "recency": _recency(F.col("last_recalled_at"), now),
+            "consolidation": F.when(F.col("n_days") == 0, 0.0).when(F.col("n_days") == 1, 0.2).otherwise(spread),
+            "conceptual": _clamp(of("n_tags", 0) / 6),
+            "boost": _clamp(boost),
         }
     )
 
 
 def dreaming_score(metrics: DataFrame) -> DataFrame:
-    """The weighted sum of the parts that are there, from 0 to 1."""
-    parts = [F.col(name) * weight for name, weight in WEIGHTS.items() if name in metrics.columns]
-    return metrics.withColumn("score", _clamp(sum(parts[1:], parts[0])))
+    """The weighted sum of the parts and the boost, from 0 to 1."""
+    parts = [F.col(name) * weight for name, weight in WEIGHTS.items()]
+    return metrics.withColumn("score", _clamp(sum(parts[1:], parts[0]) + F.col("boost")))
 
 
 def dreaming_select(scored: DataFrame, noise: Column, least_score: float = 0.72, least_recall: int = 3, least_diversity: int = 2) -> DataFrame:

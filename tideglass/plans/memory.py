@@ -20,21 +20,22 @@ def hits(spark, sf_dir):
 
 
 _HITS = """WITH h AS (SELECT event_id % 200 AS memory_id, event_type || props AS q, value / 1000 AS score, event_type = 'purchase' AS grounded, CAST(ts AS DATE) AS day, ts FROM events),
-  s AS (SELECT memory_id, count(*) AS recall_count, CAST(sum(CAST(grounded AS INT)) AS BIGINT) AS grounded_count, count(DISTINCT day) AS n_days, count(DISTINCT q) AS n_queries, sum(score) AS total, max(ts) AS last FROM h GROUP BY 1)"""
-_METRICS = f"""{_HITS}, m AS (SELECT *, recall_count + grounded_count AS signal, least(1, greatest(0, ln(1 + (recall_count + grounded_count)::DOUBLE) / ln(11.0::DOUBLE))) AS frequency, least(1, greatest(0, total / recall_count)) AS relevance,
-  least(1, greatest(n_days, n_queries) / 5.0::DOUBLE) AS diversity, exp(-ln(2.0::DOUBLE) * ((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(last)) / 86400000000.0::DOUBLE) / 14) AS recency FROM s),
-  z AS (SELECT *, least(1, greatest(0, .24::DOUBLE * frequency + .30::DOUBLE * relevance + .15::DOUBLE * diversity + .15::DOUBLE * recency)) AS score FROM m)"""
+  s AS (SELECT memory_id, count(*) AS recall_count, CAST(sum(CAST(grounded AS INT)) AS BIGINT) AS grounded_count, count(DISTINCT day) AS n_days, count(DISTINCT q) AS n_queries, sum(score) AS total, max(ts) AS last, max(day) - min(day) AS span FROM h GROUP BY 1)"""
+_METRICS = f"""{_HITS}, m AS (SELECT *, recall_count + grounded_count AS signal, least(1, greatest(0, ln(1 + (recall_count + grounded_count)::DOUBLE) / ln(11.0::DOUBLE))) AS frequency, least(1, greatest(0, total / greatest(1, recall_count + grounded_count))) AS relevance,
+  least(1, greatest(n_days, n_queries) / 5.0::DOUBLE) AS diversity, exp(-ln(2.0::DOUBLE) * ((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(last)) / 86400000000.0::DOUBLE) / 14) AS recency,
+    CASE n_days WHEN 0 THEN 0 WHEN 1 THEN 0.2::DOUBLE ELSE greatest(least(1, .55::DOUBLE * least(1, ln(n_days::DOUBLE) / ln(5.0::DOUBLE)) + .45::DOUBLE * least(1, span / 7.0::DOUBLE)), least(1, grounded_count / 3.0::DOUBLE)) END AS consolidation FROM s),
+  z AS (SELECT *, least(1, greatest(0, .24::DOUBLE * frequency + .30::DOUBLE * relevance + .15::DOUBLE * diversity + .15::DOUBLE * recency + .10::DOUBLE * consolidation)) AS score FROM m)"""
 
 
-@query(f"{_HITS} SELECT memory_id, recall_count, grounded_count, n_days, n_queries, round(total, 6) AS total_score, last AS last_recalled_at FROM s")
+@query(f"{_HITS} SELECT memory_id, recall_count, grounded_count, n_days, n_queries, round(total, 6) AS total_score, last AS last_recalled_at, CAST(span AS INTEGER) AS span_days FROM s")
 def hit_stats(spark, sf_dir):
     return M.hit_stats(hits(spark, sf_dir)).withColumn("total_score", F.round("total_score", 6))
 
 
-@query(f"{_METRICS} SELECT memory_id, signal, round(frequency, 6) AS frequency, round(relevance, 6) AS relevance, round(diversity, 6) AS diversity, round(recency, 6) AS recency, round(score, 6) AS score FROM z")
+@query(f"{_METRICS} SELECT memory_id, signal, round(frequency, 6) AS frequency, round(relevance, 6) AS relevance, round(diversity, 6) AS diversity, round(recency, 6) AS recency, round(consolidation, 6) AS consolidation, round(score, 6) AS score FROM z")
 def dreaming_metrics(spark, sf_dir):
     scored = M.dreaming_score(M.dreaming_metrics(M.hit_stats(hits(spark, sf_dir)), now()))
-    return scored.select("memory_id", "signal", *(F.round(c, 6).alias(c) for c in ("frequency", "relevance", "diversity", "recency", "score")))
+    return scored.select("memory_id", "signal", *(F.round(c, 6).alias(c) for c in ("frequency", "relevance", "diversity", "recency", "consolidation", "score")))
 
 
 @query(f"""{_METRICS}, r AS (SELECT memory_id, round(score, 6) AS score, CASE WHEN memory_id % 11 = 0 THEN 'noise' WHEN score < 0.5 THEN 'score_below_threshold' WHEN recall_count < 3 THEN 'recall_below_threshold'

@@ -51,7 +51,7 @@ def keyword_match(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.keyword_coverage(F.col("text"), F.array(*map(F.lit, ("the ", "TION", "zzz")))).alias("coverage"))
 
 
-@query(r"""SELECT event_id, CAST(replace(coalesce(nullif(regexp_extract(t, '####\s*(-?\d[\d,]*(?:\.\d+)?)', 1), ''), list_extract(regexp_extract_all(t, '-?\d[\d,]*(?:\.\d+)?'), -1)), ',', '') AS DOUBLE) AS answer
+@query(r"""SELECT event_id, CAST(replace(coalesce(nullif(regexp_extract(t, '####\s*([\d,]+(?:\.\d+)?)', 1), ''), list_extract(regexp_extract_all(t, '-?[\d,]+(?:\.\d+)?'), -1)), ',', '') AS DOUBLE) AS answer
   FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'work ' || event_id || ' #### ' || CAST(value AS VARCHAR) || ' end 7' ELSE props || ' then 1,234' END AS t FROM events)""")
 def numeric_answer(spark, sf_dir):
     e = table(spark, sf_dir, "events")
@@ -59,20 +59,20 @@ def numeric_answer(spark, sf_dir):
     return e.select("event_id", T.final_number(text).alias("answer"))
 
 
-@query(r"""SELECT doc_id, 2 * CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS INTEGER) AS by_words, greatest(1, CAST(floor(length(text) / 4) AS INTEGER)) AS mixed,
+@query(r"""SELECT doc_id, 2 * CAST(len(list_filter(regexp_split_to_array(text, '[\s,.:;!?()\[\]{}«»"''…—–-]+'), lambda w: w <> '')) AS INTEGER) AS by_words, greatest(1, CAST(floor(length(text) / 4) AS INTEGER)) AS mixed,
   CAST(floor(length(text) / 2) AS INTEGER) AS half FROM documents""")
 def token_counts(spark, sf_dir):
     text = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", T.tokens_regex(text).alias("by_words"), T.tokens_mixed(text).alias("mixed"), T.tokens_half(text).alias("half"))
 
 
-@query(r"""SELECT doc_id, 0.25::DOUBLE * ((length(text) >= 200)::INT + (len(string_split(text, chr(10))) >= 3)::INT + regexp_matches(text, '(?m)^(#|\d+\.|[A-Z])')::INT + (2 * length(regexp_replace(text, '[^\p{L}]', '', 'g')) >= length(text))::INT) AS quality FROM documents""")
+@query(r"""WITH t AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS x FROM documents) SELECT doc_id, CASE WHEN x = '' THEN 0 ELSE round(least(1, CASE WHEN length(x) >= 800 THEN 0.4::DOUBLE WHEN length(x) >= 200 THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END
+  + 0.2::DOUBLE * (regexp_matches(x, '(?m)^#+\s|^\s*\d+[.]\s')::INT + regexp_matches(x, '(?m)^[-*•]|\|\s*-{2,}\s*\|')::INT + (len(regexp_extract_all(substr(x, 1, 500), '[A-Za-z]{2,}')) >= 15)::INT)), 2) END AS quality FROM t""")
 def parse_quality(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.parse_quality(F.col("text")).alias("quality"))
 
 
-@query(r"""SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(p_name, '[A-Za-z0-9]+'), lambda w: upper(w[1]) || lower(w[2:])), '') AS camel,
-  array_to_string(list_transform(regexp_extract_all(p_name, '[A-Za-z0-9]+'), lambda w: lower(w)), '_') AS snake FROM part""")
+@query(r"""SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), '') AS camel, array_to_string(list_transform(string_split(p_name, ' '), lambda w: lower(w)), '_') AS snake FROM part""")
 def identifier_case(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.camel_case(F.col("p_name")).alias("camel"), T.snake_case(F.col("p_name")).alias("snake"))
 
