@@ -2,7 +2,7 @@
 
 P(grade <= k) = logistic(threshold_k - w . x): one set of hashed text weights is shared by all grades,
 and ordered thresholds cut its line. x has the words and stems that a text holds, and how large a share
-of its words each shape takes (in eighths). A text's expected grade is the sum of its tail
+of its words each shape takes and how many of them repeat others (in eighths). A text's expected grade is the sum of its tail
 probabilities P(grade >= k); it is selected if the tail from a given grade on is likely.
 
 Defined results: null and empty texts have no features, so the thresholds alone decide; with one grade
@@ -26,8 +26,9 @@ from tideglass.llm._common import LOWER_WORDS, text_bytes
 from tideglass.llm.hashed import SIZE, Memory, frequent, labelled_sample, shape, stem_feature, word_feature
 
 
-def _shapes(counts: Counter, n: int) -> list[int]:
-    """Features of shapes: one for each eighth of the words that a shape reaches."""
+def _shapes(counts: Counter, n: int, distinct: int) -> list[int]:
+    """Features of shapes: one for each eighth of the words that a shape reaches, or that repeat others."""
+    counts = counts | Counter({b"again": max(0, n - distinct)})
     return [crc32(b"%s#%d" % (s, k)) % SIZE for s, c in counts.items() for k in range(1, 8 * c // max(1, n) + 1)]
 
 
@@ -47,11 +48,11 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in text_bytes(batch, 1):
             words = set(text.translate(LOWER_WORDS).split())
             raw = text.split()
-            found.append(np.unique(np.array([f(w) for w in words for f in (word_feature, stem_feature)] + _shapes(Counter(map(shape, raw)), len(raw)), np.int32)))
+            found.append(np.unique(np.array([f(w) for w in words for f in (word_feature, stem_feature)] + _shapes(Counter(map(shape, raw)), len(raw), len(set(raw))), np.int32)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "y", "features"])
 
 
-def train(docs: DataFrame, ratings: DataFrame, max_rows: int = 8000, epochs: int = 12, rate: float = 0.1, least_docs: int = 5, l2: float = 1e-4) -> Model:
+def train(docs: DataFrame, ratings: DataFrame, max_rows: int = 8000, epochs: int = 24, rate: float = 0.2, least_docs: int = 5, l2: float = 1e-4) -> Model:
     """A model from ratings (doc_id, y 0 .. K - 1) of about max_rows documents at most, by Adagrad on batches of them.
 
     One task holds the features of that bounded sample and sends the weights to the driver.
@@ -60,7 +61,7 @@ def train(docs: DataFrame, ratings: DataFrame, max_rows: int = 8000, epochs: int
     rows = sample.mapInArrow(_featurize, f"doc_id {dict(sample.dtypes)['doc_id']}, y int, features array<int>")
     run = partial(_fit_task, epochs=epochs, rate=rate, least_docs=least_docs, l2=l2)
     found = rows.repartition(1).sortWithinPartitions("doc_id").select("y", "features").mapInArrow(run, "weights binary, thresholds array<double>").first()
-    return Model(np.frombuffer(found["weights"], np.float32), np.array(found["thresholds"], float))
+    return Model(np.frombuffer(found["weights"], np.float32), np.array(found["thresholds"], float)) if found else Model(np.zeros(SIZE, np.float32), np.zeros(0))
 
 
 def _fit_task(batches: Iterator[pa.RecordBatch], **options) -> Iterator[pa.RecordBatch]:
@@ -127,7 +128,7 @@ def _score(batches: Iterator[pa.RecordBatch], model, id_type: pa.DataType) -> It
                 if s is None:
                     s = shapes[w] = shape(w)
                 counts[s] += n
-            by_shape = np.unique(np.array(_shapes(counts, sum(raw.values())), np.int64))
+            by_shape = np.unique(np.array(_shapes(counts, sum(raw.values()), len(raw)), np.int64))
             z.append(words(own).sum() + weights[np.unique(stems(own).astype(np.int64))].sum() + weights[by_shape].sum())
         tails = m.tails(np.array(z, float))
         columns = [batch.column(0).cast(id_type), pa.array(tails.sum(axis=1)), pa.array(tails.tolist(), pa.list_(pa.float64()))]
