@@ -203,18 +203,26 @@ def _walk_group(rows: pd.DataFrame, bits: int, depth: int, budget: int, limit: i
     return pd.DataFrame({"a": node[moved], "b": node[label[moved]]})
 
 
-def trie_edges(nodes: DataFrame, n: int, tables: int, bits: int, budget: int, limit: int, node_size: int = 1 << 15) -> DataFrame:
+def spread_depth(n: int, bits: int, node_size: int) -> int:
+    """Levels of a trie of n keys above the nodes of about node_size keys."""
+    return min(bits - 1, max(0, math.ceil(math.log2(max(1, n) / node_size))))
+
+
+def trie_edges(nodes: DataFrame, n: int, tables: int, bits: int, budget: int, limit: int, node_size: int = 1 << 15, strict: bool = False, width: int = 64) -> DataFrame:
     """Edges (a, b) that connect all nodes linked by a trie.
 
-    nodes: (node, sig), one row per distinct signature, n of them. Trie t of `tables` holds `bits` bits
-    of the signature from bit t * bits on. Two nodes link if they differ in at most `budget` bits of some
-    trie and in at most `limit` bits of the whole signature. A group holds about node_size keys a side.
+    nodes: (node, sig), one row per distinct signature of `width` bits, n of them. Each of `tables` tries holds
+    `bits` bits of the signature; their places are spread evenly over it. Two nodes link if they differ in at
+    most `budget` bits of some trie (none of them in its levels above the groups, if strict) and in at most
+    `limit` bits of the whole signature. A group holds about node_size keys a side.
     """
-    depth = min(bits - 1, max(0, math.ceil(math.log2(max(1, n) / node_size)))) if n else 0
+    depth = spread_depth(n, bits, node_size)
     masks = [sum(1 << k for k in c) for r in range(budget + 1) for c in combinations(range(depth), r)]
+    masks = [0] if strict else masks
     keys = []
     for t in range(tables):
-        word, start = divmod(t * bits, 64)
+        place = t * bits if tables * bits <= width else round(t * (width - bits) / (tables - 1))
+        word, start = divmod(place, 64)
         value = F.shiftrightunsigned(F.col("sig")[word], start)
         if start + bits > 64:
             value = value.bitwiseOR(F.shiftleft(F.col("sig")[word + 1], 64 - start))
@@ -252,24 +260,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link_documents(
-    docs: DataFrame, shingle: int = 3, n_words: int = 1, bits: int | None = 64, budget: int = 2, limit: int = 2, recall: float = 0.99, similarity: float | None = None
+    docs: DataFrame, shingle: int = 3, n_words: int = 1, bits: int | None = 64, budget: int = 2, limit: int = 2, recall: float = 0.99, similarity: float | None = None, node_size: int = 1 << 15
 ) -> DataFrame:
     """(doc_id, sig, component_id) of every row of docs; component_id is the smallest doc_id reachable over links.
 
-    bits None takes log2(n) + 6 bits a trie, so that chance pairs stay in proportion to n, and as many
-    tries as find a pair of this similarity with this recall (as far as the signature has bits).
+    bits None takes log2(n) + 6 bits a trie, so that chance pairs stay in proportion to n, lets errors only below
+    the levels that are spread over groups, so that each trie ships a signature once, and takes as many tries as
+    find a pair of this similarity with this recall.
     """
     spark = docs.sparkSession
     signed = staged(signatures(docs, shingle, n_words))
     nodes = staged(signed.groupBy("sig").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.col("sig")[0] if n_words == 1 else F.xxhash64("sig")))
     n = nodes.count()
-    tables = 1
-    if bits is None:
+    tables, strict, width = 1, bits is None, 64 * n_words
+    if strict:
         bits = min(48, max(12, math.ceil(math.log2(max(2, n))) + 6))
-        apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
-        hit = sum(math.comb(bits, e) * apart**e * (1 - apart) ** (bits - e) for e in range(budget + 1))
-        tables = max(1, min(math.ceil(math.log(1 - recall) / math.log(1 - hit)), 64 * n_words // bits))
-    roots = components(trie_edges(nodes.select("node", "sig"), n, tables, bits, budget, limit))
+        above = spread_depth(n, bits, node_size)
+        below, apart = bits - above, math.acos(2 * similarity / (1 + similarity)) / math.pi
+        hit = (1 - apart) ** above * sum(math.comb(below, e) * apart**e * (1 - apart) ** (below - e) for e in range(budget + 1))
+        tables = max(1, min(math.ceil(math.log(1 - recall) / math.log(1 - hit)), width - bits))
+    roots = components(trie_edges(nodes.select("node", "sig"), n, tables, bits, budget, limit, node_size, strict, width))
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_sig = staged(rooted.join(first, "root").select("sig", "component_id"))
