@@ -24,6 +24,8 @@ from tideglass.llm._common import staged
 _SPACE = r"[\x20\x09-\x0D]+"
 #: The features that rules are made of.
 FEATURES = ("n_words", "mean_word", "symbol_share", "upper_share", "mark_share", "digit_share", "repeat_share", "dup_line_share", "words_a_line")
+#: Labelled rows that rules are learned from, about.
+MAX_ROWS = 20_000
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -153,17 +155,21 @@ def _grow(rows: DataFrame, cuts: dict[str, list[float]]) -> Condition | None:
     return condition
 
 
-def learn(measured: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_rules: int = 10, max_conditions: int = 3, precision: float = 0.9, min_covered: int = 8, n_cuts: int = 48) -> DecisionList:
+def sample_labels(labels: DataFrame, max_rows: int) -> DataFrame:
+    """(doc_id, quality) of about max_rows labelled documents, by a hash of doc_id."""
+    labels = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    part = min(1.0, max_rows / max(1, labels.count()))
+    return labels.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < part * 1_000_000)
+
+
+def learn(measured: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_rules: int = 10, max_conditions: int = 3, precision: float = 0.9, min_covered: int = 8, n_cuts: int = 48) -> DecisionList:
     """A decision list for quality 0 from labels (doc_id, quality) and features.
 
     It is fitted to at most about max_rows labelled rows that pass the base rules, picked by a hash of doc_id.
     Two thirds of them grow the rules, one third prunes them; a rule stays if `precision` of the pruning
     rows that it covers, at least min_covered, are of quality 0; the first that doesn't ends the list.
     """
-    labels = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000))
-    part = min(1.0, max_rows / max(1, labels.count()))
-    labels = labels.where(draw < part * 1_000_000)
+    labels = sample_labels(labels, max_rows)
     passed = measured.where(~base_failed())
     rows = passed.join(labels.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id")).select("doc_id", *FEATURES, (F.col("quality") == 0).cast("int").alias("bad"))
     rows = staged(rows)
@@ -211,12 +217,15 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs without the rows that are rejected: each row is measured again beside the learned list, so no text is shuffled.
+    """docs without the rows that are rejected, measured in one pass: no text is shuffled.
 
-    The column `order` has no use but to keep Spark from moving the filter below the measuring, where it
-    would measure a text once for each time that the rules refer to it.
+    The rules are learned first, from the features of the labelled sample alone (its ids are broadcast; max_rows
+    bounds them). The column `order` has no use but to keep Spark from moving the filter below the measuring,
+    where it would measure a text once for each time that the rules refer to it.
     """
-    rules = learn(staged(features(docs)), labels, **options)
+    ids = sample_labels(labels, options.get("max_rows", MAX_ROWS)).select(F.col("doc_id").alias("__id"))
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id"), "left_semi")
+    rules = learn(staged(features(chosen)), labels, **options)
     row = F.struct(*(docs[c] for c in docs.columns))
     measured = features(docs.select(row.alias("doc_id"), F.col("text"))).withColumn("order", F.monotonically_increasing_id())
     return measured.where((F.col("order") >= 0) & ~base_failed() & rules.fired().isNull()).select("doc_id.*")
