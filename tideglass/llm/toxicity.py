@@ -66,7 +66,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, epochs: int
     rows = sample.mapInArrow(_featurize, f"doc_id {dict(sample.dtypes)['doc_id']}, y int, words array<int>, stems array<int>")
     run = partial(_fit_task, epochs=epochs, rate=rate, least_docs=least_docs, l2=l2, toxic_weight=toxic_weight)
     found = rows.repartition(1).sortWithinPartitions("doc_id").select("y", "words", "stems").mapInArrow(run, "weights binary, bias double").first()
-    return Model(np.frombuffer(found["weights"], np.float32), found["bias"])
+    return Model(np.frombuffer(found["weights"], np.float32), found["bias"]) if found else Model(np.zeros(SIZE, np.float32), -20.0)
 
 
 def _fit_task(batches: Iterator[pa.RecordBatch], **options) -> Iterator[pa.RecordBatch]:
