@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: ASCII punctuation; articles; bounds of the CJK block.
+#: ASCII punctuation; articles; bounds of the CJK block; what marks headings, lists and tables;
+#: numbers, and how answers state them; what separates tokens.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 ARTICLES = r"\b(a|an|the)\b"
 CJK = r"\x{4E00}-\x{9FFF}"
+HEADING = r"(?m)^#+\s|第[一二三四五六七八九十百]+[章节篇]|^\s*[\d一二三四五六七八九十]+[、.．]\s"
+LIST_OR_TABLE = r"(?m)^[-*•]|\|\s*-{2,}\s*\|"
+NUMBER = r"-?[\d,]+(?:\.\d+)?"
+MARKED_ANSWER = r"####\s*([\d,]+(?:\.\d+)?)"
+STATED_ANSWER = rf"(?i)answer\s*(?:is|=|:)\s*({NUMBER})"
+CONCLUDED_ANSWER = rf"(?i)(?:so|therefore|thus)\s*,?\s*(?:the\s+)?(?:final\s+)?answer\s*(?:is|=|:)?\s*({NUMBER})"
+TOKEN_BREAKS = r"""[\s,.:;!?()\[\]{}«»"'…—–-]+"""
 
 
 def squad_normalize(text: Column, lower_case: bool = True) -> Column:
@@ -53,15 +61,10 @@ def keyword_coverage(text: Column, keywords: Column) -> Column:
     return F.when(F.size(keywords) == 0, 0.0).otherwise(F.round(F.size(found) / F.size(keywords), 4))
 
 
-_NUMBER = r"-?[\d,]+(?:\.\d+)?"
-
-
 def final_number(text: Column) -> Column:
     """The number after "####", else after "answer is", "=" or ":" (or "so, the answer"), else the last one; null without any."""
-    marked = F.regexp_extract(text, r"####\s*([\d,]+(?:\.\d+)?)", 1)
-    stated = F.regexp_extract(text, rf"(?i)answer\s*(?:is|=|:)\s*({_NUMBER})", 1)
-    hence = F.regexp_extract(text, rf"(?i)(?:so|therefore|thus)\s*,?\s*(?:the\s+)?(?:final\s+)?answer\s*(?:is|=|:)?\s*({_NUMBER})", 1)
-    every = F.regexp_extract_all(text, F.lit(f"({_NUMBER})"), F.lit(1))
+    marked, stated, hence = (F.regexp_extract(text, pattern, 1) for pattern in (MARKED_ANSWER, STATED_ANSWER, CONCLUDED_ANSWER))
+    every = F.regexp_extract_all(text, F.lit(f"({NUMBER})"), F.lit(1))
     last = F.when(F.size(every) > 0, F.element_at(every, -1))
     found = F.coalesce(*(F.nullif(x, F.lit("")) for x in (marked, stated, hence)), last)
     return F.replace(found, F.lit(","), F.lit("")).try_cast("double")
@@ -69,7 +72,7 @@ def final_number(text: Column) -> Column:
 
 def tokens_regex(text: Column) -> Column:
     """Twice the pieces between white space and punctuation."""
-    return F.size(F.filter(F.split(text, r"""[\s,.:;!?()\[\]{}«»"'…—–-]+"""), lambda w: w != "")) * 2
+    return F.size(F.filter(F.split(text, TOKEN_BREAKS), lambda w: w != "")) * 2
 
 
 def tokens_mixed(text: Column) -> Column:
@@ -96,8 +99,8 @@ def parse_quality(text: Column) -> Column:
     """Quality of a parse from 0 to 1: length (0.1, 0.2, 0.4), headings, lists or tables, and words among its first 500 characters (0.2 each)."""
     text = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""))
     length = F.when(F.length(text) >= 800, 0.4).when(F.length(text) >= 200, 0.2).otherwise(0.1)
-    heading = text.rlike(r"(?m)^#+\s|第[一二三四五六七八九十百]+[章节篇]|^\s*[\d一二三四五六七八九十]+[、.．]\s")
-    listed = text.rlike(r"(?m)^[-*•]|\|\s*-{2,}\s*\|")
+    heading = text.rlike(HEADING)
+    listed = text.rlike(LIST_OR_TABLE)
     sample = F.substring(text, 1, 500)
     dense = (F.length(F.regexp_replace(sample, f"[^{CJK}]", "")) >= 20) | (F.regexp_count(sample, F.lit(r"[A-Za-z]{2,}")) >= 15)
     score = length + sum((m.cast("double") * 0.2 for m in (listed, dense)), heading.cast("double") * 0.2)
