@@ -413,3 +413,13 @@ def test_urls(spark):
 def test_segmenter():
     cut = url_filter.Segmenter({"cheap": 5, "pills": 4, "spam": 3, "farm": 3, "a": 50})
     assert cut("cheappills") == ["cheap", "pills"] and cut.tokens("spamfarm.com/12") == ["spam", "farm", *cut("com"), "0"]
+
+
+def test_frequent_hosts_are_segmented(spark, tmp_path):
+    """Through op9: a concatenated host seen many times is cut into words, which hosts share."""
+    page = "<title>Cheap pills</title><script>cheappills()</script><p>cheap &amp; pills, http://cheappills.info/ cheappills.info me@cheappills.info pills cheap"
+    urls = ["http://cheappills.com/en/1"] * 40 + ["http://cheappills.info/x"] * 400 + ["http://pillscheap.info/x"] * 3 + ["http://cheap-pills.info/x", "http://quiet.info/x"]
+    spark.createDataFrame([(k, u, page if k % 4 == 0 else None) for k, u in enumerate(urls)], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    odds = {r["host"]: r["odds"] for r in queries.op9_url_filter(spark, str(tmp_path)).collect()}
+    assert odds["cheappills.info"] == pytest.approx(odds["cheap-pills.info"]) == pytest.approx(odds["pillscheap.info"])
+    assert abs(odds["quiet.info"] - odds["cheap-pills.info"]) > 0.1

@@ -38,12 +38,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The segmenter counts the words of page titles and of the urls themselves."""
+    """The segmenter counts the words of page titles and texts, never those of urls: a host name that is often seen would stay whole."""
     from tideglass.llm import url_filter
 
     pages = table(spark, sf_dir, "pages")
-    titles = pages.select(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("text"))
-    judged = url_filter.judge(pages.select("page_id", "url"), titles.unionByName(pages.select(F.col("url").alias("text"))))
+    judged = url_filter.judge(pages.select("page_id", "url"), pages.select(url_filter.page_text("html").alias("text")))
     return judged.select("page_id", "host", "path", "rule", "verdict", "odds")
 
 

@@ -45,6 +45,12 @@ def split_url(url: Column | str = "url") -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
+def page_text(html: Column | str = "html") -> Column:
+    """Title and text of a page, without scripts, styles, comments, tags, entities, urls, addresses and dotted names."""
+    text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^<>]*+>", " ")
+    return F.regexp_replace(text, r"&#?\w+;|(?<!\S)\S*(?:://|@)\S*|(?<![\p{L}\p{N}_-])[\p{L}\p{N}_-]++\.[\p{L}\p{N}_.-]*[\p{L}\p{N}]", " ")
+
+
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule (host and path together) that fits; null if none does."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
