@@ -423,3 +423,14 @@ def test_frequent_hosts_are_segmented(spark, tmp_path):
     odds = {r["host"]: r["odds"] for r in queries.op9_url_filter(spark, str(tmp_path)).collect()}
     assert odds["cheappills.info"] == pytest.approx(odds["cheap-pills.info"]) == pytest.approx(odds["pillscheap.info"])
     assert abs(odds["quiet.info"] - odds["cheap-pills.info"]) > 0.1
+
+
+def test_rare_url_words_count(spark):
+    """No bound on the words of either model: 120,000 frequent ones do not push out rarer ones."""
+    pages = spark.range(120_000).selectExpr("id AS page_id", "concat('http://x.info/', translate(concat('j', id, '/', 'j', id), '0123456789', 'qwrtzpsdfg')) AS url").unionByName(
+        spark.createDataFrame([(-1, "http://zzrare.com/en/1"), (-2, "http://zzrare.info/"), (-3, "http://redbarn.info/"), (-4, "http://red-barn.info/"), (-5, "http://zzonce.info/")], "page_id bigint, url string")
+    )
+    texts = pages.where("page_id >= 0").selectExpr("substring(url, 15) AS text").unionByName(spark.createDataFrame([("red barn zzrare zzonce",)], "text string"))
+    odds = {r["page_id"]: r["odds"] for r in url_filter.judge(pages, texts).where("page_id < 0").collect()}
+    assert odds[-3] == pytest.approx(odds[-4])  # dictionary: once each, behind 120,000 words seen twice
+    assert odds[-2] - odds[-5] == pytest.approx(math.log(2))  # classifier: blocked once and allowed once, against allowed once

@@ -3,8 +3,9 @@
 `split_url` cuts host and path; `rule_of` finds the longest rule (host and its subdomains, path prefix).
 For the rest, host names are cut into words by the most likely segmentation under a unigram model
 (Viterbi), path tokens likewise, and a multinomial naive Bayes with add-one smoothing scores the words.
-It learns from the rules' own verdicts; urls that no rule covers count as allowed there, as most are. Hosts
-are segmented once each.
+It learns from the rules' own verdicts; urls that no rule covers count as allowed there, as most are.
+Each distinct run of letters is segmented once, with the counts of its own substrings joined from the full
+counts; the words' odds are joined likewise, so neither model has a bound or passes through the driver.
 
 Defined results: a null url, or one without "://", has an empty host and path, no rule and no words, so
 the more frequent class decides (allow on a tie or without any labelled url); rows may repeat.
@@ -31,8 +32,6 @@ RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-#: Words that the segmenter's model, and that the classifier's, hold at most: the most frequent ones.
-MAX_WORDS = 100_000
 _MAX_LENGTH = 24
 _RUN = re.compile(r"[a-z]+|[0-9]+|[^\W\d_a-z]+")
 
@@ -63,8 +62,9 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
 class Segmenter:
     """Most likely words of a name without spaces."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.total = sum(counts.values()) or 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        """total: of all words, where counts holds only those that a name may be cut into."""
+        self.total = total or sum(counts.values()) or 1
         self.log_p = {w: math.log(n / self.total) for w, n in counts.items()}
 
     def _price(self, word: str) -> float:
@@ -89,47 +89,66 @@ class Segmenter:
         return [w for run in _RUN.findall(text.lower()) for w in (["0"] if run.isdigit() else self(run))]
 
 
-def _top(words: DataFrame) -> dict[str, int]:
-    """The counts of the most frequent MAX_WORDS words of (word)."""
-    counts = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(MAX_WORDS)
-    return {r["word"]: r["n"] for r in counts.collect()}
+def count_words(texts: DataFrame) -> DataFrame:
+    """(word, n): how often each lower-cased word of two letters or more occurs in (text)."""
+    words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
+    return words.where("length(word) > 1").groupBy("word").agg(F.count("*").alias("n"))
 
 
-def train_segmenter(texts: DataFrame) -> Segmenter:
-    """From the counts of all lower-cased words of letters in (text); the model keeps the most frequent ones."""
-    return Segmenter(_top(texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word")).where("length(word) > 1")))
+def _runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        found = [(part, "0" if run.isdigit() else run) for part in frame["part"] for run in _RUN.findall(part.lower())]
+        yield pd.DataFrame(found, columns=["part", "run"])
+
 
+def runs_of(parts: DataFrame) -> DataFrame:
+    """(part, run): the runs of letters or digits of each row of parts; all numbers are the run "0"."""
+    return parts.mapInPandas(_runs, "part string, run string")
 
-def _tokenize(frames: Iterator[pd.DataFrame], segmenter) -> Iterator[pd.DataFrame]:
-    known = segmenter.value
+
+def _substrings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        runs, words = [], []
+        for run in frame["run"]:
+            found = {run[k:end] for k in range(len(run)) for end in range(k + 2, min(len(run), k + _MAX_LENGTH) + 1)}
+            runs += [run] * len(found)
+            words += found
+            if len(words) > 100_000:
+                yield pd.DataFrame({"run": runs, "word": words}, dtype=object)
+                runs, words = [], []
+        yield pd.DataFrame({"run": runs, "word": words}, dtype=object)
+
+
+def _segment(frames: Iterator[pd.DataFrame], total: int) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        frame["tokens"] = [known.tokens(t) for t in frame["part"]]
-        yield frame
+        tokens = [Segmenter({w["word"]: w["n"] for w in known} if known is not None else {}, total)(run) for run, known in zip(frame["run"], frame["known"])]
+        yield pd.DataFrame({"run": frame["run"], "tokens": tokens})
 
 
-def segment(parts: DataFrame, segmenter: Segmenter) -> DataFrame:
-    """(part, tokens) of each distinct part."""
-    held = parts.sparkSession.sparkContext.broadcast(segmenter)  # MAX_WORDS words
-    return parts.distinct().mapInPandas(partial(_tokenize, segmenter=held), "part string, tokens array<string>")
+def segment(runs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(run, tokens) of distinct runs (run), by the counts (word, n) of all words."""
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    known = runs.mapInPandas(_substrings, "run string, word string").join(counts, "word").groupBy("run").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    return runs.join(known, "run", "left").mapInPandas(partial(_segment, total=total), "run string, tokens array<string>")
 
 
-def train_bayes(tokens: DataFrame) -> tuple[dict[str, float], float]:
-    """(log odds of block for each word, log prior odds) of (verdict, tokens, n): n urls with these tokens."""
-    urls = {r["verdict"]: r["n"] for r in tokens.groupBy("verdict").agg(F.sum("n").alias("n")).collect()}
-    prior = math.log((urls.get("block", 0) + 1) / (urls.get("allow", 0) + 1))
-    words = tokens.select("verdict", "n", F.explode("tokens").alias("word")).groupBy("word").agg(
-        F.sum(F.when(F.col("verdict") == "block", F.col("n")).otherwise(0)).alias("block"), F.sum(F.when(F.col("verdict") == "allow", F.col("n")).otherwise(0)).alias("allow")
-    )
+def train_bayes(tokens: DataFrame, urls: DataFrame) -> tuple[DataFrame, float]:
+    """((word, odds): log odds of block for each word, log prior odds).
+
+    tokens: (verdict, word, n), n times this word in urls of this verdict; urls: (verdict, n).
+    """
+    seen = {r["verdict"]: r["n"] for r in urls.groupBy("verdict").agg(F.sum("n").alias("n")).collect()}
+    prior = math.log((seen.get("block", 0) + 1) / (seen.get("allow", 0) + 1))
+    of = lambda verdict: F.sum(F.when(F.col("verdict") == verdict, F.col("n")).otherwise(0)).alias(verdict)
+    words = staged(tokens.groupBy("word").agg(of("block"), of("allow")))
     total = words.agg(F.sum("block"), F.sum("allow"), F.count("*")).first()
-    kept = words.orderBy(F.desc(F.col("block") + F.col("allow")), "word").limit(MAX_WORDS).collect()
     base = math.log(((total[0] or 0) + total[2] + 1) / ((total[1] or 0) + total[2] + 1))
-    return {r["word"]: math.log((r["block"] + 1) / (r["allow"] + 1)) - base for r in kept}, prior
+    return words.select("word", (F.log((F.col("block") + 1) / (F.col("allow") + 1)) - base).alias("odds")), prior
 
 
-def _odds(frames: Iterator[pd.DataFrame], odds) -> Iterator[pd.DataFrame]:
-    known = odds.value
-    for frame in frames:
-        yield pd.DataFrame({"part": frame["part"], "odds": [float(sum(known.get(t, 0.0) for t in tokens)) for tokens in frame["tokens"]]})
+def _sum_odds() -> Column:
+    """Exact in any order."""
+    return F.sum(F.col("odds").cast("decimal(38,12)")).cast("double").alias("odds")
 
 
 def judge(pages: DataFrame, texts: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -141,19 +160,20 @@ def judge(pages: DataFrame, texts: DataFrame, rules: list[tuple[str, str, str]]
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     urls = staged(urls.withColumn("rule", rule).withColumn("by_rule", verdict))
-    context = urls.sparkSession.sparkContext
-    segmenter = train_segmenter(texts)
     # numbers are one token whatever they are, so that paths repeat and each is cut once
-    shape = F.regexp_replace("path", r"\d+", "0")
-    urls = urls.withColumn("shape", shape)
-    parts = urls.select(F.col("host").alias("part")).distinct().unionByName(urls.select(F.col("shape").alias("part")).distinct())
-    cut = staged(segment(parts, segmenter))
-    pairs = urls.groupBy("host", "shape", "by_rule").agg(F.count("*").alias("n"))
-    of = lambda name: cut.select(F.col("part").alias(name), F.col("tokens").alias(f"{name}_tokens"))
-    labelled = pairs.withColumn("by_rule", F.coalesce("by_rule", F.lit("allow"))).join(of("host"), "host").join(of("shape"), "shape")
-    odds, prior = train_bayes(staged(labelled.select(F.col("by_rule").alias("verdict"), F.concat("host_tokens", "shape_tokens").alias("tokens"), "n")))
-    scored = staged(cut.mapInPandas(partial(_odds, odds=context.broadcast(odds)), "part string, odds double"))
-    urls = urls.join(scored.select(F.col("part").alias("host"), F.col("odds").alias("host_odds")), "host").join(scored.select(F.col("part").alias("shape"), F.col("odds").alias("path_odds")), "shape")
-    total = F.col("host_odds") + F.col("path_odds") + F.lit(prior)
+    urls = urls.withColumn("shape", F.regexp_replace("path", r"\d+", "0"))
+    pairs = staged(urls.groupBy("host", "shape", F.coalesce("by_rule", F.lit("allow")).alias("verdict")).agg(F.count("*").alias("n")))
+    parts = pairs.select(F.col("host").alias("part")).unionByName(pairs.select(F.col("shape").alias("part"))).distinct()
+    runs = staged(runs_of(parts))
+    cut = staged(segment(runs.select("run").distinct(), staged(count_words(texts))).select("run", F.explode("tokens").alias("word")))
+    seen = pairs.select("verdict", F.col("host").alias("part"), "n").unionByName(pairs.select("verdict", F.col("shape").alias("part"), "n"))
+    of_part = seen.groupBy("part", "verdict").agg(F.sum("n").alias("n"))
+    of_run = of_part.join(runs, "part").groupBy("run", "verdict").agg(F.sum("n").alias("n"))
+    odds, prior = train_bayes(of_run.join(cut, "run").select("verdict", "word", "n"), pairs)
+    run_odds = cut.join(odds, "word").groupBy("run").agg(_sum_odds())
+    scored = staged(runs.join(run_odds, "run").groupBy("part").agg(_sum_odds()))
+    of = lambda name: scored.select(F.col("part").alias(name), F.col("odds").alias(f"{name}_odds"))
+    urls = urls.join(of("host"), "host", "left").join(of("shape"), "shape", "left")
+    total = F.coalesce("host_odds", F.lit(0.0)) + F.coalesce("shape_odds", F.lit(0.0)) + F.lit(prior)
     learned = F.when(total > 0, "block").otherwise("allow")
     return urls.select("page_id", "host", "path", "rule", F.coalesce("by_rule", learned).alias("verdict"), total.alias("odds"))
