@@ -120,6 +120,33 @@ def test_near_dedup(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [10 * k for k in range(60)]
 
 
+@pytest.mark.parametrize(("changed", "similarity"), [(21, 0.806), (25, 0.773)])
+def test_near_dedup_at_the_limit(spark, changed, similarity):
+    """Pairs just above 0.8 go, pairs just below stay: the bits alone can't tell them apart."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for k in range(60):
+        words = [word() for _ in range(200)]
+        rows.append((2 * k, " ".join(words)))
+        rows.append((2 * k + 1, " ".join(words[:-changed] + [word() for _ in range(changed)])))
+    same = 196 - changed
+    assert same / (196 + changed) == pytest.approx(similarity, abs=0.001)
+    kept = {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    gone = 120 - len(kept)
+    assert gone >= 59 if similarity >= 0.8 else gone == 0
+
+
+def test_tries_for_overlapping_slices():
+    apart = math.acos(1.6 / 1.8) / math.pi
+    differ = np.random.default_rng(7).random((20_000, 384)) < apart
+    tables = simhash.tries_needed(384, 28, 7, 2, apart, 0.99)
+    found = np.zeros(len(differ), bool)
+    for at in simhash._places(tables, 28, 384):
+        found |= (differ[:, at : at + 21].sum(axis=1) <= 2) & ~differ[:, at + 21 : at + 28].any(axis=1)
+    assert found.mean() >= 0.985
+
+
 # --- decontamination ---
 
 

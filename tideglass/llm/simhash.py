@@ -49,19 +49,23 @@ def _words_of(digests: bytes, n_words: int) -> np.ndarray:
     return out
 
 
-def _signature(text: bytes | None, shingle: int, n_words: int) -> np.ndarray:
+def _digests(text: bytes | None, shingle: int) -> bytes:
+    """Big-endian XXH64 digests of the shingles of a text."""
     from xxhash import xxh64_digest
 
     words = text.translate(LOWER_SPACED).split() if text else []
     if not words:
-        return np.zeros(n_words, np.uint64)
+        return b""
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return _words_of(xxh64_digest(joined, 42), n_words)
+        return xxh64_digest(joined, 42)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = [0, *ends.tolist()]
-    digests = b"".join([xxh64_digest(joined[a : b - 1], 42) for a, b in zip(starts, starts[shingle:])])
-    return _words_of(digests, n_words)
+    return b"".join([xxh64_digest(joined[a : b - 1], 42) for a, b in zip(starts, starts[shingle:])])
+
+
+def _signature(text: bytes | None, shingle: int, n_words: int) -> np.ndarray:
+    return _words_of(_digests(text, shingle), n_words)
 
 
 def _sign(batches: Iterator[pa.RecordBatch], shingle: int, n_words: int) -> Iterator[pa.RecordBatch]:
@@ -78,6 +82,36 @@ def signatures(docs: DataFrame, shingle: int = 3, n_words: int = 1) -> DataFrame
     return cols.mapInArrow(partial(_sign, shingle=shingle, n_words=n_words), f"doc_id {dict(cols.dtypes)['doc_id']}, sig array<bigint>")
 
 
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int, n_words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests = [_digests(t, shingle) for t in text_bytes(batch, 0)]
+        sigs = pa.array([_words_of(d, n_words).view(np.int64).tolist() for d in digests], pa.list_(pa.int64()))
+        sets = pa.array([np.unique(np.frombuffer(d, ">u8").astype(np.uint64)).tobytes() for d in digests], pa.binary())
+        yield pa.RecordBatch.from_arrays([sigs, sets], ["sig", "shingles"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2), batch.column(3)):
+            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both >= similarity * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, n_words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes (node, sig, first_id) whose sets of shingles have this Jaccard similarity; only texts of these nodes are read again."""
+    need = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
+    ids = need.select(F.col("first_id").alias("__id")).distinct()
+    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(F.col("text").cast("binary").alias("text"))
+    sets = texts.mapInArrow(partial(_sets, shingle=shingle, n_words=n_words), "sig array<bigint>, shingles binary")
+    sets = staged(need.select("node", "sig").join(sets, "sig").dropDuplicates(["node"]).select("node", "shingles"))
+    of = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_shingles"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_shingles", "b_shingles")
+    return both.mapInArrow(partial(_alike, similarity=similarity), "a bigint, b bigint")
+
+
 # --- the walk inside a task ---------------------------------------------------------------------
 
 
@@ -150,8 +184,8 @@ def _union(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
-def _walk_group(rows: pd.DataFrame, bits: int, depth: int, budget: int, limit: int) -> pd.DataFrame:
-    """The links of one pair of prefixes, as a forest over its signatures."""
+def _walk_group(rows: pd.DataFrame, bits: int, depth: int, budget: int, limit: int, sure: int) -> pd.DataFrame:
+    """The links of one pair of prefixes: those of at most sure bits as a forest over its signatures, all others between its trees (unsure)."""
     whole = np.array(rows["sig"].tolist(), np.int64).reshape(len(rows), -1)
     side = rows["side"].to_numpy()
     low = rows["key"].to_numpy().view(np.uint64) & np.uint64((1 << (bits - depth)) - 1)
@@ -165,15 +199,20 @@ def _walk_group(rows: pd.DataFrame, bits: int, depth: int, budget: int, limit: i
     own = not apart
     (ka, oa, sa), (kb, ob, sb) = keyed[0], keyed[0 if own else 1]
     if not len(ka) or not len(kb):
-        return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "unsure": np.zeros(0, bool)})
     label, words = np.arange(len(rows)), whole.view(np.uint64)
     na, nb = np.diff(sa), np.diff(sb)
+    unsure = [np.zeros((2, 0), np.int64)]
 
     def link(i: np.ndarray, j: np.ndarray) -> None:
         new = label[i] != label[j]
         i, j = i[new], j[new]
-        near = np.bitwise_count(words[i] ^ words[j]).sum(axis=1) <= limit
+        bits_apart = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64)
+        near = bits_apart <= sure
         _union(label, i[near], j[near])
+        if limit > sure:
+            perhaps = ~near & (bits_apart <= limit)
+            unsure.append(np.stack([i[perhaps], j[perhaps]]))
 
     def link_keys(u: np.ndarray, v: np.ndarray) -> None:
         """Links the rows of keys u with those of keys v, slice by slice, leaving out keys whose rows are one group already."""
@@ -200,7 +239,9 @@ def _walk_group(rows: pd.DataFrame, bits: int, depth: int, budget: int, limit: i
         link_keys(u, v)
     moved = np.flatnonzero(label != np.arange(len(rows)))
     node = rows["node"].to_numpy()
-    return pd.DataFrame({"a": node[moved], "b": node[label[moved]]})
+    p, q = np.concatenate(unsure, axis=1)
+    p, q = p[label[p] != label[q]], q[label[p] != label[q]]
+    return pd.DataFrame({"a": np.r_[node[moved], node[p]], "b": np.r_[node[label[moved]], node[q]], "unsure": np.r_[np.zeros(len(moved), bool), np.ones(len(p), bool)]})
 
 
 def spread_depth(n: int, bits: int, node_size: int) -> int:
@@ -208,20 +249,37 @@ def spread_depth(n: int, bits: int, node_size: int) -> int:
     return min(bits - 1, max(0, math.ceil(math.log2(max(1, n) / node_size))))
 
 
-def trie_edges(nodes: DataFrame, n: int, tables: int, bits: int, budget: int, limit: int, node_size: int = 1 << 15, strict: bool = False, width: int = 64) -> DataFrame:
-    """Edges (a, b) that connect all nodes linked by a trie.
+def _places(tables: int, bits: int, width: int) -> list[int]:
+    """Where the slices of the tries begin: side by side, or spread evenly with overlap."""
+    return [t * bits if tables * bits <= width else round(t * (width - bits) / (tables - 1)) for t in range(tables)]
+
+
+def tries_needed(width: int, bits: int, above: int, budget: int, apart: float, recall: float, pairs: int = 20_000) -> int:
+    """Tries (no error in their levels above) that find this share of pairs whose bits differ with probability apart, by simulation: slices may overlap."""
+    differ = np.random.default_rng(0).random((pairs, width)) < apart
+    upto = np.c_[np.zeros(pairs, np.int32), np.cumsum(differ, axis=1, dtype=np.int32)]
+    for tables in range(1, width - bits + 1):
+        at = np.array(_places(tables, bits, width))
+        split, end = at + bits - above, at + bits
+        if ((upto[:, end] == upto[:, split]) & (upto[:, split] - upto[:, at] <= budget)).any(axis=1).mean() >= recall:
+            return tables
+    return max(1, width - bits)
+
+
+def trie_edges(nodes: DataFrame, n: int, tables: int, bits: int, budget: int, limit: int, node_size: int = 1 << 15, strict: bool = False, width: int = 64, sure: int | None = None) -> DataFrame:
+    """Edges (a, b, unsure) that connect all nodes linked by a trie.
 
     nodes: (node, sig), one row per distinct signature of `width` bits, n of them. Each of `tables` tries holds
     `bits` bits of the signature; their places are spread evenly over it. Two nodes link if they differ in at
     most `budget` bits of some trie (none of them in its levels above the groups, if strict) and in at most
-    `limit` bits of the whole signature. A group holds about node_size keys a side.
+    `limit` bits of the whole signature; pairs of more than `sure` bits (default: limit) are not taken as linked, but
+    each is reported as unsure, unless a group links it otherwise. A group holds about node_size keys a side.
     """
     depth = spread_depth(n, bits, node_size)
     masks = [sum(1 << k for k in c) for r in range(budget + 1) for c in combinations(range(depth), r)]
     masks = [0] if strict else masks
     keys = []
-    for t in range(tables):
-        place = t * bits if tables * bits <= width else round(t * (width - bits) / (tables - 1))
+    for place in _places(tables, bits, width):
         word, start = divmod(place, 64)
         value = F.shiftrightunsigned(F.col("sig")[word], start)
         if start + bits > 64:
@@ -238,8 +296,8 @@ def trie_edges(nodes: DataFrame, n: int, tables: int, bits: int, budget: int, li
             F.bit_count("mask").cast("int").alias("apart"), (F.col("prefix") > F.col("other")).cast("int").alias("side"),
         )
     )
-    walk = partial(_walk_group, bits=bits, depth=depth, budget=budget, limit=limit)
-    return spread.groupBy("trie", "lo", "hi").applyInPandas(lambda rows: walk(rows), "a bigint, b bigint")
+    walk = partial(_walk_group, bits=bits, depth=depth, budget=budget, limit=limit, sure=limit if sure is None else sure)
+    return spread.groupBy("trie", "lo", "hi").applyInPandas(lambda rows: walk(rows), "a bigint, b bigint, unsure boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -260,13 +318,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link_documents(
-    docs: DataFrame, shingle: int = 3, n_words: int = 1, bits: int | None = 64, budget: int = 2, limit: int = 2, recall: float = 0.99, similarity: float | None = None, node_size: int = 1 << 15
+    docs: DataFrame, shingle: int = 3, n_words: int = 1, bits: int | None = 64, budget: int = 2, limit: int = 2, recall: float = 0.99, similarity: float | None = None, node_size: int = 1 << 15, sure: int | None = None
 ) -> DataFrame:
     """(doc_id, sig, component_id) of every row of docs; component_id is the smallest doc_id reachable over links.
 
     bits None takes log2(n) + 6 bits a trie, so that chance pairs stay in proportion to n, lets errors only below
     the levels that are spread over groups, so that each trie ships a signature once, and takes as many tries as
-    find a pair of this similarity with this recall.
+    find a pair of this similarity with this recall. With sure, pairs of more than sure bits link only if the Jaccard
+    similarity of their shingles is at least similarity.
     """
     spark = docs.sparkSession
     signed = staged(signatures(docs, shingle, n_words))
@@ -276,24 +335,33 @@ def link_documents(
     if strict:
         bits = min(48, max(12, math.ceil(math.log2(max(2, n))) + 6))
         above = spread_depth(n, bits, node_size)
-        below, apart = bits - above, math.acos(2 * similarity / (1 + similarity)) / math.pi
-        hit = (1 - apart) ** above * sum(math.comb(below, e) * apart**e * (1 - apart) ** (below - e) for e in range(budget + 1))
-        tables = max(1, min(math.ceil(math.log(1 - recall) / math.log(1 - hit)), width - bits))
-    roots = components(trie_edges(nodes.select("node", "sig"), n, tables, bits, budget, limit, node_size, strict, width))
+        tables = tries_needed(width, bits, above, budget, math.acos(2 * similarity / (1 + similarity)) / math.pi, recall)
+    edges = trie_edges(nodes.select("node", "sig"), n, tables, bits, budget, limit, node_size, strict, width, sure)
+    if sure is not None:
+        edges = staged(edges)
+        near = edges.where("NOT unsure").select("a", "b")
+        known = staged(components(near))
+        of = lambda name: known.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+        pairs = edges.where("unsure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
+        pairs = staged(pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
+        edges = near.unionByName(similar_pairs(pairs, nodes, docs, shingle, n_words, similarity))
+    roots = components(edges)
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_sig = staged(rooted.join(first, "root").select("sig", "component_id"))
     return signed.join(of_sig, "sig").select("doc_id", "sig", "component_id")
 
 
-def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, n_words: int = 6, slack: float = 1.1) -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, n_words: int = 6) -> DataFrame:
     """docs without the near copies: one row, that of the smallest doc_id, of each group of texts stays.
 
-    Similarity (Jaccard, of sets of shingles) is judged by the share of differing bits of n_words * 64
-    SimHash bits: acos(2 s / (1 + s)) / pi is expected of a pair of similarity s; slack allows for chance.
+    A pair of this similarity (Jaccard, of sets of shingles) differs in acos(2 s / (1 + s)) / pi of n_words * 64
+    SimHash bits on average. Pairs up to three standard deviations above are candidates, which their exact similarity
+    decides; those four below are taken without.
     """
-    limit = round(64 * n_words * slack * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-    linked = link_documents(docs, shingle, n_words, None, 2, limit, 0.99, similarity)
+    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    mean, deviation = 64 * n_words * apart, math.sqrt(64 * n_words * apart * (1 - apart))
+    linked = link_documents(docs, shingle, n_words, None, 2, math.ceil(mean + 3 * deviation), 0.99, similarity, sure=math.floor(mean - 4 * deviation))
     kept = staged(linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__rows")))
     out = docs.join(kept.select(F.col("doc_id").alias("__id")), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
     if kept.where("__rows > 1").limit(1).count():  # repeated ids: one row of each
