@@ -421,6 +421,18 @@ def test_sentence_dedup_passages(spark, edge, empty):
     assert sentence_dedup.remove_repeated(edge).count() == len(EDGE) and sentence_dedup.remove_repeated(empty).count() == 0
 
 
+@pytest.mark.parametrize("inner", [(13, 9), (13, 11), (20, 8, 4)])
+def test_sentence_dedup_inside_sentences(spark, inner):
+    """A repeated passage of 51 to 60 words whose ends lie inside sentences loses its whole sentences."""
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    ends = 55 - sum(inner)
+    left, middle, right = words(ends // 2), ". ".join(words(n) for n in inner), words(ends - ends // 2)
+    rows = [(k, f"{words(30)}. {words(6)} {left}. {middle}. {right} {words(6)}. {words(30)}.") for k in range(2)]
+    out = {r["doc_id"]: r for r in sentence_dedup.remove_repeated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert out[0]["n_removed"] == 0 and out[1]["removed"] == list(range(2, 2 + len(inner))) and middle not in out[1]["text"]
+
+
 # --- urls ---
 
 
