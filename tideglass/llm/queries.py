@@ -25,7 +25,7 @@ def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideglass.llm import sentence_dedup
 
-    return sentence_dedup.remove_repeated(table(spark, sf_dir, "documents"), min_words=40)
+    return sentence_dedup.remove_repeated(table(spark, sf_dir, "documents"), min_words=20, least=2)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
