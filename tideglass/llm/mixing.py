@@ -48,28 +48,28 @@ def targets(sizes: DataFrame, share: float, cap: float) -> DataFrame:
     return sizes.withColumn("target", F.least(most.cast("double"), F.lit(float(level or 0.0)) * F.col("weight")))
 
 
-def _drawn(docs: DataFrame, seed: int) -> DataFrame:
+def _drawn(docs: DataFrame, cap: float, seed: int) -> DataFrame:
     """docs (doc_id, size, measure, rate) with whole copies, the order q of the fraction and its bucket."""
     u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    expected = F.least(F.lit(2.0), F.col("rate") * F.col("measure"))
+    expected = F.least(F.lit(float(cap)), F.col("rate") * F.col("measure"))
     docs = docs.withColumn("whole", F.floor(expected)).withColumn("p", expected - F.floor(expected))
     docs = docs.withColumn("q", F.when((F.col("p") > 0), u / (1 - u) / (F.col("p") / (1 - F.col("p")))))
     return docs.withColumn("bucket", F.floor(F.col("q") / (1 + F.col("q")) * BUCKETS)).withColumn("place", F.struct("q", F.xxhash64(F.col("doc_id"), F.lit(seed + 1)).alias("tie"), "size"))
 
 
-def _plan(sized: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
+def _plan(sized: DataFrame, wanted: DataFrame, cap: float, seed: int) -> DataFrame:
     """One row a source: source, source_size, target, rate (copies for one unit of measure), crossing bucket and cutoff place."""
     steps = sized.where("size > 0").groupBy("source", "measure").agg(F.sum("size").alias("words"))
     steps = steps.join(wanted.select(F.col("source").alias("s"), "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     larger = Window.partitionBy("source").orderBy(F.desc("measure")).rowsBetween(Window.unboundedPreceding, -1)
     here_on = Window.partitionBy("source").orderBy(F.desc("measure")).rowsBetween(0, Window.unboundedFollowing)
-    full = F.coalesce(F.sum("words").over(larger), F.lit(0)) * 2.0
+    full = F.coalesce(F.sum("words").over(larger), F.lit(0)) * float(cap)
     rate = (F.col("target") - full) / F.sum(F.col("words") * F.col("measure")).over(here_on)
-    rates = steps.withColumn("rate", rate).where(F.col("rate") * F.col("measure") <= 2.0 + 1e-12).groupBy("source").agg(F.max_by("rate", "measure").alias("rate"))
+    rates = steps.withColumn("rate", rate).where(F.col("rate") * F.col("measure") <= cap + 1e-12).groupBy("source").agg(F.max_by("rate", "measure").alias("rate"))
     plan = wanted.select(F.col("source").alias("s"), "source_size", "target").join(rates, F.col("s").eqNullSafe(F.col("source")), "left")
     plan = staged(plan.select(F.col("s").alias("source"), "source_size", "target", F.coalesce("rate", F.lit(0.0)).alias("rate")))
 
-    drawn = _drawn(sized.join(plan.select(F.col("source").alias("s"), "target", "rate"), F.col("source").eqNullSafe(F.col("s"))), seed)
+    drawn = _drawn(sized.join(plan.select(F.col("source").alias("s"), "target", "rate"), F.col("source").eqNullSafe(F.col("s"))), cap, seed)
     certain = drawn.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("certain"))
     buckets = drawn.where("q is not null").groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
@@ -92,10 +92,11 @@ def _plan(sized: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: DataFrame, share: float = 1.5, cap: float = 2.0, measure: Column | None = None, seed: int = 17) -> DataFrame:
-    """docs with size, source_size, target and copies (0 to 2): how often the mix takes the row.
+    """docs with size, source_size, target and copies: how often the mix takes the row.
 
     docs: doc_id, source, text, other columns as they are. weights: (source, weight), one row a source; a
-    source that it lacks has weight 0. measure: what expected copies go by within a source, of the
+    source that it lacks has weight 0. cap: of a source's target in times its size, and of a document's expected copies,
+    so a whole cap is the most copies of it, and the next whole number for any other. measure: what expected copies go by within a source, of the
     column `size` (log2(size + 2) unless given).
     """
     measure = F.log2(F.col("size") + 2.0) if measure is None else measure
@@ -105,7 +106,7 @@ def mix(docs: DataFrame, weights: DataFrame, share: float = 1.5, cap: float = 2.
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_weight = weights.select(F.col("source").alias("s"), F.col("weight").cast("double").alias("weight"))
     sizes = staged(sizes.join(by_weight, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", F.coalesce("weight", F.lit(0.0)).alias("weight")))
-    plan = _plan(sized, targets(sizes, share, cap), seed)
+    plan = _plan(sized, targets(sizes, share, cap), cap, seed)
 
     names = {c: f"__{c}" for c in ("source", "source_size", "target", "rate", "crossing", "cutoff")}
     plan = plan.select(*(F.col(c).alias(n) for c, n in names.items()))
@@ -113,7 +114,7 @@ def mix(docs: DataFrame, weights: DataFrame, share: float = 1.5, cap: float = 2.
     rows = docs.select(*own, n_words().alias("size")).withColumn("__measure", measure)
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("__source")))
     kept = rows.select(F.struct(*own, "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target")).alias("row"), "doc_id", "size", F.col("__measure").alias("measure"), F.col("__rate").alias("rate"), "__crossing", "__cutoff")
-    drawn = _drawn(kept, seed)
+    drawn = _drawn(kept, cap, seed)
     in_order = F.col("__crossing").isNull() | (F.col("bucket") < F.col("__crossing")) | ((F.col("bucket") == F.col("__crossing")) & F.coalesce(F.col("place") <= F.col("__cutoff"), F.lit(False)))
     copies = (F.col("whole") + F.when(F.col("q").isNotNull() & in_order, 1).otherwise(0)).cast("int")
     return drawn.select("row.*", F.coalesce(copies, F.lit(0)).alias("copies"))
