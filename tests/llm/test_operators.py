@@ -94,14 +94,42 @@ def test_trie_pairs(bits, budget):
     assert flat(simhash.trie_pairs(a, b, bits, budget)) == [(i, j) for i in range(len(keys)) for j in range(len(other)) if near(keys[i], other[j])]
 
 
-def test_trie_with_deep_prefixes(spark):
+@pytest.mark.parametrize("node_size", [16, 2])
+def test_trie_with_deep_prefixes(spark, node_size):
+    """Small groups: prefixes with masks, and crowded ones walked further down in Spark."""
     rng = random.Random(4)
     base = [rng.getrandbits(63) for _ in range(30)]
     sigs = sorted({b ^ sum(1 << rng.randrange(62) for _ in range(rng.randrange(3))) for b in base for _ in range(6)})
-    nodes = spark.createDataFrame([(s, [s]) for s in sigs], "node bigint, sig array<bigint>")
-    found = simhash.components(simhash.trie_edges(nodes, len(sigs), 1, 64, 2, 2, node_size=16)).collect()
+    nodes = spark.createDataFrame([(k, [s]) for k, s in enumerate(sigs)], "node bigint, sig array<bigint>")
+    found = simhash.components(simhash.trie_edges(nodes, len(sigs), 1, 64, 2, 2, node_size=node_size)).collect()
     want = reachable(sigs, lambda a, b: bin(a ^ b).count("1") <= 2)
-    assert {s: s for s in sigs} | {r["node"]: r["root"] for r in found} == want
+    number = {s: k for k, s in enumerate(sigs)}
+    assert {k: k for k in number.values()} | {r["node"]: r["root"] for r in found} == {number[s]: number[r] for s, r in want.items()}
+
+
+def test_trie_with_crowded_keys(spark):
+    """Rows that share all bits of a trie are dealt over pairs of blocks; one crowded prefix goes down by levels."""
+    rng = random.Random(6)
+    rows = [(k, [rng.getrandbits(60) if k % 3 else 5, sum(1 << rng.randrange(60) for _ in range(rng.randrange(5)))]) for k in range(90)]
+    nodes = spark.createDataFrame(rows, "node bigint, sig array<bigint>")
+    found = simhash.components(simhash.trie_edges(nodes, len(rows), 1, 24, 2, 6, node_size=4, width=128)).collect()
+    low = (1 << 24) - 1
+    apart = lambda a, b: sum(bin(x ^ y).count("1") for x, y in zip(rows[a][1], rows[b][1]))
+    want = reachable(range(90), lambda a, b: bin((rows[a][1][0] ^ rows[b][1][0]) & low).count("1") <= 2 and apart(a, b) <= 6)
+    assert {k: k for k in range(90)} | {r["node"]: r["root"] for r in found} == want
+
+
+def test_least_forest():
+    rng = np.random.default_rng(1)
+    i, j, w = rng.integers(0, 40, 200), rng.integers(0, 40, 200), rng.integers(0, 9, 200)
+    kept, root = simhash.least_forest(40, i, j, w), list(range(40))
+    total = 0
+    for k in np.argsort(w, kind="stable"):  # edge by edge
+        a, b = root[i[k]], root[j[k]]
+        if a != b:
+            total += w[k]
+            root = [a if r == b else r for r in root]
+    assert w[kept].sum() == total and len(kept) == 40 - len(set(root))
 
 
 def test_near_dedup(spark):
@@ -137,6 +165,92 @@ def test_near_dedup_at_the_limit(spark, changed, similarity):
     assert gone >= 59 if similarity >= 0.8 else gone == 0
 
 
+def five_word_sets(rows):
+    """{doc_id: distinct five-word shingles}."""
+    out = {}
+    for i, t in rows:
+        w = SPACE.findall(lower(t or ""))
+        out[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    return out
+
+
+def similar_groups(sets, least):
+    """{doc_id: smallest doc_id reachable over pairs of this Jaccard similarity}, by counting shared shingles, and the pairs."""
+    holders, shared = defaultdict(list), Counter()
+    for i, s in sets.items():
+        for x in s:
+            holders[x].append(i)
+    for found in holders.values():
+        for k, a in enumerate(sorted(found)):
+            shared.update((a, b) for b in sorted(found)[k + 1 :])
+    pairs = {p: n / (len(sets[p[0]]) + len(sets[p[1]]) - n) for p, n in shared.items()}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    near = {p: j for p, j in pairs.items() if j >= least}
+    for a, b in near:
+        x, y = top(a), top(b)
+        root[max(x, y)] = min(x, y)
+    return {i: top(i) for i in sets}, near
+
+
+def test_near_dedup_on_a_larger_table(spark):
+    """All pairs from 0.8 on are found among 10,000 documents, those just above included, and no others."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    first = {}
+    for r in docs.select("doc_id", "text").orderBy("doc_id").collect():
+        first.setdefault(r["text"], r["doc_id"])
+    groups, near = similar_groups(five_word_sets((i, t) for t, i in first.items()), 0.8)
+    assert sum(0.8 <= j < 0.95 for j in near.values()) >= 20
+    kept = {r["doc_id"] for r in simhash.near_dedup(docs).select("doc_id").collect()}
+    both = [p for p in near if p[0] in kept and p[1] in kept]
+    assert len(both) <= 0.01 * len(near) and not {i for i, g in groups.items() if i == g} - kept
+
+
+def test_near_dedup_of_a_crowd(spark):
+    """A group of near copies around the limit, larger than a block: the same classes as by brute force."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, rows = [word() for _ in range(120)], []
+    for k in range(90):
+        words = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            words[rng.randrange(120)] = word()
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame([*rows, rows[5], (None, rows[7][1] + " x"), (7, "another text of id seven")], "doc_id bigint, text string")
+    groups, near = similar_groups(five_word_sets(rows), 0.8)
+    assert any(j < 0.85 for j in near.values()) and len(set(groups.values())) > 1
+    linked = {r["doc_id"]: r["component_id"] for r in simhash.link_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 6, None, 2, 80, 0.99, 0.8, 1 << 17, 30).collect()}
+    assert linked == groups
+    assert simhash.near_dedup(docs).count() >= len(set(groups.values()))
+
+
+@pytest.mark.parametrize("block", [8, 1 << 10])
+def test_exact_check_in_blocks(spark, block):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(100)]
+    rows = [(k, " ".join(base[: 100 - k] + [f"{w}{k}" for w in base[100 - k :]])) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    nodes = simhash.signatures(docs, 5, 6).withColumnsRenamed({"doc_id": "first_id"}).withColumn("node", F.col("first_id"))
+    chain = spark.createDataFrame([(k, k + 1, True) for k in range(39)], "a bigint, b bigint, unsure boolean")
+    got = {r["node"]: r["root"] for r in simhash.components(simhash.checked_edges(chain, nodes, docs, 5, 6, 384, 0.8, block)).collect()}
+    want = similar_groups(five_word_sets(rows), 0.8)[0]
+    assert {k: k for k, _ in rows} | got == want
+
+
+def test_near_dedup_edges(spark, edge, empty):
+    kept = simhash.near_dedup(edge)
+    assert kept.columns == edge.columns and kept.count() == 6  # the texts without words, and the two equal rows, are one each
+    assert simhash.near_dedup(empty).count() == 0
+    linked = simhash.link_documents(edge).collect()
+    assert len(linked) == len(EDGE) and simhash.link_documents(empty).count() == 0
+
+
 def test_tries_for_overlapping_slices():
     apart = math.acos(1.6 / 1.8) / math.pi
     differ = np.random.default_rng(7).random((20_000, 384)) < apart
@@ -262,6 +376,40 @@ def test_mixing(spark, sf_dir, texts):
         assert abs(taken[s] - target[s]) <= longest
 
 
+@pytest.mark.parametrize(("cap", "share"), [(1.0, 0.6), (1.0, 1.5), (1.5, 1.2), (3.0, 2.8), (3.0, 0.5), (2.0, 1.9)])
+def test_mixing_caps(spark, cap, share):
+    """Every cap bounds targets and copies, and the words taken come near the targets."""
+    rng = random.Random(11)
+    rows = [(k, "ab"[k % 7 == 0], " ".join("w" for _ in range(rng.randint(1, 40)))) for k in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    got = mixing.mix(docs, mixing.repeating_weights(docs), share, cap).collect()
+    size, taken, target = Counter(), Counter(), {}
+    for r in got:
+        assert 0 <= r["copies"] <= math.ceil(cap)
+        size[r["source"]] += r["size"]
+        taken[r["source"]] += r["size"] * r["copies"]
+        target[r["source"]] = r["target"]
+    total = share * sum(size.values())
+    assert sum(target.values()) == pytest.approx(min(total, cap * sum(size.values())))
+    for s in size:
+        assert target[s] <= cap * size[s] + 1e-6 and abs(taken[s] - target[s]) <= 40
+
+
+def test_mixing_order(spark):
+    """Within a source the fraction goes by random odds over inclusion odds: all taken ones come before all that are not, and larger texts are likelier."""
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(k, "a", " ".join("w" for _ in range(1 + k % 60))) for k in range(3000)], "doc_id bigint, source string, text string")
+    rows = mixing.mix(docs, mixing.repeating_weights(docs), 0.5, 2.0, seed=17).withColumn("u", (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(17)), 11).cast("double") + 0.5) / float(1 << 53)).collect()
+    measure = lambda n: max(1.0, round(math.log2(n + 2) * mixing.STEP)) / mixing.STEP
+    rate = rows[0]["target"] / sum(r["size"] * measure(r["size"]) for r in rows)
+    rank = lambda r: (lambda p: r["u"] / (1 - r["u"]) / (p / (1 - p)))(rate * measure(r["size"]))
+    assert max(rate * measure(r["size"]) for r in rows) < 1
+    assert max(rank(r) for r in rows if r["copies"]) < min(rank(r) for r in rows if not r["copies"])
+    rng.shuffle(rows)
+    large, small = ([r["copies"] for r in rows if (r["size"] > 30) == big] for big in (True, False))
+    assert np.mean(large) > np.mean(small)
+
+
 def test_mixing_edges(spark, edge, empty):
     rows = mixing.mix(edge, mixing.repeating_weights(edge)).collect()
     assert len(rows) == len(EDGE) and all(0 <= r["copies"] <= 2 for r in rows)

@@ -3,9 +3,9 @@
 `signatures` gives each document one or more 64-bit SimHash words. `trie_edges` links distinct
 signatures: it walks pairs of trie nodes downwards together, adds up the bits in which they differ,
 and drops a pair of nodes once the error budget is exceeded. The top levels of the trie are spread
-over Spark groups (one group per pair of prefixes within the budget), the levels below are walked
-inside a task with numpy. Each task reports a spanning forest of its links, never all pairs of a
-group. `components` joins the forests in Spark with star contraction.
+over Spark groups (one group per pair of prefixes within the budget, further down where signatures
+crowd), the levels below are walked inside a task with numpy. Each task reports a spanning forest of its
+links, never all pairs of a group. `components` joins the forests in Spark with star contraction.
 
 Defined results: null and empty texts have no words and signature zero, and link like any other;
 repeated rows get the same component; an empty table gives an empty result; other columns are ignored.
@@ -82,36 +82,6 @@ def signatures(docs: DataFrame, shingle: int = 3, n_words: int = 1) -> DataFrame
     return cols.mapInArrow(partial(_sign, shingle=shingle, n_words=n_words), f"doc_id {dict(cols.dtypes)['doc_id']}, sig array<bigint>")
 
 
-def _sets(batches: Iterator[pa.RecordBatch], shingle: int, n_words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        digests = [_digests(t, shingle) for t in text_bytes(batch, 0)]
-        sigs = pa.array([_words_of(d, n_words).view(np.int64).tolist() for d in digests], pa.list_(pa.int64()))
-        sets = pa.array([np.unique(np.frombuffer(d, ">u8").astype(np.uint64)).tobytes() for d in digests], pa.binary())
-        yield pa.RecordBatch.from_arrays([sigs, sets], ["sig", "shingles"])
-
-
-def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both >= similarity * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, n_words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes (node, sig, first_id) whose sets of shingles have this Jaccard similarity; only texts of these nodes are read again."""
-    need = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
-    ids = need.select(F.col("first_id").alias("__id")).distinct()
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(F.col("text").cast("binary").alias("text"))
-    sets = texts.mapInArrow(partial(_sets, shingle=shingle, n_words=n_words), "sig array<bigint>, shingles binary")
-    sets = staged(need.select("node", "sig").join(sets, "sig").dropDuplicates(["node"]).select("node", "shingles"))
-    of = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_shingles"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_shingles", "b_shingles")
-    return both.mapInArrow(partial(_alike, similarity=similarity), "a bigint, b bigint")
-
-
 # --- the walk inside a task ---------------------------------------------------------------------
 
 
@@ -184,25 +154,60 @@ def _union(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
-def _walk_group(rows: pd.DataFrame, bits: int, depth: int, budget: int, limit: int, sure: int) -> pd.DataFrame:
-    """The links of one pair of prefixes: those of at most sure bits as a forest over its signatures, all others between its trees (unsure)."""
-    whole = np.array(rows["sig"].tolist(), np.int64).reshape(len(rows), -1)
-    side = rows["side"].to_numpy()
-    low = rows["key"].to_numpy().view(np.uint64) & np.uint64((1 << (bits - depth)) - 1)
+def least_forest(n: int, i: np.ndarray, j: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which edges (i, j) make up a spanning forest of n points of least weight: each group takes its lightest edge, until none joins two groups."""
+    order = np.argsort(weight, kind="stable")
+    i, j = i[order], j[order]
+    label, live, chosen = np.arange(n), np.arange(len(i)), []
+    while True:
+        p, q = label[i[live]], label[j[live]]
+        live, p, q = live[p != q], p[p != q], q[p != q]
+        if not len(live):
+            return order[np.concatenate(chosen)] if chosen else order[:0]
+        best = np.full(n, len(i))
+        np.minimum.at(best, p, live)
+        np.minimum.at(best, q, live)
+        pick = np.unique(best[best < len(i)])
+        chosen.append(pick)
+        _union(label, i[pick], j[pick])
+
+
+def _slice_keys(words: np.ndarray, place: int, bits: int) -> np.ndarray:
+    """The bits of signatures [rows, words] from this place on."""
+    word, start = divmod(place, 64)
+    value = words[:, word] >> np.uint64(start)
+    if start + bits > 64:
+        value = value | words[:, word + 1] << np.uint64(64 - start)
+    return value if bits == 64 else value & np.uint64((1 << bits) - 1)
+
+
+def _walk_group(rows: pd.DataFrame, places: list[int], bits: int, budget: int, limit: int, sure: int) -> pd.DataFrame:
+    """The links of one group: those of at most sure bits as a forest over its signatures, and a least forest of the others (unsure) between its trees."""
+    words = np.array(rows["sig"].tolist(), np.int64).reshape(len(rows), -1).view(np.uint64)
+    side, first = rows["side"].to_numpy(), rows.iloc[0]
+    low = _slice_keys(words, places[first["trie"]], bits) & np.uint64((1 << (bits - int(first["depth"]))) - 1)
     at = [np.flatnonzero(side == s) for s in (0, 1)]
+    own, apart = not first["two_sided"], int(first["apart"])
+    node = rows["node"].to_numpy()
+    if not len(at[0]) or not own and not len(at[1]):
+        return pd.DataFrame({"a": node[:0], "b": node[:0], "unsure": np.zeros(0, bool)})
     keyed = []  # for each side: its distinct keys, and where the rows of each begin in the order of keys
-    for k in at:
+    for k in at[:1] if own else at:
         order = k[np.argsort(low[k], kind="stable")]
         keys, starts = np.unique(low[order], return_index=True)
         keyed.append((keys, order, np.r_[starts, len(order)]))
-    apart = int(rows["apart"].iloc[0])
-    own = not apart
-    (ka, oa, sa), (kb, ob, sb) = keyed[0], keyed[0 if own else 1]
-    if not len(ka) or not len(kb):
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "unsure": np.zeros(0, bool)})
-    label, words = np.arange(len(rows)), whole.view(np.uint64)
+    (ka, oa, sa), (kb, ob, sb) = keyed[0], keyed[-1]
+    label = np.arange(len(rows))
     na, nb = np.diff(sa), np.diff(sb)
-    unsure = [np.zeros((2, 0), np.int64)]
+    held = [np.zeros((3, 0), np.int64)]  # unsure pairs: rows i, j and the bits between them
+
+    def thin() -> None:
+        i, j, apart_by = np.concatenate(held, axis=1)
+        new = label[i] != label[j]
+        i, j, apart_by = i[new], j[new], apart_by[new]
+        keep = least_forest(len(rows), label[i], label[j], apart_by)
+        i, j, apart_by = i[keep], j[keep], apart_by[keep]
+        held[:] = [np.stack([i, j, apart_by])]
 
     def link(i: np.ndarray, j: np.ndarray) -> None:
         new = label[i] != label[j]
@@ -212,7 +217,9 @@ def _walk_group(rows: pd.DataFrame, bits: int, depth: int, budget: int, limit: i
         _union(label, i[near], j[near])
         if limit > sure:
             perhaps = ~near & (bits_apart <= limit)
-            unsure.append(np.stack([i[perhaps], j[perhaps]]))
+            held.append(np.stack([i[perhaps], j[perhaps], bits_apart[perhaps]]))
+            if sum(h.shape[1] for h in held[1:]) > _FRONTIER:
+                thin()
 
     def link_keys(u: np.ndarray, v: np.ndarray) -> None:
         """Links the rows of keys u with those of keys v, slice by slice, leaving out keys whose rows are one group already."""
@@ -235,12 +242,11 @@ def _walk_group(rows: pd.DataFrame, bits: int, depth: int, budget: int, limit: i
             for at_row in range(len(same) - 1):
                 rest = same[at_row + 1 :]
                 link(np.full(len(rest), same[at_row]), rest)
-    for u, v in trie_pairs(ka, None if own else kb, bits - depth, budget - apart):
+    for u, v in trie_pairs(ka, None if own else kb, bits - int(first["depth"]), budget - apart):
         link_keys(u, v)
+    thin()
     moved = np.flatnonzero(label != np.arange(len(rows)))
-    node = rows["node"].to_numpy()
-    p, q = np.concatenate(unsure, axis=1)
-    p, q = p[label[p] != label[q]], q[label[p] != label[q]]
+    p, q, _ = held[0]
     return pd.DataFrame({"a": np.r_[node[moved], node[p]], "b": np.r_[node[label[moved]], node[q]], "unsure": np.r_[np.zeros(len(moved), bool), np.ones(len(p), bool)]})
 
 
@@ -266,38 +272,84 @@ def tries_needed(width: int, bits: int, above: int, budget: int, apart: float, r
     return max(1, width - bits)
 
 
+def _key(place: int, bits: int):
+    """The bits of the column sig from this place on."""
+    word, start = divmod(place, 64)
+    value = F.shiftrightunsigned(F.col("sig")[word], start)
+    if start + bits > 64:
+        value = value.bitwiseOR(F.shiftleft(F.col("sig")[word + 1], 64 - start))
+    return value if bits == 64 else value.bitwiseAND((1 << bits) - 1)
+
+
+def _deeper(rows: DataFrame, bits: int, depth: int, step: int, budget: int) -> DataFrame:
+    """rows (trie, key, own, other, ...) of pairs of trie nodes at this depth, moved to the pairs of their children `step` levels below within the budget."""
+    masks = [sum(1 << k for k in c) for r in range(min(budget, step) + 1) for c in combinations(range(step), r)]
+    below = F.shiftrightunsigned("key", bits - depth - step).bitwiseAND((1 << step) - 1)
+    apart = F.bit_count(F.col("own").bitwiseXOR(F.col("other"))) + F.bit_count("mask")
+    rows = rows.withColumn("mask", F.explode(F.array(*(F.lit(m).cast("long") for m in masks)))).where(apart <= budget)
+    rows = rows.withColumn("own", F.shiftleft("own", step).bitwiseOR(below)).withColumn("other", F.shiftleft("other", step).bitwiseOR(below.bitwiseXOR(F.col("mask"))))
+    return rows.drop("mask")
+
+
 def trie_edges(nodes: DataFrame, n: int, tables: int, bits: int, budget: int, limit: int, node_size: int = 1 << 15, strict: bool = False, width: int = 64, sure: int | None = None) -> DataFrame:
     """Edges (a, b, unsure) that connect all nodes linked by a trie.
 
     nodes: (node, sig), one row per distinct signature of `width` bits, n of them. Each of `tables` tries holds
     `bits` bits of the signature; their places are spread evenly over it. Two nodes link if they differ in at
     most `budget` bits of some trie (none of them in its levels above the groups, if strict) and in at most
-    `limit` bits of the whole signature; pairs of more than `sure` bits (default: limit) are not taken as linked, but
-    each is reported as unsure, unless a group links it otherwise. A group holds about node_size keys a side.
+    `limit` bits of the whole signature. Pairs of at most `sure` bits (default: limit) are linked; between the trees of
+    these a least forest of the other pairs is reported as unsure.
+
+    A group is a pair of trie nodes. It holds about node_size keys a side; where signatures crowd and it holds more
+    than four times that, the pair is walked further down in Spark, until its parts are smaller. Rows that share all
+    of a trie's bits are dealt over pairs of blocks instead.
     """
-    depth = spread_depth(n, bits, node_size)
-    masks = [sum(1 << k for k in c) for r in range(budget + 1) for c in combinations(range(depth), r)]
-    masks = [0] if strict else masks
-    keys = []
-    for place in _places(tables, bits, width):
-        word, start = divmod(place, 64)
-        value = F.shiftrightunsigned(F.col("sig")[word], start)
-        if start + bits > 64:
-            value = value.bitwiseOR(F.shiftleft(F.col("sig")[word + 1], 64 - start))
-        keys.append(value if bits == 64 else value.bitwiseAND((1 << bits) - 1))
-    prefix = F.shiftrightunsigned("key", bits - depth) if depth else F.lit(0).cast("long")
-    spread = (
-        nodes.select("node", "sig", F.posexplode(F.array(*keys)).alias("trie", "key"))
-        .withColumn("prefix", prefix)
-        .withColumn("mask", F.explode(F.array(*(F.lit(m).cast("long") for m in masks))))
-        .withColumn("other", F.col("prefix").bitwiseXOR(F.col("mask")))
-        .select(
-            "trie", F.least("prefix", "other").alias("lo"), F.greatest("prefix", "other").alias("hi"), "node", "sig", "key",
-            F.bit_count("mask").cast("int").alias("apart"), (F.col("prefix") > F.col("other")).cast("int").alias("side"),
-        )
-    )
-    walk = partial(_walk_group, bits=bits, depth=depth, budget=budget, limit=limit, sure=limit if sure is None else sure)
-    return spread.groupBy("trie", "lo", "hi").applyInPandas(lambda rows: walk(rows), "a bigint, b bigint, unsure boolean")
+    depth, most = spread_depth(n, bits, node_size), 4 * node_size
+    places = _places(tables, bits, width)
+    rows = nodes.select("node", "sig", F.posexplode(F.array(*(_key(p, bits) for p in places))).alias("trie", "key"))
+    zero = F.lit(0).cast("long")
+    if strict or not depth:
+        top = F.shiftrightunsigned("key", bits - depth) if depth else zero
+        rows = rows.withColumn("own", top).withColumn("other", top)
+    else:
+        rows = _deeper(rows.withColumn("own", zero).withColumn("other", zero), bits, 0, depth, budget)
+    lo, hi = F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
+    parts = []
+    while True:
+        sizes = rows.groupBy("trie", lo, hi).agg(F.count("*").alias("__n")).where(F.col("__n") > most)
+        hot = staged(sizes.select(F.col("trie").alias("__trie"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), F.ceil(F.col("__n") / most).cast("int").alias("blocks")))
+        if not hot.limit(1).count():
+            parts.append((depth, rows.withColumn("blocks", F.lit(1))))
+            break
+        same = (F.col("trie") == F.col("__trie")) & (F.least("own", "other") == F.col("__lo")) & (F.greatest("own", "other") == F.col("__hi"))
+        parts.append((depth, rows.join(hot, same, "left_anti").withColumn("blocks", F.lit(1))))
+        rows = rows.join(hot, same).drop("__trie", "__lo", "__hi")
+        step = min(4, bits - depth)
+        if not step:
+            parts.append((depth, rows))
+            break
+        rows = _deeper(rows.drop("blocks"), bits, depth, step, budget)
+        depth += step
+    side = (F.col("own") > F.col("other")).cast("int")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = []
+    for d, part in parts:
+        part = part.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        one = F.col("own") == F.col("other")
+        dealt.append(
+            part.select(
+                "trie", F.lit(d).alias("depth"), lo, hi, "node", "sig", F.bit_count(F.col("own").bitwiseXOR(F.col("other"))).cast("int").alias("apart"),
+                F.when(one | (side == 0), F.when(one, F.least("block", "with")).otherwise(F.col("block"))).otherwise(F.col("with")).alias("x"),
+                F.when(one | (side == 0), F.when(one, F.greatest("block", "with")).otherwise(F.col("with"))).otherwise(F.col("block")).alias("y"),
+                F.when(one, (F.col("block") > F.col("with")).cast("int")).otherwise(side).alias("side"),
+                (~one | (F.col("block") != F.col("with"))).alias("two_sided"),
+            )
+        )
+    walk = partial(_walk_group, places=places, bits=bits, budget=budget, limit=limit, sure=limit if sure is None else sure)
+    spread = dealt[0]
+    for part in dealt[1:]:
+        spread = spread.unionByName(part)
+    return spread.groupBy("trie", "depth", "lo", "hi", "x", "y").applyInPandas(lambda rows: walk(rows), "a bigint, b bigint, unsure boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -325,33 +377,110 @@ def link_documents(
     bits None takes log2(n) + 6 bits a trie, so that chance pairs stay in proportion to n, lets errors only below
     the levels that are spread over groups, so that each trie ships a signature once, and takes as many tries as
     find a pair of this similarity with this recall. With sure, pairs of more than sure bits link only if the Jaccard
-    similarity of their shingles is at least similarity.
+    similarity of their shingles is at least similarity (see checked_edges).
     """
-    spark = docs.sparkSession
     signed = staged(signatures(docs, shingle, n_words))
-    nodes = staged(signed.groupBy("sig").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.col("sig")[0] if n_words == 1 else F.xxhash64("sig")))
+    # numbered once, when it is written: no two signatures share a node
+    nodes = staged(signed.groupBy("sig").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.monotonically_increasing_id()))
     n = nodes.count()
     tables, strict, width = 1, bits is None, 64 * n_words
     if strict:
-        bits = min(48, max(12, math.ceil(math.log2(max(2, n))) + 6))
+        bits = min(62, max(12, math.ceil(math.log2(max(2, n))) + 6))
         above = spread_depth(n, bits, node_size)
         tables = tries_needed(width, bits, above, budget, math.acos(2 * similarity / (1 + similarity)) / math.pi, recall)
     edges = trie_edges(nodes.select("node", "sig"), n, tables, bits, budget, limit, node_size, strict, width, sure)
     if sure is not None:
-        edges = staged(edges)
-        near = edges.where("NOT unsure").select("a", "b")
-        known = staged(components(near))
-        of = lambda name: known.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
-        pairs = edges.where("unsure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
-        pairs = staged(pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
-        edges = near.unionByName(similar_pairs(pairs, nodes, docs, shingle, n_words, similarity))
+        edges = checked_edges(staged(edges), nodes, docs, shingle, n_words, limit, similarity)
     roots = components(edges)
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = staged(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_sig = staged(rooted.join(first, "root").select("sig", "component_id"))
     return signed.join(of_sig, "sig").select("doc_id", "sig", "component_id")
 
 
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int, n_words: int) -> Iterator[pa.RecordBatch]:
+    """Rows (root, label, node, sig, text) with the text's distinct shingle hashes instead of it; texts of another signature go."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            digests = [_digests(t, shingle) for t in text_bytes(part, 4)]
+            same = [_words_of(d, n_words).view(np.int64).tolist() == sig for d, sig in zip(digests, part.column(3).to_pylist())]
+            sets = pa.array([np.unique(np.frombuffer(d, ">u8").astype(np.uint64)).tobytes() for d in digests], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), sets], ["root", "label", "node", "sig", "shingles"]).filter(pa.array(same, pa.bool_()))
+
+
+def _link_group(rows: pd.DataFrame, limit: int, similarity: float) -> pd.DataFrame:
+    """Edges (a, b) between the known components of a block, or of two, whose texts have this similarity: candidate pairs in order of their bits, until all are joined."""
+    words = np.array(rows["sig"].tolist(), np.int64).view(np.uint64)
+    node, side, own = rows["node"].to_numpy(), rows["side"].to_numpy(), not rows["two_sided"].iloc[0]
+    sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+    of = np.unique(rows["label"].to_numpy(), return_inverse=True)[1]
+    label, out = list(range(int(of.max()) + 1)), []
+    candidates = [np.zeros((3, 0), np.int64)]
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if own else 1))
+    for i in left:
+        others = right[right > i] if own else right
+        others = others[of[others] != of[i]]
+        apart = np.bitwise_count(words[others] ^ words[i]).sum(axis=1, dtype=np.int64)
+        near = apart <= limit
+        candidates.append(np.stack([np.full(int(near.sum()), i), others[near], apart[near]]))
+    pairs = np.concatenate(candidates, axis=1)
+
+    def root(k: int) -> int:
+        while label[k] != k:
+            label[k] = label[label[k]]
+            k = label[k]
+        return k
+
+    for k in np.argsort(pairs[2], kind="stable").tolist():
+        i, j = int(pairs[0, k]), int(pairs[1, k])
+        p, q = root(of[i]), root(of[j])
+        if p == q:
+            continue
+        x, y = sets[i], sets[j]
+        least = similarity * max(len(x), len(y))
+        if min(len(x), len(y)) < least:
+            continue
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        if both >= similarity * (len(x) + len(y) - both):
+            label[max(p, q)] = min(p, q)
+            out.append((node[i], node[j]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+
+def checked_edges(edges: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, n_words: int, limit: int, similarity: float, block: int = 1 << 10) -> DataFrame:
+    """Edges (a, b): the sure ones of edges (a, b, unsure), and those between their components that the exact similarity of texts makes.
+
+    Unsure edges join sure components to candidate components, outside of which no candidate pair lies. Each text of a
+    candidate component with unsure edges is read once, as its set of shingle hashes, and all its pairs of at most
+    `limit` bits between sure components are compared inside one task, or, beyond `block` texts, in one task for each pair of blocks.
+    """
+    sure = staged(edges.where("NOT unsure").select("a", "b"))
+    label = staged(components(sure))
+    root = staged(components(edges.select("a", "b")))
+    of = lambda name: label.select(F.col("node").alias(name), F.col("root").alias(f"{name}_label"))
+    open_edges = edges.where("unsure").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b"))
+    torn = open_edges.join(root.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("root", "a").alias("root")).distinct()
+    members = root.join(torn, "root", "left_semi").unionByName(torn.select(F.col("root").alias("node"), "root"))
+    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    need = nodes.join(members.join(sizes, "root"), "node").join(label.withColumnRenamed("root", "label"), "node", "left")
+    need = staged(need.select(F.col("first_id").alias("__id"), "root", F.coalesce("label", "node").alias("label"), "node", "sig", "blocks"))
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("__text"))
+    rows = texts.join(need.drop("blocks"), F.col("doc_id").eqNullSafe(F.col("__id"))).select("root", "label", "node", "sig", "__text")
+    sets = rows.mapInArrow(partial(_sets, shingle=shingle, n_words=n_words), "root bigint, label bigint, node bigint, sig array<bigint>, shingles binary")
+    if docs.count() > docs.select("doc_id").distinct().count():
+        sets = sets.dropDuplicates(["node"])  # rows of one doc_id may hold one text several times
+    number = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    sets = sets.join(sizes.withColumnRenamed("root", "__root"), F.col("root") == F.col("__root")).drop("__root").withColumn("number", number)
+    sets = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = sets.select(
+        "root", F.least("number", "with").alias("x"), F.greatest("number", "with").alias("y"), (F.col("number") > F.col("with")).cast("int").alias("side"),
+        (F.col("number") != F.col("with")).alias("two_sided"), "label", "node", "sig", "shingles",
+    )
+    link = partial(_link_group, limit=limit, similarity=similarity)
+    return sure.unionByName(dealt.groupBy("root", "x", "y").applyInPandas(lambda rows: link(rows), "a bigint, b bigint"))
+
+
 def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, n_words: int = 6) -> DataFrame:
     """docs without the near copies: one row, that of the smallest doc_id, of each group of texts stays.
 
@@ -361,7 +490,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, n_wor
     """
     apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
     mean, deviation = 64 * n_words * apart, math.sqrt(64 * n_words * apart * (1 - apart))
-    linked = link_documents(docs, shingle, n_words, None, 2, math.ceil(mean + 3 * deviation), 0.99, similarity, sure=math.floor(mean - 4 * deviation))
+    linked = link_documents(docs, shingle, n_words, None, 2, math.ceil(mean + 3 * deviation), 0.99, similarity, 1 << 17, math.floor(mean - 4 * deviation))
     kept = staged(linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__rows")))
     out = docs.join(kept.select(F.col("doc_id").alias("__id")), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
     if kept.where("__rows > 1").limit(1).count():  # repeated ids: one row of each
