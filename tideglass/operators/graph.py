@@ -80,7 +80,7 @@ def neighbors(edges: DataFrame, seeds: DataFrame, hops: int, at: Column | None =
     frontier = found
     for k in range(1, hops + 1):
         step = frontier.join(ways, "node").select("seed", F.col("other").alias("node")).distinct()
-        frontier = step.join(found.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hop", F.lit(k))
+        frontier = step.join(found.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hop", F.lit(k)).checkpoint()  # each hop is read by all later ones
         found = found.unionByName(frontier)
     return found
 
@@ -116,7 +116,7 @@ def beam_walk(edges: DataFrame, seeds: DataFrame, depth: int = 3, beam: int = 3)
         stuck = live.join(longer.select("seed", F.col("before").alias("path")).distinct(), ["seed", "path"], "left_anti")
         every = longer.select("seed", "path").unionByName(stuck).distinct()
         best = Window.partitionBy("seed").orderBy(F.desc(F.size("path")), F.array_join("path", ">"))
-        live = every.withColumn("n", F.row_number().over(best)).where(F.col("n") <= beam).drop("n")
+        live = every.withColumn("n", F.row_number().over(best)).where(F.col("n") <= beam).drop("n").checkpoint()  # else the plan doubles with each step
     order = Window.partitionBy("seed").orderBy(F.desc(F.size("path")), F.array_join("path", ">"))
     return live.select("seed", F.row_number().over(order).alias("place"), F.array_join("path", ">").alias("path"))
 

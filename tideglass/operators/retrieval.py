@@ -26,7 +26,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) ->
     terms = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     postings = chunks.select("chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
     postings = postings.join(terms.select("term").distinct(), "term", "left_semi")
-    postings = postings.groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
+    postings = postings.groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf")).checkpoint()  # read twice
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_all") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))

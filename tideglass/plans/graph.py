@@ -34,10 +34,10 @@ def at():
 
 
 def seeds(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").where("s_suppkey < 3").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
+    return table(spark, sf_dir, "supplier").where("s_suppkey % 20 = 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
 
 
-@query(f"""{_EDGES}, v AS (SELECT DISTINCT node, other FROM w WHERE {_ASOF}), b AS (SELECT 's' || s_suppkey AS seed, 's' || s_suppkey AS node, 0 AS hop FROM supplier WHERE s_suppkey < 3
+@query(f"""{_EDGES}, v AS (SELECT DISTINCT node, other FROM w WHERE {_ASOF}), b AS (SELECT 's' || s_suppkey AS seed, 's' || s_suppkey AS node, 0 AS hop FROM supplier WHERE s_suppkey % 20 = 0
   UNION SELECT b.seed, v.other, b.hop + 1 FROM b JOIN v ON v.node = b.node WHERE b.hop < 2) SELECT seed, node, CAST(min(hop) AS INTEGER) AS hop FROM b GROUP BY 1, 2""")
 def neighbors_asof(spark, sf_dir):
     return G.neighbors(edges(spark, sf_dir), seeds(spark, sf_dir), 2, at())
@@ -48,7 +48,7 @@ def graph_stats(spark, sf_dir):
     return G.stats(table(spark, sf_dir, "customer"), edges(spark, sf_dir), at())
 
 
-@query(f"""{_EDGES}, v AS (SELECT DISTINCT node, other FROM w WHERE {_ASOF}), b AS (SELECT 's' || s_suppkey AS seed, 's' || s_suppkey AS node, 0 AS hop FROM supplier WHERE s_suppkey < 3
+@query(f"""{_EDGES}, v AS (SELECT DISTINCT node, other FROM w WHERE {_ASOF}), b AS (SELECT 's' || s_suppkey AS seed, 's' || s_suppkey AS node, 0 AS hop FROM supplier WHERE s_suppkey % 20 = 0
   UNION SELECT b.seed, v.other, b.hop + 1 FROM b JOIN v ON v.node = b.node WHERE b.hop < 2), m AS (SELECT seed, node, min(hop) AS hop FROM b GROUP BY 1, 2), g AS (SELECT node, count(DISTINCT id) AS degree FROM w GROUP BY 1),
   r AS (SELECT seed, m.node, hop, degree, row_number() OVER (PARTITION BY seed ORDER BY hop, degree DESC NULLS LAST, m.node) AS rank FROM m LEFT JOIN g ON g.node = m.node) SELECT seed, node, CAST(hop AS INTEGER) AS hop, degree, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
 def degree_route(spark, sf_dir):
@@ -113,10 +113,12 @@ def impact_overlap(spark, sf_dir):
     return G.impact(evidence, ["R", "3"]).select("l_orderkey", "l_linenumber")
 
 
-@query("""WITH RECURSIVE e AS (SELECT o_orderkey AS a, (o_orderkey * 7) % 1000 AS b FROM orders WHERE o_orderkey < 400 AND o_orderkey % 3 <> 0), w AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+@query("""WITH RECURSIVE e AS (SELECT o_orderkey AS a, CASE WHEN o_orderkey % 16 = 15 THEN o_orderkey ELSE o_orderkey + 1 END AS b FROM orders), w AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
   r AS (SELECT a AS node, a AS reach FROM w UNION SELECT r.node, w.b FROM r JOIN w ON r.reach = w.a) SELECT node, min(reach) AS component FROM r GROUP BY 1""")
 def connected_components(spark, sf_dir):
-    e = table(spark, sf_dir, "orders").where("o_orderkey < 400 and o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("src"), (F.col("o_orderkey") * 7 % 1000).alias("dst"))
+    """Chains of up to 16 orders."""
+    next_one = F.when(F.col("o_orderkey") % 16 == 15, F.col("o_orderkey")).otherwise(F.col("o_orderkey") + 1)
+    e = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), next_one.alias("dst"))
     return G.components(e)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideglass.operators import relational as R
+from tideglass.operators.ordered import in_order
 from tideglass.plans._base import query, table
 
 _CALLS = """WITH c AS (SELECT event_type, event_type = 'error' AS is_error, value AS duration,
@@ -92,12 +93,9 @@ def offset_page(spark, sf_dir):
     return R.offset_page(rows, [F.desc("s_acctbal"), "s_suppkey"], 2, 7).select("s_suppkey", "s_name", "total", "pages")
 
 
-@query("SELECT conv_id, turn, role, row_number() OVER (ORDER BY conv_id, turn) AS place FROM (SELECT * FROM conversations WHERE conv_id < 40)")
+@query("SELECT conv_id, turn, role, row_number() OVER (ORDER BY conv_id, turn) AS place FROM conversations")
 def session_order(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = table(spark, sf_dir, "conversations").where("conv_id < 40")
-    return rows.select("conv_id", "turn", "role", F.row_number().over(Window.orderBy("conv_id", "turn")).cast("bigint").alias("place"))
+    return in_order(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id", "turn"])
 
 
 @query("""SELECT id, name, origin FROM (SELECT c_custkey AS id, c_name AS name, 'first' AS origin FROM customer UNION ALL SELECT s_suppkey, s_name, 'second' FROM supplier)
@@ -139,7 +137,7 @@ def receiver_dedup(spark, sf_dir):
 
 
 @query("""SELECT CASE WHEN a IS NULL OR b IS NULL THEN 'missing' WHEN a AND b THEN 'both' WHEN a THEN 'first_only' WHEN b THEN 'second_only' ELSE 'neither' END AS outcome, count(*) AS n
-  FROM (SELECT doc_id, quality = 1 AS a FROM labels) x FULL JOIN (SELECT doc_id, toxic = 0 AS b FROM labels WHERE doc_id % 7 <> 0) y USING (doc_id) GROUP BY 1""")
+  FROM (SELECT doc_id, quality = 1 AS a FROM labels) x FULL JOIN (SELECT doc_id + 3 AS doc_id, toxic = 0 AS b FROM labels) y USING (doc_id) GROUP BY 1""")
 def paired_outcomes(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
-    return R.paired_outcomes(labels.select("doc_id", (F.col("quality") == 1).alias("ok")), labels.where("doc_id % 7 <> 0").select("doc_id", (F.col("toxic") == 0).alias("ok")), "doc_id", "ok")
+    return R.paired_outcomes(labels.select("doc_id", (F.col("quality") == 1).alias("ok")), labels.select((F.col("doc_id") + 3).alias("doc_id"), (F.col("toxic") == 0).alias("ok")), "doc_id", "ok")

@@ -14,12 +14,12 @@ def chunks(spark, sf_dir):
 
 
 def questions(spark, sf_dir):
-    """The first eight tokens of each benchmark item."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(T.search_tokens(F.col("text")), 1, 8).alias("tokens"))
+    """All tokens of each benchmark item."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.search_tokens(F.col("text")).alias("tokens"))
 
 
 _BM25 = """WITH c AS (SELECT doc_id, source, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: lower(w)) AS t FROM documents),
-  q AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: lower(w))[1:8]) AS term FROM benchmark) GROUP BY ALL),
+  q AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: lower(w))) AS term FROM benchmark) GROUP BY ALL),
   n AS (SELECT count(*) AS n_all, avg(len(t)) AS mean FROM c), p AS (SELECT doc_id, source, len(t) AS len, unnest(t) AS term FROM c),
   tf AS (SELECT doc_id, source, len, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
   s AS (SELECT query_id, doc_id, source, round(sum(times * ln(1 + (n_all - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 6) AS score
@@ -58,14 +58,13 @@ def cosine_topk(spark, sf_dir):
 
 
 @query(f"""{_BM25}, v AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings e
-    WHERE q.vec_id % 20 = 0 AND q.vec_id < (SELECT count(*) FROM benchmark)), vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM v), vt AS (SELECT * FROM vr WHERE rank <= 20),
+    WHERE q.vec_id % 20 = 0), vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM v), vt AS (SELECT * FROM vr WHERE rank <= 20),
   a AS (SELECT query_id, doc_id AS id, score / max(score) OVER (PARTITION BY query_id) AS x FROM s WHERE query_id % 20 = 0), b AS (SELECT query_id, id, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE 0 END AS y FROM vt)
   SELECT query_id, id, round(0.3::DOUBLE * coalesce(x, 0) + 0.7::DOUBLE * coalesce(y, 0), 6) AS score FROM a FULL JOIN b USING (query_id, id)""")
 def hybrid_maxnorm(spark, sf_dir):
-    n = table(spark, sf_dir, "benchmark").count()
     lexical = R.bm25(chunks(spark, sf_dir), questions(spark, sf_dir).where("query_id % 20 = 0")).select("query_id", F.col("chunk_id").alias("id"), F.round("score", 6).alias("score"))
     v = vectors(spark, sf_dir)
-    semantic = R.cosine_top_k(v, v.where(f"id % 20 = 0 and id < {n}").select(F.col("id").alias("query_id"), "vector"), 20).select("query_id", "id", "score")
+    semantic = R.cosine_top_k(v, v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), 20).select("query_id", "id", "score")
     return R.hybrid(lexical, semantic, 0.3).withColumn("score", F.round("score", 6))
 
 
