@@ -1,6 +1,6 @@
 """All registered queries with their DuckDB counterparts."""
 
-from tideglass.plans import clusters, evaluation, filters, graph, ingest, knowledge, memory, relational, retrieval, streams, text  # noqa: F401  they register their queries
+from tideglass.plans import clusters, evaluation, filters, graph, ingest, knowledge, memory, relational, retrieval, streams, text, versions  # noqa: F401  they register their queries
 from tideglass.plans._base import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "model_metrics"
