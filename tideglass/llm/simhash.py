@@ -319,22 +319,22 @@ def trie_edges(nodes: DataFrame, n: int, tables: int, bits: int, budget: int, li
         sizes = rows.groupBy("trie", lo, hi).agg(F.count("*").alias("__n")).where(F.col("__n") > most)
         hot = staged(sizes.select(F.col("trie").alias("__trie"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), F.ceil(F.col("__n") / most).cast("int").alias("blocks")))
         if not hot.limit(1).count():
-            parts.append((depth, rows.withColumn("blocks", F.lit(1))))
+            parts.append((depth, rows, False))
             break
         same = (F.col("trie") == F.col("__trie")) & (F.least("own", "other") == F.col("__lo")) & (F.greatest("own", "other") == F.col("__hi"))
-        parts.append((depth, rows.join(hot, same, "left_anti").withColumn("blocks", F.lit(1))))
+        parts.append((depth, rows.join(hot, same, "left_anti"), False))
         rows = rows.join(hot, same).drop("__trie", "__lo", "__hi")
         step = min(4, bits - depth)
         if not step:
-            parts.append((depth, rows))
+            parts.append((depth, rows, True))
             break
         rows = _deeper(rows.drop("blocks"), bits, depth, step, budget)
         depth += step
     side = (F.col("own") > F.col("other")).cast("int")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = []
-    for d, part in parts:
-        part = part.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    for d, part, in_blocks in parts:
+        part = part.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int") if in_blocks else F.lit(0))
+        part = part.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if in_blocks else F.lit(0))
         one = F.col("own") == F.col("other")
         dealt.append(
             part.select(
