@@ -653,6 +653,58 @@ def test_segmenter():
     assert cut("cheappills") == ["cheap", "pills"] and cut.tokens("spamfarm.com/12") == ["spam", "farm", *cut("com"), "0"]
 
 
+def brute_cut(name, counts):
+    """The most likely segmentation among all, each word priced by itself."""
+    total = sum(counts.values())
+    price = lambda w: math.log(counts[w] / total) if w in counts else -math.log(total + 1) - 2.5 * len(w)
+    best = [(0.0, [])]
+    for end in range(1, len(name) + 1):
+        best.append(max(((best[k][0] + price(name[k:end]), best[k][1] + [name[k:end]]) for k in range(end)), key=lambda o: o[0]))
+    return best[-1]
+
+
+def test_segmenter_by_brute_force():
+    rng = random.Random(4)
+    counts = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 6))): rng.randint(1, 90) for _ in range(60)} | {"abcabcabcabcabcabcabcabcabcabc": 9}
+    cut, total = url_filter.Segmenter(counts), sum(counts.values())
+    price = lambda w: math.log(counts[w] / total) if w in counts else -math.log(total + 1) - 2.5 * len(w)
+    for name in ["".join(rng.choice("abcx") for _ in range(rng.randint(1, 40))) for _ in range(200)] + ["x" * 60, "abc" * 10, ""]:
+        got = cut(name)
+        assert "".join(got) == name and sum(map(price, got)) == pytest.approx(brute_cut(name, counts)[0])
+
+
+def test_url_query_by_brute_force(spark, sf_dir):
+    """op9 on the whole table: hosts are cut, and every verdict without a rule is that of naive Bayes computed here."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    words = Counter(w for r in pages.select(url_filter.page_text("html").alias("t")).collect() for w in re.findall(r"[^\W\d_]+", (r["t"] or "").lower()) if len(w) > 1)
+    rows = queries.op9_url_filter(spark, sf_dir).collect()
+    assert len(rows) == pages.count()
+    cut, by, seen = url_filter.Segmenter(words), defaultdict(Counter), Counter()
+    tokens = lambda r: cut.tokens(r["host"]) + cut.tokens(re.sub(r"\d+", "0", r["path"]))
+    kinds = [r["verdict"] if r["rule"] else "allow" for r in rows]
+    for r, kind in zip(rows, kinds):
+        by[kind].update(tokens(r))
+        seen[kind] += 1
+    vocabulary = set(by["block"]) | set(by["allow"])
+    size = {k: sum(by[k].values()) + len(vocabulary) + 1 for k in ("block", "allow")}
+    for r in rows:
+        odds = math.log((seen["block"] + 1) / (seen["allow"] + 1)) + sum(math.log((by["block"][w] + 1) / size["block"]) - math.log((by["allow"][w] + 1) / size["allow"]) for w in tokens(r))
+        assert r["odds"] == pytest.approx(odds, abs=1e-6)
+        assert r["rule"] or r["verdict"] == ("block" if odds > 0 else "allow") or abs(odds) < 1e-6
+    labels = {x for r in rows for x in re.findall("[a-z]+", r["host"])}
+    assert any(len(cut(x)) > 1 for x in labels)
+
+
+def test_url_edges(spark):
+    """Repeated rows, nulls, long names and columns with names that the operator uses itself."""
+    urls = ["http://" + "ab" * 300 + ".com/x", "http://a.org/es/1", "http://a.org/es/1", None, "", "http:///", "HTTP://A.COM/en/é中文"]
+    pages = spark.createDataFrame([(1, u, "w", 3) for u in urls], "page_id int, url string, host string, odds int")
+    texts = spark.createDataFrame([(None,), ("ab abab",)], "text string")
+    rows = url_filter.judge(pages, texts).collect()
+    assert len(rows) == len(urls) and sum(r["rule"] == "org/es/" for r in rows) == 2 and sum(r["host"] == "a.com" and r["rule"] == "com/en/" for r in rows) == 1
+    assert url_filter.judge(pages, texts.where("false")).count() == len(urls)
+
+
 def test_frequent_hosts_are_segmented(spark, tmp_path):
     """Through op9: a concatenated host seen many times is cut into words, which hosts share."""
     page = "<title>Cheap pills</title><script>cheappills()</script><p>cheap &amp; pills, http://cheappills.info/ cheappills.info me@cheappills.info pills cheap"

@@ -32,7 +32,8 @@ RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-_MAX_LENGTH = 24
+#: What an unknown word pays for each letter, as log probability.
+_LETTER = 2.5
 _RUN = re.compile(r"[a-z]+|[0-9]+|[^\W\d_a-z]+")
 
 
@@ -67,17 +68,20 @@ class Segmenter:
         self.total = total or sum(counts.values()) or 1
         self.log_p = {w: math.log(n / self.total) for w, n in counts.items()}
 
-    def _price(self, word: str) -> float:
-        """Log probability; unknown words pay for each letter."""
-        return self.log_p.get(word, -math.log(self.total + 1) - 2.5 * len(word))
-
     def __call__(self, name: str) -> list[str]:
-        best, back = [0.0], [0]
+        """By Viterbi; a word that is not known pays for itself and for each letter, however long it is, so an open one is carried along."""
+        longest = max(map(len, self.log_p), default=0)
+        opening, log_p = math.log(self.total + 1), self.log_p
+        best, back, unknown, start = [0.0], [0], -math.inf, 0
         for end in range(1, len(name) + 1):
-            options = [(best[k] + self._price(name[k:end]), k) for k in range(max(0, end - _MAX_LENGTH), end)]
-            score, k = max(options, key=lambda o: (o[0], -o[1]))
+            if best[end - 1] - opening > unknown:
+                unknown, start = best[end - 1] - opening, end - 1
+            unknown -= _LETTER
+            options = [(unknown, -start)]
+            options += [(best[k] + log_p[name[k:end]], -k) for k in range(max(0, end - longest), end) if name[k:end] in log_p]
+            score, k = max(options)
             best.append(score)
-            back.append(k)
+            back.append(-k)
         words, end = [], len(name)
         while end:
             words.append(name[back[end] : end])
@@ -106,11 +110,11 @@ def runs_of(parts: DataFrame) -> DataFrame:
     return parts.mapInPandas(_runs, "part string, run string")
 
 
-def _substrings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _substrings(frames: Iterator[pd.DataFrame], longest: int) -> Iterator[pd.DataFrame]:
     for frame in frames:
         runs, words = [], []
         for run in frame["run"]:
-            found = {run[k:end] for k in range(len(run)) for end in range(k + 2, min(len(run), k + _MAX_LENGTH) + 1)}
+            found = {run[k:end] for k in range(len(run)) for end in range(k + 2, min(len(run), k + longest) + 1)}
             runs += [run] * len(found)
             words += found
             if len(words) > 100_000:
@@ -127,8 +131,8 @@ def _segment(frames: Iterator[pd.DataFrame], total: int) -> Iterator[pd.DataFram
 
 def segment(runs: DataFrame, counts: DataFrame) -> DataFrame:
     """(run, tokens) of distinct runs (run), by the counts (word, n) of all words."""
-    total = counts.agg(F.sum("n")).first()[0] or 1
-    known = runs.mapInPandas(_substrings, "run string, word string").join(counts, "word").groupBy("run").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    total, longest = counts.agg(F.coalesce(F.sum("n"), F.lit(1)), F.coalesce(F.max(F.length("word")), F.lit(0))).first()
+    known = runs.mapInPandas(partial(_substrings, longest=longest), "run string, word string").join(counts, "word").groupBy("run").agg(F.collect_list(F.struct("word", "n")).alias("known"))
     return runs.join(known, "run", "left").mapInPandas(partial(_segment, total=total), "run string, tokens array<string>")
 
 
