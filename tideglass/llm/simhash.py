@@ -30,6 +30,8 @@ from tideglass.llm._common import LOWER_SPACED, staged, text_bytes
 _MIX = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3]
 #: Shingles whose bits are counted at once, and node pairs that a task walks at once.
 _CHUNK, _FRONTIER = 1 << 15, 1 << 21
+#: Bits of the map of ids that texts are filtered by before they are joined.
+_SLOTS = 1 << 24
 
 
 def _words_of(digests: bytes, n_words: int) -> np.ndarray:
@@ -399,14 +401,14 @@ def link_documents(
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int, n_words: int) -> Iterator[pa.RecordBatch]:
-    """Rows (root, label, node, sig, text) with the text's distinct shingle hashes instead of it; texts of another signature go."""
+    """Rows (root, label, node, sig, text, blocks) with the text's distinct shingle hashes instead of it; texts of another signature go."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             digests = [_digests(t, shingle) for t in text_bytes(part, 4)]
             same = [_words_of(d, n_words).view(np.int64).tolist() == sig for d, sig in zip(digests, part.column(3).to_pylist())]
             sets = pa.array([np.unique(np.frombuffer(d, ">u8").astype(np.uint64)).tobytes() for d in digests], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), sets], ["root", "label", "node", "sig", "shingles"]).filter(pa.array(same, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), sets, part.column(5)], ["root", "label", "node", "sig", "shingles", "blocks"]).filter(pa.array(same, pa.bool_()))
 
 
 def _link_group(rows: pd.DataFrame, limit: int, similarity: float) -> pd.DataFrame:
@@ -448,6 +450,19 @@ def _link_group(rows: pd.DataFrame, limit: int, similarity: float) -> pd.DataFra
     return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
 
+def maybe_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (doc_id ...) whose id has the hash of one of ids, so that few others are shuffled to a join with these.
+
+    The hashes are a bit map of _SLOTS bits: what is broadcast is at most _SLOTS / 64 rows, whatever the number of ids.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(_SLOTS))
+    bit = lambda c: F.expr(f"shiftleft(1L, CAST({c} % 64 AS INT))")
+    marks = ids.select(slot(ids.columns[0]).alias("__s")).select((F.col("__s") / 64).cast("int").alias("__word"), bit("__s").alias("__bit"))
+    marks = marks.groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    near = rows.withColumn("__s", slot("doc_id")).withColumn("__w", (F.col("__s") / 64).cast("int")).join(F.broadcast(marks), F.col("__w") == F.col("__word"))
+    return near.where(F.col("__bits").bitwiseAND(bit("__s")) != 0).select(*rows.columns)
+
+
 def checked_edges(edges: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, n_words: int, limit: int, similarity: float, block: int = 1 << 10) -> DataFrame:
     """Edges (a, b): the sure ones of edges (a, b, unsure), and those between their components that the exact similarity of texts makes.
 
@@ -465,13 +480,12 @@ def checked_edges(edges: DataFrame, nodes: DataFrame, docs: DataFrame, shingle:
     sizes = members.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     need = nodes.join(members.join(sizes, "root"), "node").join(label.withColumnRenamed("root", "label"), "node", "left")
     need = staged(need.select(F.col("first_id").alias("__id"), "root", F.coalesce("label", "node").alias("label"), "node", "sig", "blocks"))
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("__text"))
-    rows = texts.join(need.drop("blocks"), F.col("doc_id").eqNullSafe(F.col("__id"))).select("root", "label", "node", "sig", "__text")
-    sets = rows.mapInArrow(partial(_sets, shingle=shingle, n_words=n_words), "root bigint, label bigint, node bigint, sig array<bigint>, shingles binary")
+    texts = maybe_in(docs.select("doc_id", F.col("text").cast("binary").alias("__text")), need.select("__id"))
+    rows = texts.join(need, F.col("doc_id").eqNullSafe(F.col("__id"))).select("root", "label", "node", "sig", "__text", "blocks")
+    sets = rows.mapInArrow(partial(_sets, shingle=shingle, n_words=n_words), "root bigint, label bigint, node bigint, sig array<bigint>, shingles binary, blocks int")
     if docs.count() > docs.select("doc_id").distinct().count():
         sets = sets.dropDuplicates(["node"])  # rows of one doc_id may hold one text several times
-    number = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    sets = sets.join(sizes.withColumnRenamed("root", "__root"), F.col("root") == F.col("__root")).drop("__root").withColumn("number", number)
+    sets = sets.withColumn("number", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     sets = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = sets.select(
         "root", F.least("number", "with").alias("x"), F.greatest("number", "with").alias("y"), (F.col("number") > F.col("with")).cast("int").alias("side"),
