@@ -164,3 +164,40 @@ def recall_update(memories: DataFrame, hits: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     out = memories.join(new, "memory_id", "left")
     return out.select("memory_id", F.array_union("days", F.coalesce("__days", none)).alias("days"), F.array_union("hashes", F.coalesce("__hashes", none)).alias("hashes"), (F.col("recall_count") + F.coalesce("__n", F.lit(0))).alias("recall_count"))
+
+
+def layer_of(layer: Column) -> Column:
+    """tenant, user, or else agent."""
+    return F.when(layer.isin("tenant", "user"), layer).otherwise("agent")
+
+
+def retrieve(records: DataFrame, key: str, budget: int, k: int = 5) -> DataFrame:
+    """(key, rank, id, mmr, tokens, used): the agent layer of each key, deduplicated, fused, decayed, diversified and cut to the budget.
+
+    records: key, pos, id, score, text, layer, memory_type, external, age_days, tokens. Tenant and user layers
+    are given as context in full and do not compete here.
+    """
+    agent = records.where(layer_of(F.col("layer")) == "agent")
+    eligible = (F.col("memory_type") == "short_term") & ~F.col("external")
+    scored = content_dedup(agent, "text", "pos", [key]).withColumn("score", temporal_decay(score_fusion(F.col("score"), F.col("external")), F.col("age_days"), eligible))
+    picked = mmr(scored.select(key, "pos", "id", "score", "text"), key, k)
+    return token_budget(picked.join(scored.select(key, "id", "tokens"), [key, "id"]), "tokens", ["rank"], budget, [key]).select(key, "rank", "id", "mmr", "tokens", "used")
+
+
+def light_phase(memories: DataFrame, stats: DataFrame, now: Column) -> DataFrame:
+    """memories with the counters of stats (see hit_stats) where there are any, which counts as a light hit at this time."""
+    fresh = stats.select("memory_id", *(F.col(c).alias(f"__{c}") for c in ("recall_count", "grounded_count", "n_days", "last_recalled_at")))
+    out = memories.join(fresh, "memory_id", "left")
+    hit = F.col("__recall_count").isNotNull()
+    take = lambda name, source: F.when(hit, F.col(f"__{source}")).otherwise(F.col(name)).alias(name)
+    changed = {"recall_count": "recall_count", "grounded_count": "grounded_count", "daily_count": "n_days", "last_recalled_at": "last_recalled_at"}
+    kept = [take(c, changed[c]) if c in changed else F.col(c) for c in memories.columns if c not in ("light_hits", "last_light_at")]
+    return out.select(*kept, (F.col("light_hits") + hit.cast("int")).alias("light_hits"), F.when(hit, now).otherwise(F.col("last_light_at")).alias("last_light_at"))
+
+
+def rem_phase(memories: DataFrame, now: Column, most_days: int, tags: Column, noise: Column) -> DataFrame:
+    """Active short-term memories of agents no older than this: tagged, and hit once more unless they are noise; others stay as they are."""
+    due = F.coalesce((F.col("status") == "active") & (F.col("memory_type") == "short_term") & (layer_of(F.col("layer")) == "agent"), F.lit(False))
+    due = due & (F.col("created_at").isNull() | (F.col("created_at") >= now - F.make_dt_interval(F.lit(most_days))))
+    hit = due & ~F.coalesce(noise, F.lit(False))
+    return memories.withColumns({"concept_tags": F.when(due, tags).otherwise(F.col("concept_tags")), "rem_hits": F.col("rem_hits") + hit.cast("int"), "last_rem_at": F.when(hit, now).otherwise(F.col("last_rem_at"))})

@@ -124,3 +124,21 @@ def domain_counts(rows: DataFrame, column: str, domain: Mapping[str, int] | Sequ
     """(column, n) for every value of the domain."""
     every = rows.sparkSession.createDataFrame([(d,) for d in domain], f"{column} string")
     return every.join(rows.groupBy(column).agg(F.count("*").alias("n")), column, "left").na.fill(0, ["n"])
+
+
+def permutation_p(observed: DataFrame, draws: DataFrame, keys: Sequence[str], value: str = "similarity") -> DataFrame:
+    """observed with n_draws, n_ge and p = (draws at least as high + 1) / (draws + 1); draws: keys, value, drawn under the null."""
+    both = observed.join(draws.select(*keys, F.col(value).alias("__drawn")), list(keys), "left")
+    counted = both.groupBy(*observed.columns).agg(F.count("__drawn").alias("n_draws"), F.count_if(F.col("__drawn") >= F.col(value)).alias("n_ge"))
+    return counted.withColumn("p", (F.col("n_ge") + 1) / (F.col("n_draws") + 1))
+
+
+def ontology_shares(classes: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(cov, red, align): shares of classes that a seed term names, of second parents, and of classes with an anchor, to four places.
+
+    classes: name, parent, also_parent, anchor; seeds: the words of the terms, in a column `word`.
+    """
+    named = classes.join(seeds.select(F.col("word").alias("name"), F.lit(1).alias("__seed")).distinct(), "name", "left")
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    share = lambda condition: F.coalesce(F.round(F.avg(condition.cast("double")), 4), F.lit(0.0))
+    return named.agg(share(F.col("__seed").isNotNull()).alias("cov"), share(filled("parent") & filled("also_parent")).alias("red"), share(filled("anchor")).alias("align"))
