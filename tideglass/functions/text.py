@@ -144,8 +144,8 @@ def readable_size(n: Column) -> Column:
     """Bytes as 12 B, 3.4 KB, 5.6 MB or 7.8 GB."""
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
     for power, unit in ((1, "KB"), (2, "MB")):
-        out = out.when(n < 1024 ** (power + 1), F.concat(F.format_number(n / float(1024**power), "0.0"), F.lit(f" {unit}")))
-    return out.otherwise(F.concat(F.format_number(n / float(1024**3), "0.0"), F.lit(" GB")))
+        out = out.when(n < 1024 ** (power + 1), F.concat(F.call_function("format_number", n / float(1024**power), F.lit("0.0")), F.lit(f" {unit}")))
+    return out.otherwise(F.concat(F.call_function("format_number", n / float(1024**3), F.lit("0.0")), F.lit(" GB")))
 
 
 def published_at(title: Column) -> tuple[Column, Column]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideglass.functions import text as T
+from tideglass.operators.chunking import cut_sentence as cut
+from tideglass.operators.relational import random_sample
 from tideglass.plans._base import query, table
 
 _NORM = r'''array_to_string(list_filter(regexp_split_to_array(translate({0}, '!"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~', ''), '\s+'), lambda w: w NOT IN ('a', 'an', 'the', '')), ' ')'''
@@ -101,3 +103,39 @@ def judge_replies(spark, sf_dir):
 def retry_backoff(spark, sf_dir):
     n = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("attempt")).distinct()
     return n.select("attempt", T.retry_delay(F.col("attempt")).alias("delay"))
+
+
+@query(r"""WITH h AS (SELECT doc_id, text, text[1:200] AS head FROM documents), s AS (SELECT *, regexp_extract(head, '(?s)^(.*[.!?。！？])', 1) AS sentence, regexp_extract(head, '(?s)^(.*)\s', 1) AS words FROM h)
+  SELECT doc_id, CASE WHEN length(text) <= 200 THEN text WHEN length(sentence) >= 100 THEN sentence WHEN length(words) >= 120 THEN words ELSE head END AS cut FROM s""")
+def cut_sentence(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", cut(F.col("text"), 200).alias("cut"))
+
+
+@query("""WITH n AS (SELECT event_id, event_id * event_id * event_id AS n FROM events)
+  SELECT event_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f', n / 1024.0::DOUBLE) || ' KB' WHEN n < 1073741824 THEN printf('%.1f', n / 1048576.0::DOUBLE) || ' MB' ELSE printf('%.1f', n / 1073741824.0::DOUBLE) || ' GB' END AS size FROM n""")
+def readable_size(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", T.readable_size(F.col("event_id") * F.col("event_id") * F.col("event_id")).alias("size"))
+
+
+@query("""WITH s AS (SELECT event_id, ['PENDING', 'STARTED', 'SUCCESS', 'FAILURE', NULL][event_id % 5 + 1] AS p, ['PENDING', 'STARTED', 'SUCCESS', 'FAILURE', NULL][(event_id // 5) % 5 + 1] AS f FROM events)
+  SELECT event_id, CASE WHEN p = 'FAILURE' THEN 'PROCESS_FAILED' WHEN f = 'FAILURE' THEN 'FORWARD_FAILED' WHEN f = 'STARTED' THEN 'FORWARDING' WHEN f = 'SUCCESS' THEN 'COMPLETED' WHEN f = 'PENDING' THEN 'WAIT_FOR_FORWARDING'
+    WHEN p = 'STARTED' THEN 'PROCESSING' WHEN p = 'SUCCESS' THEN 'WAIT_FOR_FORWARDING' ELSE 'WAIT_FOR_PROCESSING' END AS state FROM s""")
+def task_state(spark, sf_dir):
+    states = F.array(*map(F.lit, ("PENDING", "STARTED", "SUCCESS", "FAILURE", None)))
+    at = lambda n: F.element_at(states, (n % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", T.task_state(at(F.col("event_id")), at(F.floor(F.col("event_id") / 5))).alias("state"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN epoch_us(ts) // 1000000 * 1000 WHEN 3 THEN NULL ELSE epoch_us(ts) // 1000 END AS millis FROM events""")
+def timestamp_of(spark, sf_dir):
+    millis = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    iso = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
+    kind = F.col("event_id") % 4
+    written = F.when(kind == 0, F.floor(millis / 1000).cast("string")).when(kind == 1, millis.cast("string")).when(kind == 2, iso).otherwise("no time")
+    return table(spark, sf_dir, "events").select("event_id", F.unix_millis(T.timestamp_of(written)).alias("millis"))
+
+
+@query()
+def sample_documents(spark, sf_dir):
+    """A reproducible sample of 100 documents; its size is the feature."""
+    return random_sample(table(spark, sf_dir, "documents"), "doc_id", 100, 7).select("doc_id", "source", "lang")
