@@ -450,8 +450,8 @@ def _link_group(rows: pd.DataFrame, limit: int, similarity: float) -> pd.DataFra
     return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
 
-def maybe_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows (doc_id ...) whose id has the hash of one of ids, so that few others are shuffled to a join with these.
+def marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows (doc_id ...) and __maybe: whether the id has the hash of one of ids, so that few others are shuffled to a join with these.
 
     The hashes are a bit map of _SLOTS bits: what is broadcast is at most _SLOTS / 64 rows, whatever the number of ids.
     """
@@ -459,8 +459,9 @@ def maybe_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
     bit = lambda c: F.expr(f"shiftleft(1L, CAST({c} % 64 AS INT))")
     marks = ids.select(slot(ids.columns[0]).alias("__s")).select((F.col("__s") / 64).cast("int").alias("__word"), bit("__s").alias("__bit"))
     marks = marks.groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
-    near = rows.withColumn("__s", slot("doc_id")).withColumn("__w", (F.col("__s") / 64).cast("int")).join(F.broadcast(marks), F.col("__w") == F.col("__word"))
-    return near.where(F.col("__bits").bitwiseAND(bit("__s")) != 0).select(*rows.columns)
+    near = rows.withColumn("__s", slot("doc_id")).withColumn("__w", (F.col("__s") / 64).cast("int"))
+    near = near.join(F.broadcast(marks), F.col("__w") == F.col("__word"), "left")
+    return near.select(*rows.columns, (F.coalesce("__bits", F.lit(0).cast("long")).bitwiseAND(bit("__s")) != 0).alias("__maybe"))
 
 
 def checked_edges(edges: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, n_words: int, limit: int, similarity: float, block: int = 1 << 10) -> DataFrame:
@@ -480,7 +481,7 @@ def checked_edges(edges: DataFrame, nodes: DataFrame, docs: DataFrame, shingle:
     sizes = members.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     need = nodes.join(members.join(sizes, "root"), "node").join(label.withColumnRenamed("root", "label"), "node", "left")
     need = staged(need.select(F.col("first_id").alias("__id"), "root", F.coalesce("label", "node").alias("label"), "node", "sig", "blocks"))
-    texts = maybe_in(docs.select("doc_id", F.col("text").cast("binary").alias("__text")), need.select("__id"))
+    texts = marked(docs.select("doc_id", F.col("text").cast("binary").alias("__text")), need.select("__id")).where("__maybe")
     rows = texts.join(need, F.col("doc_id").eqNullSafe(F.col("__id"))).select("root", "label", "node", "sig", "__text", "blocks")
     sets = rows.mapInArrow(partial(_sets, shingle=shingle, n_words=n_words), "root bigint, label bigint, node bigint, sig array<bigint>, shingles binary, blocks int")
     if docs.count() > docs.select("doc_id").distinct().count():
@@ -505,8 +506,13 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, n_wor
     apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
     mean, deviation = 64 * n_words * apart, math.sqrt(64 * n_words * apart * (1 - apart))
     linked = link_documents(docs, shingle, n_words, None, 2, math.ceil(mean + 3 * deviation), 0.99, similarity, 1 << 17, math.floor(mean - 4 * deviation))
-    kept = staged(linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__rows")))
-    out = docs.join(kept.select(F.col("doc_id").alias("__id")), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    # the ids that go are few and the texts are wide: only rows that may be of such an id are shuffled
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    kept = staged(linked.groupBy("doc_id").agg(F.count_if(own).alias("__rows")))
+    gone = kept.where("__rows = 0").select(F.col("doc_id").alias("__id"))
+    split = marked(docs, gone)
+    perhaps = split.where("__maybe").drop("__maybe")
+    out = split.where("NOT __maybe").drop("__maybe").unionByName(perhaps.join(gone, perhaps["doc_id"].eqNullSafe(F.col("__id")), "left_anti"))
     if kept.where("__rows > 1").limit(1).count():  # repeated ids: one row of each
         twice = kept.where("__rows > 1").select(F.col("doc_id").alias("__id"))
         same = out["doc_id"].eqNullSafe(F.col("__id"))
