@@ -240,7 +240,7 @@ def encode_documents(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     ordered = cols.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     run = partial(_encode, path=tokenizer, end_id=end_id, id_type=id_type)
     blocks = ordered.mapInArrow(run, SCHEMA.format(id=dict(cols.dtypes)["doc_id"]))
-    blocks.write.option("compression", "none").parquet(folder)
+    blocks.write.option("compression", "zstd").parquet(folder)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
