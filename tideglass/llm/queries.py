@@ -101,6 +101,26 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.decode_documents(spark, folder)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideglass.llm import conversation_repair
+
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.audit(conversation_repair.damage(conversations), conversations)
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideglass.llm import whitening
+
+    rows = whitening.whole(table(spark, sf_dir, "embeddings"))
+    return whitening.whiten(rows, whitening.fit(rows, k=4))
+
+
+def op13_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideglass.llm import lz_fingerprint
+
+    return lz_fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -112,6 +132,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_lz_fingerprint": op13_lz_fingerprint,
 }
 
 #: Words as op2 takes them.
