@@ -243,6 +243,19 @@ def test_exact_check_in_blocks(spark, block):
     assert {k: k for k, _ in rows} | got == want
 
 
+def test_near_dedup_of_equal_ids(spark):
+    """Rows of one id are judged each for itself: an unrelated text stays, a copy goes, rows equal in all are one."""
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(150))
+    p, u, v = text(), text(), text()
+    near = p + " more"
+    kept = lambda rows: sorted(map(tuple, simhash.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
+    assert kept([(2, p), (2, u)]) == sorted([(2, p), (2, u)], key=str)
+    assert kept([(1, p), (2, p), (2, u)]) == sorted([(1, p), (2, u)], key=str)
+    assert len(kept([(2, p), (2, near), (2, u), (2, u)])) == 2
+    assert kept([(None, p), (None, u), (3, near), (3, v), (4, v)]) == sorted([(None, p), (None, u), (3, v)], key=str)
+
+
 def test_near_dedup_edges(spark, edge, empty):
     kept = simhash.near_dedup(edge)
     assert kept.columns == edge.columns and kept.count() == 6  # the texts without words, and the two equal rows, are one each

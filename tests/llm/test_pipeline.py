@@ -1,5 +1,6 @@
 """The pipeline, stage by stage, against brute force on each stage's own input."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -48,3 +49,21 @@ def test_stages(spark, sf_dir):
     assert abs(sum(sizes[i] * n for (i, _), n in mixed.items()) - 1.5 * sum(sizes.values())) <= 20 * max(sizes.values())
 
     check_tokens(kept[4].orderBy("start").collect(), sorted((i, t) for (i, t), n in mixed.items() for _ in range(n)))
+
+
+def test_stages_on_edge_rows(spark, sf_dir):
+    """Nulls, repeated rows, equal ids and an empty table through all stages in sequence."""
+    rng = random.Random(2)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8))) for _ in range(120)) + "."
+    one, other = text(), text()
+    rows = [(1, None, None, None), (2, "", "s", 0), (None, one, None, 5), (3, one, "s", 5), (3, other, None, 5), (3, other, None, 5), (4, "word " * 50_000, "t", 9), (5, "İ ﬁ 中文 <|endoftext|>", "t", 9)]
+    edge = spark.createDataFrame([(i, t, "en", s, n) for i, t, s, n in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for docs in (edge, edge.where("false")):
+        columns, sizes = docs.columns, []
+        for name, stage in corpus_pipeline.STAGES:
+            docs = staged(stage(spark, docs, sf_dir))
+            sizes.append(docs.count())
+            assert name == "token files" or docs.columns == columns
+            if name == "near-duplicates" and sizes[0]:
+                assert sorted(r["text"] for r in docs.collect()) == sorted([one, other])
+        assert sizes[3] == sizes[4]

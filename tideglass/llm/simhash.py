@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideglass.llm._common import LOWER_SPACED, staged, text_bytes
@@ -392,7 +392,8 @@ def link_documents(
         tables = tries_needed(width, bits, above, budget, math.acos(2 * similarity / (1 + similarity)) / math.pi, recall)
     edges = trie_edges(nodes.select("node", "sig"), n, tables, bits, budget, limit, node_size, strict, width, sure)
     if sure is not None:
-        edges = checked_edges(staged(edges), nodes, docs, shingle, n_words, limit, similarity)
+        repeated = signed.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").limit(1).count() > 0
+        edges = checked_edges(staged(edges), nodes, docs, shingle, n_words, limit, similarity, repeated=repeated)
     roots = components(edges)
     rooted = staged(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -450,26 +451,27 @@ def _link_group(rows: pd.DataFrame, limit: int, similarity: float) -> pd.DataFra
     return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
 
-def marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """rows (doc_id ...) and __maybe: whether the id has the hash of one of ids, so that few others are shuffled to a join with these.
+def marked(rows: DataFrame, ids: DataFrame, key: Column | str = "doc_id") -> DataFrame:
+    """rows and __maybe: whether the key has the hash of one of ids, so that few others are shuffled to a join with these.
 
     The hashes are a bit map of _SLOTS bits: what is broadcast is at most _SLOTS / 64 rows, whatever the number of ids.
     """
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(_SLOTS))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(_SLOTS))  # noqa: E731  of a column or its name
     bit = lambda c: F.expr(f"shiftleft(1L, CAST({c} % 64 AS INT))")
     marks = ids.select(slot(ids.columns[0]).alias("__s")).select((F.col("__s") / 64).cast("int").alias("__word"), bit("__s").alias("__bit"))
     marks = marks.groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
-    near = rows.withColumn("__s", slot("doc_id")).withColumn("__w", (F.col("__s") / 64).cast("int"))
+    near = rows.withColumn("__s", slot(key)).withColumn("__w", (F.col("__s") / 64).cast("int"))
     near = near.join(F.broadcast(marks), F.col("__w") == F.col("__word"), "left")
     return near.select(*rows.columns, (F.coalesce("__bits", F.lit(0).cast("long")).bitwiseAND(bit("__s")) != 0).alias("__maybe"))
 
 
-def checked_edges(edges: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, n_words: int, limit: int, similarity: float, block: int = 1 << 10) -> DataFrame:
+def checked_edges(edges: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, n_words: int, limit: int, similarity: float, block: int = 1 << 10, repeated: bool = True) -> DataFrame:
     """Edges (a, b): the sure ones of edges (a, b, unsure), and those between their components that the exact similarity of texts makes.
 
     Unsure edges join sure components to candidate components, outside of which no candidate pair lies. Each text of a
     candidate component with unsure edges is read once, as its set of shingle hashes, and all its pairs of at most
     `limit` bits between sure components are compared inside one task, or, beyond `block` texts, in one task for each pair of blocks.
+    repeated: whether rows of one doc_id may hold one text several times.
     """
     sure = staged(edges.where("NOT unsure").select("a", "b"))
     label = staged(components(sure))
@@ -484,8 +486,8 @@ def checked_edges(edges: DataFrame, nodes: DataFrame, docs: DataFrame, shingle:
     texts = marked(docs.select("doc_id", F.col("text").cast("binary").alias("__text")), need.select("__id")).where("__maybe")
     rows = texts.join(need, F.col("doc_id").eqNullSafe(F.col("__id"))).select("root", "label", "node", "sig", "__text", "blocks")
     sets = rows.mapInArrow(partial(_sets, shingle=shingle, n_words=n_words), "root bigint, label bigint, node bigint, sig array<bigint>, shingles binary, blocks int")
-    if docs.count() > docs.select("doc_id").distinct().count():
-        sets = sets.dropDuplicates(["node"])  # rows of one doc_id may hold one text several times
+    if repeated:
+        sets = sets.dropDuplicates(["node"])
     sets = sets.withColumn("number", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     sets = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = sets.select(
@@ -497,27 +499,31 @@ def checked_edges(edges: DataFrame, nodes: DataFrame, docs: DataFrame, shingle:
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, n_words: int = 6) -> DataFrame:
-    """docs without the near copies: one row, that of the smallest doc_id, of each group of texts stays.
+    """docs without the near copies: one row, that of the smallest doc_id (among equal ids: of the smallest text hash), of each group of texts stays.
+
+    Rows are told apart by doc_id and text, so that rows of one id with different texts are judged each for itself, and
+    rows equal in both count as copies.
 
     A pair of this similarity (Jaccard, of sets of shingles) differs in acos(2 s / (1 + s)) / pi of n_words * 64
     SimHash bits on average. Pairs up to three standard deviations above are candidates, which their exact similarity
-    decides; those four below are taken without.
+    decides; those four below are taken without. Bits, depth and number of tries follow the number of texts; candidates
+    at the limit are found with a recall of 0.99 at any size, so a single pair there may be found in one table and not in another.
     """
     apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
     mean, deviation = 64 * n_words * apart, math.sqrt(64 * n_words * apart * (1 - apart))
-    linked = link_documents(docs, shingle, n_words, None, 2, math.ceil(mean + 3 * deviation), 0.99, similarity, 1 << 17, math.floor(mean - 4 * deviation))
-    # the ids that go are few and the texts are wide: only rows that may be of such an id are shuffled
+    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("hash")).alias("doc_id"), "text")
+    linked = link_documents(keyed, shingle, n_words, None, 2, math.ceil(mean + 3 * deviation), 0.99, similarity, 1 << 17, math.floor(mean - 4 * deviation))
+    # the rows that go are few and the texts are wide: only rows that may be of such a key are shuffled
     own = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    kept = staged(linked.groupBy("doc_id").agg(F.count_if(own).alias("__rows")))
-    gone = kept.where("__rows = 0").select(F.col("doc_id").alias("__id"))
-    split = marked(docs, gone)
-    perhaps = split.where("__maybe").drop("__maybe")
-    out = split.where("NOT __maybe").drop("__maybe").unionByName(perhaps.join(gone, perhaps["doc_id"].eqNullSafe(F.col("__id")), "left_anti"))
-    if kept.where("__rows > 1").limit(1).count():  # repeated ids: one row of each
-        twice = kept.where("__rows > 1").select(F.col("doc_id").alias("__id"))
-        same = out["doc_id"].eqNullSafe(F.col("__id"))
-        out = out.join(twice, same, "left_anti").unionByName(out.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
-    return out
+    kept = staged(linked.groupBy("doc_id").agg(F.count_if(own).alias("__rows")).where("__rows <> 1"))
+    key = F.struct("doc_id", F.xxhash64("text").alias("hash"))
+    gone, twice = (kept.where(c).select(F.col("doc_id").alias("__id")) for c in ("__rows = 0", "__rows > 1"))
+    split = marked(docs, kept.select(F.col("doc_id").alias("__id")), key)
+    perhaps = split.where("__maybe").drop("__maybe").withColumn("__key", key)
+    same = F.col("__key").eqNullSafe(F.col("__id"))
+    rest = perhaps.join(gone, same, "left_anti")
+    once = rest.join(twice, same, "left_semi").dropDuplicates(["__key"])
+    return split.where("NOT __maybe").drop("__maybe").unionByName(rest.join(twice, same, "left_anti").unionByName(once).drop("__key"))
 
 
 def hex_fingerprint(column: str = "sig"):
