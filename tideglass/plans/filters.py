@@ -107,12 +107,12 @@ def version_clocks(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", at.alias("at"), source.alias("origin"))
 
 
-@query("""WITH d AS (SELECT DISTINCT p_partkey AS doc_id, unnest(string_split(p_name, ' ')) AS term FROM part), q AS (SELECT DISTINCT p_partkey AS query_id, unnest(string_split(p_name, ' ')[1:2]) AS term FROM part WHERE p_partkey % 20 = 0), w AS (SELECT query_id, count(*) AS n FROM q GROUP BY 1)
+@query("""WITH d AS (SELECT DISTINCT p_partkey AS doc_id, unnest(string_split(p_name, ' ')) AS term FROM part), q AS (SELECT DISTINCT p_partkey AS query_id, unnest(string_split(p_name, ' ')) AS term FROM part WHERE p_partkey % 20 = 0), w AS (SELECT query_id, count(*) AS n FROM q GROUP BY 1)
   SELECT query_id, doc_id FROM q JOIN d USING (term) JOIN w USING (query_id) GROUP BY query_id, doc_id, n HAVING count(*) = n""")
 def all_terms_match(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     words = F.split("p_name", " ")
-    return X.all_terms(p.select(F.col("p_partkey").alias("doc_id"), F.explode(words).alias("term")), p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.explode(F.slice(words, 1, 2)).alias("term")))
+    return X.all_terms(p.select(F.col("p_partkey").alias("doc_id"), F.explode(words).alias("term")), p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.explode(words).alias("term")))
 
 
 @query("SELECT user_id, event_id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type IN ('error', 'purchase') GROUP BY 1 HAVING count(DISTINCT event_type) >= 2) AND event_type IN ('error', 'purchase')")
@@ -127,11 +127,11 @@ def source_top_n(spark, sf_dir):
     return X.source_top(units, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("memory_id")), ["user_id"], 3).select("user_id", "memory_id", "place")
 
 
-@query("""WITH q AS (SELECT p_partkey AS query_id, substr(p_name, 1, 5) AS q FROM part WHERE p_partkey % 20 = 0), r AS (SELECT query_id, query_id AS id, 1 AS tier, 1 AS rank FROM q UNION ALL SELECT query_id, p_partkey, CASE WHEN lower(p_name) LIKE '%' || lower(q) || '%' THEN 2 ELSE 3 END, 0 FROM q, part WHERE lower(p_name) LIKE '%' || lower(q) || '%' OR p_brand LIKE '%' || q || '%'),
+@query("""WITH q AS (SELECT p_partkey AS query_id, string_split(p_name, ' ')[-1] AS q FROM part WHERE p_partkey % 20 = 0), r AS (SELECT query_id, query_id AS id, 1 AS tier, 1 AS rank FROM q UNION ALL SELECT query_id, p_partkey, CASE WHEN lower(p_name) LIKE '%' || lower(q) || '%' THEN 2 ELSE 3 END, 0 FROM q, part WHERE lower(p_name) LIKE '%' || lower(q) || '%' OR p_brand LIKE '%' || q || '%'),
   b AS (SELECT query_id, id, min(tier) AS tier FROM r GROUP BY ALL) SELECT query_id, id, tier, CAST(n AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, id) AS n FROM b) WHERE n <= 5""")
 def entity_lookup(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    asked = p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.substring("p_name", 1, 5).alias("query"))
+    asked = p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.element_at(F.split("p_name", " "), -1).alias("query"))
     entities = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.array("p_brand").alias("aliases"))
     return X.entity_lookup(entities, asked, asked.select("query_id", F.col("query_id").alias("id"), F.lit(1).alias("rank")))
 
