@@ -38,25 +38,51 @@ def contains_pairs(texts: DataFrame, needles: DataFrame) -> DataFrame:
     return found.join(texts.select("id", "text"), "id").where(F.contains("text", "needle")).select("id", "needle_id").distinct()
 
 
-def first_come(edges: DataFrame) -> DataFrame:
+def _walk(rows: pd.DataFrame) -> pd.DataFrame:
+    used, found = set(), []
+    rows["preference"] = [tuple(p.values()) if isinstance(p, dict) else tuple(p) if isinstance(p, (tuple, list)) else (p,) for p in rows["preference"]]
+    done = object()
+    for item, _, target in sorted(zip(rows["item"], rows["preference"], rows["target"]), key=lambda r: r[:2]):
+        if item != done and (target is None or target not in used):
+            done = item
+            if target is not None:
+                used.add(target)
+                found.append((item, target))
+    return pd.DataFrame(found, columns=["item", "target"]).astype({"item": rows["item"].dtype})
+
+
+def first_come(edges: DataFrame, most: int = 100_000) -> DataFrame:
     """(item, target): items in ascending order take, one after another, the target they prefer among those still free.
 
-    edges: item, target, preference (the least is preferred, ties by target). Rounds find what the walk would: an item whose best free
-    target no earlier item can still want takes it; both leave. The earliest item left always does, so the rounds end. A
-    null target satisfies its item and is never used up.
+    edges: item, target (a string), preference (the least is preferred; different for the targets of an item). A null target satisfies its
+    item and is never used up. Connected components of up to `most` edges are walked in a task. In larger ones rounds
+    find what the walk would: an item whose best free target no earlier item can still want takes it; both leave. The
+    earliest item left always does, so the rounds end.
     """
     edges = edges.groupBy("item", "target").agg(F.min("preference").alias("preference")).checkpoint()
-    taken = None
+    node = F.concat(F.lit("i"), F.col("item").cast("string"))
+    # items that only a null target satisfies are no part of any component
+    label = components(edges.where("target IS NOT NULL").select(node.alias("src"), F.concat(F.lit("t"), "target").alias("dst")))
+    labelled = edges.withColumn("node", node).join(label, "node").drop("node").checkpoint()
+    large = labelled.groupBy("component").agg(F.count("*").alias("__n")).where(F.col("__n") > most).select("component").checkpoint()
+    small = labelled.join(large, "component", "left_anti").groupBy("component").applyInPandas(_walk, f"item {dict(edges.dtypes)['item']}, target string")
+    if not large.limit(1).count():
+        return small
+    return small.unionByName(_in_rounds(labelled.join(large, "component", "left_semi").drop("component").checkpoint()))
+
+
+def _in_rounds(edges: DataFrame) -> DataFrame:
+    taken = edges.select("item", "target").limit(0)
     while edges.limit(1).count():
         best = edges.groupBy("item").agg(F.min(F.struct("preference", "target")).alias("best")).select("item", "best.target")
         first = edges.where("target IS NOT NULL").groupBy("target").agg(F.min("item").alias("first"))
         won = best.join(first, "target", "left").where("target IS NULL OR item = first").select("item", "target").checkpoint()
-        taken = won if taken is None else taken.unionByName(won)
+        taken = taken.unionByName(won)
         edges = edges.join(won.select("item"), "item", "left_anti").join(won.select("target").where("target IS NOT NULL"), "target", "left_anti").checkpoint()
-    return taken.where("target IS NOT NULL") if taken is not None else edges.select("item", "target")
+    return taken.where("target IS NOT NULL")
 
 
-def calibration_pairs(machine: DataFrame, gold: DataFrame) -> DataFrame:
+def calibration_pairs(machine: DataFrame, gold: DataFrame, most: int = 100_000) -> DataFrame:
     """(item, anchor): the gold anchor that each machine item matches; an anchor is used up by its first item.
 
     machine: item (its order), change_type, anchor, points; UNCHANGED ones are left out. gold: place (its order), change_type,
@@ -72,7 +98,7 @@ def calibration_pairs(machine: DataFrame, gold: DataFrame) -> DataFrame:
     near = near.where("id.change_type = needle_id.change_type").select("id.item", "needle_id.change_type", "needle_id.label")
     named = near.join(rows, ["change_type", "label"]).select("item", "anchor", F.struct(F.lit(1).alias("by"), "place").alias("preference"))
     edges = keyed.unionByName(named).select("item", F.when(F.col("anchor") != "", F.col("anchor")).alias("target"), "preference")
-    return first_come(edges).select("item", F.col("target").alias("anchor"))
+    return first_come(edges, most).select("item", F.col("target").alias("anchor"))
 
 
 def eligible(gold: DataFrame) -> DataFrame:

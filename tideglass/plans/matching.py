@@ -9,9 +9,9 @@ from tideglass.operators import matching as M
 from tideglass.plans._base import query, table
 
 _GOLD = """g AS (SELECT p_partkey AS place, 'T' || p_size % 5 AS type, p_brand || '/' || p_name AS anchor, '#' || p_size AS field, CASE WHEN p_size <= 20 THEN 'Verified' WHEN p_size <= 35 THEN 'corrected' ELSE 'negative' END AS status FROM part)"""
-_CALIBRATED = f"""WITH RECURSIVE {_GOLD}, m AS (SELECT row_number() OVER (ORDER BY c_custkey) AS i, c_custkey AS item, CASE WHEN c_nationkey = 0 THEN 'UNCHANGED' ELSE 'T' || c_nationkey % 5 END AS type, 'Brand#' || c_custkey % 25 || '/red ring' AS own, lower(c_mktsegment) || ' #' || c_custkey % 53 || ' #' || c_nationkey AS points FROM customer),
-  e AS (SELECT i, anchor, CASE WHEN own = anchor THEN 0 ELSE 1 END AS pref, place FROM m JOIN g USING (type) WHERE status IN ('Verified', 'corrected') AND (own = anchor OR contains(own || ' ' || points, field))),
-  b AS (SELECT i, anchor, min(pref * 1000000000 + place) AS w FROM e GROUP BY ALL),
+_CALIBRATED = f"""WITH RECURSIVE {_GOLD}, m AS MATERIALIZED (SELECT row_number() OVER (ORDER BY c_custkey) AS i, c_custkey AS item, CASE WHEN c_nationkey = 0 THEN 'UNCHANGED' ELSE 'T' || c_nationkey % 5 END AS type, 'Brand#' || c_custkey % 25 || '/red ring' AS own, lower(c_mktsegment) || ' #' || c_custkey % 53 || ' #' || c_nationkey AS points FROM customer),
+  e AS MATERIALIZED (SELECT i, anchor, CASE WHEN own = anchor THEN 0 ELSE 1 END AS pref, place FROM m JOIN g USING (type) WHERE status IN ('Verified', 'corrected') AND (own = anchor OR contains(own || ' ' || points, field))),
+  b AS MATERIALIZED (SELECT i, anchor, min(pref * 1000000000 + place) AS w FROM e GROUP BY ALL),
   r AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS x UNION ALL
     SELECT i, CASE WHEN x IS NULL THEN used ELSE list_append(used, x) END, x FROM (SELECT r.i + 1 AS i, used, arg_min(b.anchor, w) AS x FROM r LEFT JOIN b ON b.i = r.i + 1 AND NOT list_contains(used, b.anchor) WHERE r.i < (SELECT max(i) FROM m) GROUP BY r.i, used))"""
 
