@@ -1,23 +1,31 @@
-"""Communities of a simple undirected graph: label propagation, greedy modularity, skeletons, ranking, expansion.
+"""Communities of a simple undirected graph: label propagation, greedy modularity, skeletons, ranking, expansion, the global route.
 
 Both clusterings are sequential by definition, but what happens in one connected component depends on no other
-(greedy modularity needs the number of all edges besides). So Spark finds the components and each is
-clustered in a task of its own. A component must fit in a task: that is the bound of these two operators.
+(greedy modularity needs the number of all edges besides). Components of up to a stated number of edges are
+clustered exactly, a task each. Larger ones are clustered in rounds over tables, which follow the same rule for many nodes or
+pairs at once: their communities may differ from the sequential ones, and `graph.modularity` measures how good they are.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Callable
 from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideglass.functions.answers import search_terms
 from tideglass.operators.graph import components
+from tideglass.operators.rounds import settled
 
 #: Passes of label propagation, entities and claims of a skeleton, communities of an answer, new neighbours a node.
 MOST_PASSES, TOP_ENTITIES, TOP_CLAIMS, TOP_COMMUNITIES, BEAM = 16, 8, 3, 3, 3
 
+#: Edges of a component that is clustered in one task; parts of the nodes of larger ones that take turns in a pass.
+MOST_EDGES, _SHARES = 200_000, 8
+
 
 def simple_edges(edges: DataFrame) -> DataFrame:
     """(src, dst) as strings, src < dst, each once."""
@@ -57,42 +65,102 @@ def _propagate(rows: pd.DataFrame, passes: int) -> pd.DataFrame:
 
 
 def _merge(rows: pd.DataFrame, m: int) -> pd.DataFrame:
-    """Gains are compared as whole numbers: 2 m^2 dQ = 2 m e_ab - K_a K_b."""
+    """Gains are compared as whole numbers: 2 m^2 dQ = 2 m e_ab - K_a K_b. A heap holds them; entries that changed since are passed over."""
     near = _neighbours(rows)
     weight = {n: len(x) for n, x in near.items()}
     between = {n: dict.fromkeys(x, 1) for n, x in near.items()}
-    label = {n: n for n in near}
-    while True:
-        gains = [(2 * m * e - weight[a] * weight[b], a, b) for a, x in between.items() for b, e in x.items() if a < b]
-        if not gains:
-            break
-        most = max(g[0] for g in gains)
-        if most <= 0:
+    members = {n: [n] for n in near}
+    gain = lambda a, b: 2 * m * between[a][b] - weight[a] * weight[b]
+    heap = [(-gain(a, b), a, b) for a, x in between.items() for b in x if a < b]
+    heapq.heapify(heap)
+    while heap:
+        loss, a, b = heapq.heappop(heap)
+        if loss >= 0:
             break
-        a, b = min(g[1:] for g in gains if g[0] == most)
+        if b not in between.get(a, ()) or -loss != gain(a, b):
+            continue
         weight[a] += weight.pop(b)
+        members[a] += members.pop(b)
         for c, e in between.pop(b).items():
             del between[c][b]
             if c != a:
                 between[a][c] = between[c][a] = between[a].get(c, 0) + e
-        label = {n: a if of == b else of for n, of in label.items()}
-    return _frame(label)
-
-
-def _by_component(edges: DataFrame, cluster) -> DataFrame:
-    part = components(edges).select(F.col("node").alias("src"), "component")
-    return edges.join(part, "src").groupBy("component").applyInPandas(lambda rows: cluster(rows), "node string, community string")
-
+        for c in between[a]:
+            heapq.heappush(heap, (-gain(a, c), min(a, c), max(a, c)))
+    return _frame({n: of for of, some in members.items() for n in some})
 
-def label_propagation(edges: DataFrame, passes: int = MOST_PASSES) -> DataFrame:
-    """(node, community): nodes in order take the most frequent label of their neighbours, the smallest on a tie, pass by pass; a community is named by its smallest node."""
-    return _by_component(simple_edges(edges), partial(_propagate, passes=passes))
 
-
-def greedy_modularity(edges: DataFrame) -> DataFrame:
-    """(node, community): the pair of communities whose merge raises modularity most is merged, the first by name on a tie, until none does."""
+def _propagate_in_rounds(edges: DataFrame, passes: int) -> DataFrame:
+    """A pass moves one of _SHARES parts of the nodes, by a hash, after another: nodes that move at once spread small names over bridges, more parts come closer to the sequential walk."""
+    ways = edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("other")))
+    ways = settled(ways.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(_SHARES))))
+    label = settled(ways.select("node", "part", F.col("node").alias("label")).distinct())
+    still = 0
+    for k in range(_SHARES * passes):
+        part = F.col("part") == k % _SHARES
+        votes = ways.where(part).join(label.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.count("*").alias("n"))
+        best = votes.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("loss"), "label")).alias("best")).select("node", F.col("best.label").alias("new"))
+        moved = settled(label.where(part).join(best, "node").select("node", "part", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("moves")))
+        if not moved.where("moves").limit(1).count():
+            still += 1
+            if still == _SHARES:
+                break
+            continue
+        still = 0
+        label = settled(label.where(~part).unionByName(moved.drop("moves")))
+    return _named(label)
+
+
+def _merge_in_rounds(edges: DataFrame, m: int) -> DataFrame:
+    """Each round merges all pairs of communities that gain at least half of what the best pair does and are each other's best, by gain and then name; the best pair is one of them, so rounds end when no merge gains."""
+    number = lambda c: c.cast("decimal(38,0)")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("c"))
+    weight = settled(ends.groupBy("c").agg(number(F.count("*")).alias("k")))
+    between = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), number(F.lit(1)).alias("e"))
+    label = weight.select(F.col("c").alias("node"), F.col("c").alias("label"))
+    while True:
+        of = lambda end: weight.select(F.col("c").alias(end), F.col("k").alias(f"k_{end}"))
+        gains = between.join(of("a"), "a").join(of("b"), "b").withColumn("loss", number(F.col("k_a") * F.col("k_b")) - number(F.lit(2 * m) * F.col("e"))).where("loss < 0")
+        gains = settled(gains)
+        top = gains.agg(F.min("loss").alias("top"))  # one row
+        best = gains.crossJoin(F.broadcast(top)).where("2 * loss <= top").select(F.explode(F.array("a", "b")).alias("c"), F.struct("loss", "a", "b").alias("pair")).groupBy("c").agg(F.min("pair").alias("pair"))
+        merged = settled(best.groupBy("pair.a", "pair.b").agg(F.count("*").alias("n")).where("n = 2").select(F.col("a").alias("into"), F.col("b").alias("gone")))
+        if not merged.limit(1).count():
+            return _named(label)
+        moved = lambda df, c: df.join(merged, F.col(c) == F.col("gone"), "left").withColumn(c, F.coalesce("into", c)).drop("into", "gone")
+        between = settled(moved(moved(between, "a"), "b").where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(number(F.sum("e")).alias("e")))
+        weight = settled(moved(weight, "c").groupBy("c").agg(number(F.sum("k")).alias("k")))
+        label = settled(moved(label, "label"))
+
+
+def _named(label: DataFrame) -> DataFrame:
+    """(node, community) of (node, label): communities go by their smallest node."""
+    return label.join(label.groupBy("label").agg(F.min("node").alias("community")), "label").select("node", "community")
+
+
+def _clustered(edges: DataFrame, nodes: DataFrame | None, in_task: Callable, in_rounds: Callable, most: int) -> DataFrame:
+    labelled = edges.join(components(edges).select(F.col("node").alias("src"), "component"), "src").checkpoint()
+    large = labelled.groupBy("component").agg(F.count("*").alias("__n")).where(F.col("__n") > most).select("component").checkpoint()
+    found = labelled.join(large, "component", "left_anti").groupBy("component").applyInPandas(lambda rows: in_task(rows), "node string, community string")
+    if large.limit(1).count():
+        found = found.unionByName(in_rounds(labelled.join(large, "component", "left_semi").select("src", "dst").checkpoint()))
+    if nodes is None:
+        return found
+    found = found.checkpoint()
+    alone = nodes.select(F.col("node").cast("string").alias("node")).where("node IS NOT NULL").distinct().join(found, "node", "left_anti")
+    return found.unionByName(alone.select("node", F.col("node").alias("community")))
+
+
+def label_propagation(edges: DataFrame, passes: int = MOST_PASSES, nodes: DataFrame | None = None, most: int = MOST_EDGES) -> DataFrame:
+    """(node, community): nodes in order take the most frequent label of their neighbours, the smallest on a tie, pass by pass; a community is named by its smallest node. Nodes (node) without edges are communities of their own."""
+    return _clustered(simple_edges(edges), nodes, partial(_propagate, passes=passes), partial(_propagate_in_rounds, passes=passes), most)
+
+
+def greedy_modularity(edges: DataFrame, nodes: DataFrame | None = None, most: int = MOST_EDGES) -> DataFrame:
+    """(node, community): the pair of communities whose merge raises modularity most is merged, the first by name on a tie, until none does. Nodes (node) without edges are communities of their own."""
     edges = simple_edges(edges)
-    return _by_component(edges, partial(_merge, m=edges.count()))
+    m = edges.count()
+    return _clustered(edges, nodes, partial(_merge, m=m), partial(_merge_in_rounds, m=m), most)
 
 
 def skeletons(membership: DataFrame, edges: DataFrame, names: DataFrame, entities: int = TOP_ENTITIES, claims: int = TOP_CLAIMS) -> DataFrame:
@@ -127,10 +195,10 @@ def rank_communities(terms: DataFrame, skeleton_terms: DataFrame, top_n: int = T
 
 
 def expand(edges: DataFrame, seeds: DataFrame, hops: int, beam: int = BEAM) -> DataFrame:
-    """(seed, node, hop): from each node of a hop the first `beam` neighbours (by name) that its seed has not reached go on; seeds: node."""
+    """(seed, node, hop): from each node of a hop the first `beam` neighbours (by name) that its seed has not reached go on; seeds: node, or seed and node where a seed starts at several nodes."""
     edges = simple_edges(edges)
     ways = edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("other")))
-    found = seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("hop", F.lit(0))
+    found = seeds.select(F.col("seed" if "seed" in seeds.columns else "node").alias("seed"), "node").distinct().withColumn("hop", F.lit(0))
     frontier = found
     for k in range(1, hops + 1):
         new = frontier.select("seed", "node").join(ways, "node").join(found.select("seed", F.col("node").alias("other")), ["seed", "other"], "left_anti")
@@ -138,3 +206,20 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int, beam: int = BEAM) -> D
         frontier = few.select("seed", F.col("other").alias("node")).distinct().withColumn("hop", F.lit(k)).checkpoint()
         found = found.unionByName(frontier)
     return found
+
+
+def global_route(queries: DataFrame, edges: DataFrame, names: DataFrame, membership: DataFrame | None = None, top_n: int = TOP_COMMUNITIES, depth: int = 3, beam: int = BEAM) -> tuple[DataFrame, DataFrame]:
+    """Communities and entities that answer a question on the whole graph: cluster (unless membership is given), summarise, rank, expand.
+
+    queries: query_id, query; edges and names as skeletons takes them. Returns hits (query_id, community, score, place), and entities
+    (query_id, node, hop, place): the members of hits with their hit's place, and what depth hops reach from them.
+    """
+    membership = greedy_modularity(edges, names.select("node")) if membership is None else membership
+    shown = skeletons(membership, edges, names)
+    said = F.concat_ws(" ", "top_entities", F.transform("rel_types", lambda r: F.regexp_replace(r, ":[0-9]+$", "")), "claims")
+    terms = shown.select("community", "size", F.explode(search_terms(said)).alias("term"))
+    hits = rank_communities(queries.select("query_id", F.explode(search_terms(F.col("query"))).alias("term")), terms, top_n)
+    members = hits.select("query_id", "community", "place").join(membership, "community").checkpoint()
+    reached = expand(edges, members.select(F.col("query_id").alias("seed"), "node"), depth, beam).withColumnRenamed("seed", "query_id")
+    places = members.groupBy("query_id", "node").agg(F.min("place").alias("place"))
+    return hits, reached.join(places, ["query_id", "node"], "left").select("query_id", "node", "hop", "place")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideglass.operators.graph import components
+from tideglass.operators.rounds import settled
 
 #: Length of the grams that substring joins look up.
 GRAM = 3
@@ -76,9 +77,10 @@ def _in_rounds(edges: DataFrame) -> DataFrame:
     while edges.limit(1).count():
         best = edges.groupBy("item").agg(F.min(F.struct("preference", "target")).alias("best")).select("item", "best.target")
         first = edges.where("target IS NOT NULL").groupBy("target").agg(F.min("item").alias("first"))
-        won = best.join(first, "target", "left").where("target IS NULL OR item = first").select("item", "target").checkpoint()
+        won = best.join(first, "target", "left").where("target IS NULL OR item = first").select("item", "target")
+        won = settled(won)
         taken = taken.unionByName(won)
-        edges = edges.join(won.select("item"), "item", "left_anti").join(won.select("target").where("target IS NOT NULL"), "target", "left_anti").checkpoint()
+        edges = settled(edges.join(won.select("item"), "item", "left_anti").join(won.select("target").where("target IS NOT NULL"), "target", "left_anti"))
     return taken.where("target IS NOT NULL")
 
 
@@ -182,14 +184,14 @@ def auction(edges: DataFrame, capacity: int, epsilon: float) -> DataFrame:
         # the k-th open slot bids for the k-th item, at the price that leaves it as well off as the next beyond them all
         numbered = idle.withColumn("k", F.row_number().over(Window.partitionBy("owner").orderBy("slot"))).withColumn("open", F.count("*").over(Window.partitionBy("owner")))
         bids = numbered.join(best, "owner", "left").withColumn("own", F.get("best", F.col("k") - 1)).withColumn("next", F.greatest(F.coalesce(F.get("best", F.col("open"))["value"], F.lit(0.0)), F.lit(0.0)))
-        bids = bids.checkpoint()
+        bids = settled(bids)
         retired = bids.where("own IS NULL OR own.value <= 0").select("owner", "slot")
         live = bids.where("own.value > 0").select("owner", "slot", F.col("own.item").alias("item"), (F.col("own.price") + F.col("own.value") - F.col("next") + epsilon).alias("bid"))
         if not live.limit(1).count():
             return held.select(F.col("holder").alias("owner"), "item")
         won = live.groupBy("item").agg(F.min(F.struct((-F.col("bid")).alias("least"), F.col("owner").alias("holder"), F.col("slot").alias("held_slot"), F.col("bid").alias("price"))).alias("w")).select("item", "w.holder", "w.held_slot", "w.price")
-        out = out.unionByName(retired).checkpoint()
-        held = held.join(won.select("item"), "item", "left_anti").unionByName(won).checkpoint()
+        out = settled(out.unionByName(retired))
+        held = settled(held.join(won.select("item"), "item", "left_anti").unionByName(won))
 
 
 def assign(edges: DataFrame, capacity: int = 1, epsilon: float = 1e-4, most: int = 2000) -> DataFrame:

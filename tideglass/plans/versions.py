@@ -145,14 +145,45 @@ def community_rank(spark, sf_dir):
     return C.rank_communities(p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.explode(F.split("p_name", " ")).alias("term")), terms)
 
 
-@query("""WITH e AS (SELECT s_suppkey AS id, 's' || s_suppkey AS src, 'n' || s_nationkey AS dst FROM supplier), m AS (SELECT 's' || s_suppkey AS node, s_nationkey AS c FROM supplier UNION ALL SELECT 'n' || n_nationkey, n_nationkey FROM nation) SELECT 'n' || c AS community, count(*) AS size FROM m GROUP BY 1""")
-def community_skeletons(spark, sf_dir):
+_SKELETONS = """WITH e AS (SELECT s_suppkey AS id, 's' || s_suppkey AS src, 'n' || s_nationkey AS community, s_name AS claim FROM supplier), m AS (SELECT src AS node, community FROM e UNION ALL SELECT 'n' || n_nationkey, 'n' || n_nationkey FROM nation),
+  nm AS (SELECT 's' || s_suppkey AS node, s_name AS name FROM supplier UNION ALL SELECT 'n' || n_nationkey, n_name FROM nation), dg AS (SELECT node, CASE WHEN node = community THEN (SELECT count(*) FROM e WHERE e.community = m.community) ELSE 1 END AS degree FROM m),
+  t AS (SELECT community, count(*) AS size, list(name ORDER BY degree DESC, node)[1:8] AS top_entities FROM m JOIN nm USING (node) JOIN dg USING (node) GROUP BY 1),
+  k AS (SELECT community, ['located_in:' || count(*)] AS rel_types, list(claim ORDER BY id)[1:3] AS claims FROM e GROUP BY 1),
+  sk AS (SELECT community, size, top_entities, coalesce(rel_types, []) AS rel_types, coalesce(claims, []) AS claims FROM t LEFT JOIN k USING (community))"""
+
+
+def _located(spark, sf_dir):
+    """Suppliers and nations: edges, membership by nation, names."""
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
     edges = s.select(F.col("s_suppkey").alias("id"), name("s", "s_suppkey").alias("src"), name("n", "s_nationkey").alias("dst"), F.lit("located_in").alias("rel_type"), F.col("s_name").alias("claim"))
     members = s.select(name("s", "s_suppkey").alias("node"), name("n", "s_nationkey").alias("community")).unionByName(n.select(name("n", "n_nationkey").alias("node"), name("n", "n_nationkey").alias("community")))
     names = s.select(name("s", "s_suppkey").alias("node"), F.col("s_name").alias("name")).unionByName(n.select(name("n", "n_nationkey").alias("node"), F.col("n_name").alias("name")))
-    return C.skeletons(members, edges, names).select("community", "size")
+    return edges, members, names
+
+
+@query(f"""{_SKELETONS} SELECT community, size, array_to_string(top_entities, '|') AS top_entities, array_to_string(rel_types, '|') AS rel_types, array_to_string(claims, '|') AS claims,
+  sha256(CAST(to_json({{'community': community, 'size': size, 'top_entities': top_entities, 'rel_types': rel_types, 'claims': claims}}) AS VARCHAR)) AS fingerprint FROM sk""")
+def community_skeletons(spark, sf_dir):
+    edges, members, names = _located(spark, sf_dir)
+    shown = C.skeletons(members, edges, names)
+    return shown.select("community", "size", *(F.array_join(c, "|").alias(c) for c in ("top_entities", "rel_types", "claims")), "fingerprint")
+
+
+@query(f"""{_SKELETONS}, g AS (SELECT n_nationkey AS query_id, unnest(list_distinct(regexp_extract_all(lower(n_name || ' Supplier#00000000' || n_nationkey), '[a-z0-9_]+'))) AS term FROM nation),
+  st AS (SELECT DISTINCT community, size, unnest(regexp_extract_all(lower(array_to_string(top_entities || claims, ' ') || CASE WHEN len(rel_types) > 0 THEN ' located_in' ELSE '' END), '[a-z0-9_]+')) AS term FROM sk),
+  h AS (SELECT query_id, community, count(*) AS score, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, size DESC, community) AS place FROM g JOIN st USING (term) GROUP BY query_id, community, size QUALIFY place <= 2),
+  mm AS (SELECT query_id, node, min(place) AS place FROM h JOIN m USING (community) GROUP BY ALL),
+  x AS (SELECT DISTINCT query_id, 'r' || n_regionkey AS node FROM mm JOIN nation ON node = 'n' || n_nationkey)
+  SELECT query_id, node, CAST(0 AS INTEGER) AS hop, CAST(place AS INTEGER) AS place FROM mm UNION ALL SELECT query_id, node, 1, NULL FROM x""")
+def global_route(spark, sf_dir):
+    """Nations' names ask; communities are nations with their suppliers, and edges to regions lead out of them."""
+    edges, members, names = _located(spark, sf_dir)
+    n = table(spark, sf_dir, "nation")
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    out = n.select((-F.col("n_nationkey") - 1).alias("id"), name("n", "n_nationkey").alias("src"), name("r", "n_regionkey").alias("dst"), F.lit("in_region").alias("rel_type"), F.lit(None).cast("string").alias("claim"))
+    asked = n.select(F.col("n_nationkey").alias("query_id"), F.concat("n_name", F.lit(" Supplier#00000000"), F.col("n_nationkey")).alias("query"))
+    return C.global_route(asked, edges.unionByName(out), names, members, top_n=2, depth=1)[1]
 
 
 @query("""SELECT o_orderkey, o_orderdate + INTERVAL 1 HOUR * (CASE WHEN TIMESTAMP '1998-01-01' <= o_orderdate THEN 0 ELSE (date_diff('second', o_orderdate, TIMESTAMP '1998-01-01') // (3600 * (1 + o_orderkey % 5)) + 1) * (1 + o_orderkey % 5) END) AS next_at FROM orders""")
