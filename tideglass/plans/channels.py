@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tideglass.functions import canonical as C
 from tideglass.operators import layers as L
+from tideglass.operators.rounds import shared_folder
 from tideglass.plans._base import query, table
 from tideglass.streaming import channels as S
 
@@ -28,7 +29,7 @@ def capped_log(spark, sf_dir):
 @query("SELECT event_id, user_id, event_type FROM events WHERE event_id >= 300")
 def subscribe_history(spark, sf_dir):
     """The events from an index on, as the stream of the log delivers them."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir')}/subscription-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/subscription-{uuid.uuid4().hex}"
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     log = f"{folder}/log"
     events.write.parquet(log)
@@ -92,7 +93,7 @@ def layered_search(spark, sf_dir):
 def hit_log(spark, sf_dir):
     """The log after the same batch was delivered twice."""
     asked = requests(spark, sf_dir)
-    log = f"{spark.conf.get('spark.checkpoint.dir')}/hits-{uuid.uuid4().hex}"
+    log = f"{shared_folder(spark)}/hits-{uuid.uuid4().hex}"
     rows = L.hits(L.layered_search(asked, long_term(spark, sf_dir), memories(spark, sf_dir)), asked, F.lit("2024-05-01 10:00:00").cast("timestamp"))
     for _ in range(2):
         L.append_hits(rows, log, 7)
