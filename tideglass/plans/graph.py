@@ -88,11 +88,11 @@ def restore_edges(spark, sf_dir):
 
 
 @query(f"""{_EDGES}, i AS (SELECT DISTINCT src, dst, rel_type, CASE WHEN src LIKE '%2' THEN 'other' ELSE rel_type END AS claim FROM e WHERE src LIKE 'c%')
-  SELECT count(*) AS n_edges FROM (SELECT id FROM e UNION ALL SELECT src FROM i WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = i.src AND e.dst = i.dst AND e.rel_type = i.rel_type AND e.rel_type = i.claim AND e.invalid_at IS NULL))""")
+  SELECT src, dst, rel_type, rel_type AS claim, valid_at, invalid_at, id FROM e UNION ALL SELECT src, dst, rel_type, claim, NULL, NULL, NULL FROM i WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = i.src AND e.dst = i.dst AND e.rel_type = i.rel_type AND e.rel_type = i.claim AND e.invalid_at IS NULL)""")
 def upsert_relations(spark, sf_dir):
     e = tracked(spark, sf_dir)
     incoming = e.where("src like 'c%'").select("src", "dst", "rel_type", F.when(F.col("src").endswith("2"), "other").otherwise(F.col("rel_type")).alias("claim"))
-    return G.upsert_relations(e, incoming).agg(F.count("*").alias("n_edges"))
+    return G.upsert_relations(e, incoming).select("src", "dst", "rel_type", "claim", "valid_at", "invalid_at", "id")
 
 
 @query(f"{_EDGES} SELECT a.src, a.dst AS via, b.dst FROM e a JOIN e b ON a.dst = b.src WHERE a.rel_type = 'located_in' AND b.rel_type = 'in_region'")
