@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -737,3 +738,36 @@ def test_rare_url_words_count(spark):
     odds = {r["page_id"]: r["odds"] for r in url_filter.judge(pages, texts).where("page_id < 0").collect()}
     assert odds[-3] == pytest.approx(odds[-4])  # dictionary: once each, behind 120,000 words seen twice
     assert odds[-2] - odds[-5] == pytest.approx(math.log(2))  # classifier: blocked once and allowed once, against allowed once
+
+
+def test_window_hashes_are_those_of_words(monkeypatch):
+    """Any window's hash is that of the same letters as a word, whatever stands before it; texts are cut in pieces between runs."""
+    runs = ["cheappills", "ab", "straße", "a" * 30, "pills"]
+    words = sorted({r[k:e] for r in runs for k in range(len(r)) for e in range(k + 2, min(len(r), k + 6) + 1)})
+    hashed = pd.concat(url_filter._hash_words(iter([pd.DataFrame({"word": words, "n": range(len(words))})])))
+    assert list(hashed["word"]) == words and list(hashed["n"]) == list(range(len(words)))
+    of = dict(zip(hashed["word"], hashed["hash"]))
+    assert len(set(of.values())) == len(words)
+    for size in (3, 12, 500_000):
+        monkeypatch.setattr(url_filter, "_PIECE", size)
+        found = pd.concat(url_filter._windows(iter([pd.DataFrame({"id": range(len(runs)), "run": runs})]), [2, 3, 4, 5, 6]))
+        assert sorted(zip(found["id"], found["hash"])) == sorted((k, of[w]) for k, r in enumerate(runs) for w in words if w in r)
+
+
+def test_long_runs_and_long_words(spark):
+    """A run of 10,000 letters beside a word of 10,000, and an empty table of pages."""
+    import resource
+
+    word = "".join(random.Random(3).choices("abcdefgh", k=10_000))
+    counts = spark.createDataFrame([(word[:9_000], 2), (word, 1), ("cheap", 9), ("pills", 9)], "word string, n long")
+    runs = spark.createDataFrame([("cheap" + word,), (word[:9_000] + "pills",), ("cheap" * 2_000,), ("xq",)], "run string")
+    cut = {r["run"]: r["tokens"] for r in url_filter.segment(runs, counts).collect()}
+    assert cut["cheap" + word] == ["cheap", word] and cut[word[:9_000] + "pills"] == [word[:9_000], "pills"]
+    assert cut["cheap" * 2_000] == ["cheap"] * 2_000 and cut["xq"] == ["xq"]
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    frame = pd.DataFrame({"id": [1], "run": [word]})
+    assert sum(len(f) for f in url_filter._windows(iter([frame]), list(range(2, 10_001, 50)))) > 900_000
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000
+    pages = spark.createDataFrame([], "page_id long, url string")
+    assert url_filter.judge(pages, spark.createDataFrame([("cheap pills",)], "text string")).count() == 0

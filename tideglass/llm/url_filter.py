@@ -4,8 +4,8 @@
 For the rest, host names are cut into words by the most likely segmentation under a unigram model
 (Viterbi), path tokens likewise, and a multinomial naive Bayes with add-one smoothing scores the words.
 It learns from the rules' own verdicts; urls that no rule covers count as allowed there, as most are.
-Each distinct run of letters is segmented once, with the counts of its own substrings joined from the full
-counts; the words' odds are joined likewise, so neither model has a bound or passes through the driver.
+Each distinct run of letters is segmented once, with the counts of the words in it joined from the full
+counts by hashes; the words' odds are joined likewise, so neither model has a bound or passes through the driver.
 
 Defined results: a null url, or one without "://", has an empty host and path, no rule and no words, so
 the more frequent class decides (allow on a tie or without any labelled url); rows may repeat.
@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,10 @@ RULES = [
 ]
 #: What an unknown word pays for each letter, as log probability.
 _LETTER = 2.5
+#: Of the hashes of windows: odd, so that it can be divided by modulo 2 ** 64.
+_BASE = 6364136223846793005
+#: Letters hashed at a time.
+_PIECE = 500_000
 _RUN = re.compile(r"[a-z]+|[0-9]+|[^\W\d_a-z]+")
 
 
@@ -70,7 +75,7 @@ class Segmenter:
 
     def __call__(self, name: str) -> list[str]:
         """By Viterbi; a word that is not known pays for itself and for each letter, however long it is, so an open one is carried along."""
-        longest = max(map(len, self.log_p), default=0)
+        lengths = sorted(set(map(len, self.log_p)))
         opening, log_p = math.log(self.total + 1), self.log_p
         best, back, unknown, start = [0.0], [0], -math.inf, 0
         for end in range(1, len(name) + 1):
@@ -78,7 +83,7 @@ class Segmenter:
                 unknown, start = best[end - 1] - opening, end - 1
             unknown -= _LETTER
             options = [(unknown, -start)]
-            options += [(best[k] + log_p[name[k:end]], -k) for k in range(max(0, end - longest), end) if name[k:end] in log_p]
+            options += [(best[k] + log_p[name[k:end]], -k) for k in (end - n for n in lengths if n <= end) if name[k:end] in log_p]
             score, k = max(options)
             best.append(score)
             back.append(-k)
@@ -110,17 +115,52 @@ def runs_of(parts: DataFrame) -> DataFrame:
     return parts.mapInPandas(_runs, "part string, run string")
 
 
-def _substrings(frames: Iterator[pd.DataFrame], longest: int) -> Iterator[pd.DataFrame]:
+def _pieces(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, text number of each letter, letters left from there on, running hash sums) of texts joined to some _PIECE letters.
+
+    The letters i to j hash to (sums[j] - sums[i]) / _BASE ** i modulo 2 ** 64. A longer text makes a piece of its own.
+    """
+    first, held, size = 0, [], 0
+    for k, text in enumerate([*texts, None]):
+        if held and (text is None or size + len(text) > _PIECE):
+            lengths = np.array([len(t) for t in held])
+            ends = np.cumsum(lengths)
+            letters = np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * _powers(_BASE, size))])
+            yield first, np.repeat(np.arange(len(held)), lengths), np.repeat(ends, lengths) - np.arange(size), sums
+            first, held, size = k, [], 0
+        if text is not None:
+            held.append(text)
+            size += len(text)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    factors = np.full(n, base, np.uint64)
+    factors[:1] = 1
+    return np.cumprod(factors)
+
+
+def _windows(frames: Iterator[pd.DataFrame], lengths: list[int]) -> Iterator[pd.DataFrame]:
+    """(id, hash): the windows of these lengths of each run, equal ones of a run once."""
+    for frame in frames:
+        ids = frame["id"].to_numpy()
+        for first, row, left, sums in _pieces(list(frame["run"])):
+            inverse = _powers(pow(_BASE, -1, 2**64), len(row))
+            for length in lengths:
+                at = np.flatnonzero(left >= length)
+                if not len(at):
+                    break
+                hashes = ((sums[at + length] - sums[at]) * inverse[at]).view(np.int64)
+                yield pd.DataFrame({"id": ids[first + row[at]], "hash": hashes}).drop_duplicates()
+
+
+def _hash_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        runs, words = [], []
-        for run in frame["run"]:
-            found = {run[k:end] for k in range(len(run)) for end in range(k + 2, min(len(run), k + longest) + 1)}
-            runs += [run] * len(found)
-            words += found
-            if len(words) > 100_000:
-                yield pd.DataFrame({"run": runs, "word": words}, dtype=object)
-                runs, words = [], []
-        yield pd.DataFrame({"run": runs, "word": words}, dtype=object)
+        for first, row, left, sums in _pieces(list(frame["word"])):
+            starts = np.flatnonzero(np.diff(row, prepend=-1))
+            hashes = (sums[starts + left[starts]] - sums[starts]) * _powers(pow(_BASE, -1, 2**64), len(row))[starts]
+            words = frame.iloc[first + row[starts]]
+            yield pd.DataFrame({"hash": hashes.view(np.int64), "word": words["word"], "n": words["n"]})
 
 
 def _segment(frames: Iterator[pd.DataFrame], total: int) -> Iterator[pd.DataFrame]:
@@ -130,10 +170,19 @@ def _segment(frames: Iterator[pd.DataFrame], total: int) -> Iterator[pd.DataFram
 
 
 def segment(runs: DataFrame, counts: DataFrame) -> DataFrame:
-    """(run, tokens) of distinct runs (run), by the counts (word, n) of all words."""
-    total, longest = counts.agg(F.coalesce(F.sum("n"), F.lit(1)), F.coalesce(F.max(F.length("word")), F.lit(0))).first()
-    known = runs.mapInPandas(partial(_substrings, longest=longest), "run string, word string").join(counts, "word").groupBy("run").agg(F.collect_list(F.struct("word", "n")).alias("known"))
-    return runs.join(known, "run", "left").mapInPandas(partial(_segment, total=total), "run string, tokens array<string>")
+    """(run, tokens) of distinct runs (run), by the counts (word, n) of all words.
+
+    The words that may be in a run are found by hashes of its windows of the lengths that words have (a list of
+    numbers, the one thing that passes through the driver); the segmenter looks words up themselves, so that two with
+    one hash do no harm. Memory grows with the longest run, not with its windows.
+    """
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0]
+    lengths = sorted(r[0] for r in counts.select(F.length("word")).distinct().collect() if r[0])
+    runs = staged(runs.withColumn("id", F.monotonically_increasing_id()))
+    words = counts.where("word <> ''").mapInPandas(_hash_words, "hash long, word string, n long")
+    windows = runs.select("id", "run").mapInPandas(partial(_windows, lengths=lengths), "id long, hash long")
+    known = windows.join(words, "hash").groupBy("id").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    return runs.join(known, "id", "left").mapInPandas(partial(_segment, total=total), "run string, tokens array<string>")
 
 
 def train_bayes(tokens: DataFrame, urls: DataFrame) -> tuple[DataFrame, float]:
