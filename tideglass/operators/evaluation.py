@@ -90,3 +90,23 @@ def value_distribution(rows: DataFrame, column: str) -> DataFrame:
     counts = rows.groupBy(column).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("__total"))
     return counts.crossJoin(F.broadcast(total)).withColumn("percent", F.floor(F.col("n") * 100 / F.col("__total")).cast("int")).drop("__total")  # one row
+
+
+def cache_evidence(items: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """What providers say of their caches, of items (keys, status, available_calls, hit_calls, cached_tokens, input_tokens); only status "available" counts in sums."""
+    total = lambda c: F.coalesce(F.sum(F.when(F.col("status") == "available", F.col(c))), F.lit(0)).alias(c)
+    known = F.coalesce("status", F.lit("unsupported"))
+    sums = items.groupBy(*keys).agg(F.count("*").alias("item_count"), *map(total, ("available_calls", "hit_calls", "cached_tokens", "input_tokens")), F.coalesce(F.bool_or(known == "unavailable"), F.lit(False)).alias("__off"))
+    ratio = lambda a, b: F.when(F.col(b) != 0, F.round(F.col(a) / F.col(b), 4))
+    status = F.when(F.col("available_calls") != 0, "available").when(F.col("__off"), "unavailable").otherwise("unsupported")
+    return sums.select(*keys, status.alias("status"), "item_count", "available_calls", "hit_calls", ratio("hit_calls", "available_calls").alias("hit_rate"), "cached_tokens", "input_tokens", ratio("cached_tokens", "input_tokens").alias("cached_ratio"))
+
+
+def budget_evidence(items: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """How often items (keys, over_soft, over_hard, compressed, peak_tokens) went beyond budgets, and their peaks; a null peak is 0."""
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    peak = F.coalesce("peak_tokens", F.lit(0))
+    sums = items.groupBy(*keys).agg(F.count("*").alias("total_items"), n("over_soft").alias("over_soft"), n("over_hard").alias("over_hard"), n("compressed").alias("compressed"), F.max(peak).alias("max_peak"), F.sum(peak).alias("__sum"))
+    whole = F.when(F.col("total_items") > 0, F.bround(F.col("__sum") / F.col("total_items")).cast("bigint"))
+    avoided = F.when(F.col("total_items") > 0, F.round(1 - F.col("over_hard") / F.col("total_items"), 4))
+    return sums.select(*keys, "total_items", "over_soft", "over_hard", "compressed", avoided.alias("overflow_avoidance"), F.coalesce("max_peak", F.lit(0)).alias("max_peak"), F.coalesce(whole, F.lit(0)).alias("avg_peak"))

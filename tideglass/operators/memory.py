@@ -201,3 +201,20 @@ def rem_phase(memories: DataFrame, now: Column, most_days: int, tags: Column, no
     due = due & (F.col("created_at").isNull() | (F.col("created_at") >= now - F.make_dt_interval(F.lit(most_days))))
     hit = due & ~F.coalesce(noise, F.lit(False))
     return memories.withColumns({"concept_tags": F.when(due, tags).otherwise(F.col("concept_tags")), "rem_hits": F.col("rem_hits") + hit.cast("int"), "last_rem_at": F.when(hit, now).otherwise(F.col("last_rem_at"))})
+
+
+def compacted(items: DataFrame, keys: Sequence[str], position: str, target: int, keep_recent: int = 2) -> DataFrame:
+    """items with stage and compacted: which are replaced by their short form until a context fits the target.
+
+    items: keys, position, is_action, compactable (boolean), tokens, compact_tokens. Old actions go first (all but the last
+    keep_recent), then other compactable items, then recent actions; in a stage the largest saving first, ties by position.
+    Items without a stage are never replaced. The total counts all items of a context, replaced ones by their short form.
+    """
+    from_last = F.row_number().over(Window.partitionBy(*keys, "is_action").orderBy(F.desc(position)))
+    stage = F.when(F.col("is_action"), F.when(from_last > keep_recent, 0).otherwise(2)).when(F.col("compactable"), 1)
+    staged = items.withColumn("stage", stage).withColumn("__change", F.when(F.col("stage").isNotNull(), F.col("tokens") - F.col("compact_tokens")).otherwise(0))
+    order = Window.partitionBy(*keys).orderBy(F.col("stage").asc_nulls_last(), F.desc(F.greatest("__change", F.lit(0))), position)
+    before = F.coalesce(F.sum("__change").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("tokens").over(Window.partitionBy(*keys))
+    least = F.min("__left").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return staged.withColumn("__left", total - before).withColumn("compacted", F.col("stage").isNotNull() & (least > target)).drop("__change", "__left")
