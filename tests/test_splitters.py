@@ -104,3 +104,19 @@ def test_memory_pipeline(spark):
             chosen.append(best)
             left.remove(best)
     assert got == want and not any(math.isnan(v) for _, v in got.values())
+
+
+def test_json_chunks_fall_back_to_plain_text():
+    """Commas of depth one first; from where there is none, and for what is no JSON, as plain text."""
+    from tideglass.operators import chunking
+
+    assert chunking.json_chunks('{"k": {"a": 1, "b": 22, "c": 333}}', 20) == ['k: {"a":1,"b":22,', '"c":333}']
+    assert chunking.json_chunks('["one two three four"]', 10) == ['"one two ', 'three ', 'four"']
+    assert chunking.json_chunks("no json, but words here", 9) == S.plain_chunks("no json, but words here", 9) == ["no json, ", "but ", "words ", "here"]
+    assert chunking.json_chunks('[1, "a, b", {"c": [1, 2]}, null]') == ["1", '"a, b"', '{"c":[1,2]}', "null"] and chunking.json_chunks("17") == ["17"]
+    text = '{"k": ' + "[1," * 50 + "2" + "]" * 50 + "}"
+    assert "".join(chunking.json_chunks(text, 30)) == "k: " + "[1," * 50 + "2" + "]" * 50
+
+
+def test_xml_that_is_none():
+    assert S.xml_parts("<r><a></r>", 5) == ["<r><a></r>"] and S.xml_parts(" ", 5) == [] and S.xml_parts("", 5) == []

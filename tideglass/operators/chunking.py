@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideglass.operators.splitters import SPACES, plain_chunks
+
 
 def paragraph_chunks(text: Column, size: int = 600) -> Column:
     """Paragraphs (between blank lines) packed to chunks of at most `size` characters, two counted for each join; longer ones are cut hard.
@@ -53,35 +55,38 @@ def near_equal_parts(n: Column, parts: int) -> Column:
 
 
 def _cut_json(text: str, most: int) -> list[str]:
-    """text cut after the last top-level comma (depth one, outside strings) that leaves at most `most` characters."""
-    parts = []
-    while len(text) > most:
+    """text cut after the last comma of depth one, outside strings, that leaves at most `most` characters; from where there is none, as plain text.
+
+    Depth counts from the place of the last cut, so that what follows the first cut of a flat object is plain.
+    """
+    parts, start = [], 0
+    while len(text) - start > most:
         depth, quoted, escaped, cut = 0, False, False, 0
-        for i, c in enumerate(text[:most]):
-            if escaped:
-                escaped = False
-            elif c == "\\":
-                escaped = quoted
+        for i in range(start, start + most):
+            c = text[i]
+            if escaped or c == "\\":
+                escaped = not escaped
             elif c == '"':
                 quoted = not quoted
             elif not quoted:
                 depth += (c in "{[") - (c in "}]")
-                if c == "," and depth <= 1:
+                if c == "," and depth == 1:
                     cut = i + 1
-        cut = cut or most
-        parts.append(text[:cut])
-        text = text[cut:].lstrip()
-    return [*parts, text] if text else parts
+        if not cut:
+            return parts + plain_chunks(text[start:], most)
+        parts.append(text[start:cut])
+        start = SPACES.match(text, cut).end()
+    return [*parts, text[start:]] if start < len(text) else parts
 
 
 def json_chunks(text: str, most: int = 1024) -> list[str]:
-    """`key: value` of each key of an object, the items of an array, else the text itself; each cut to at most `most` characters."""
+    """`key: value` of each key of an object, the items of an array, or a plain value, without spaces between tokens, each cut to at most `most` characters; what is no JSON as plain text."""
     try:
         value = json.loads(text)
-    except ValueError:
-        return _cut_json(text, most)
-    dump = lambda v: json.dumps(v, ensure_ascii=False)
-    rows = [f"{k}: {dump(v)}" for k, v in value.items()] if isinstance(value, dict) else [dump(v) for v in value] if isinstance(value, list) else [text]
+    except (ValueError, RecursionError):
+        return plain_chunks(text, most)
+    dump = lambda v: json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+    rows = [f"{k}: {dump(v)}" for k, v in value.items()] if isinstance(value, dict) else map(dump, value) if isinstance(value, list) else [dump(value)]
     return [p for r in rows for p in _cut_json(r, most)]
 
 

@@ -73,10 +73,12 @@ def next_fire(schedules: DataFrame) -> DataFrame:
     steps = F.floor(seconds / F.col("interval_seconds")) + 1
     by_interval = F.when(F.col("after") <= F.col("start_at"), F.col("start_at")).otherwise(F.col("start_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (steps * F.col("interval_seconds")).cast("decimal(18,6)")))
     by_cron = F.to_utc_timestamp(cron("rule", base.cast("timestamp_ntz"), F.col("after") <= F.col("start_at")), zone).cast("timestamp_ntz")
-    found = F.when((F.col("mode") == "once") & (F.col("fire_count") == 0), F.greatest("start_at", "after")).when(F.col("mode") == "interval", by_interval).when(F.col("mode") == "cron", by_cron)
+    plain = F.when((F.col("mode") == "once") & (F.col("fire_count") == 0), F.greatest("start_at", "after")).when(F.col("mode") == "interval", by_interval)
+    # only cron rules go to Python
+    is_cron = F.coalesce(F.col("mode") == "cron", F.lit(False))
+    out = schedules.where(is_cron).withColumn("next_at", by_cron).unionByName(schedules.where(~is_cron).withColumn("next_at", plain))
     over = F.coalesce(F.col("fire_count") >= F.col("max_fire_count"), F.lit(False))
-    out = schedules.withColumn("next_at", F.when(~over, found))
-    return out.withColumn("next_at", F.when(F.col("end_at").isNull() | (F.col("next_at") <= F.col("end_at")), F.col("next_at")))
+    return out.withColumn("next_at", F.when(~over & (F.col("end_at").isNull() | (F.col("next_at") <= F.col("end_at"))), F.col("next_at")))
 
 
 def due_for_summary(last: Column, interval: Column, changed: Column, now: Column) -> Column:

@@ -17,6 +17,7 @@ SAFE_END = re.compile(r"(?s).*[ !#$%&)*+,\-./:;=>?@\\\]^_`|}~]")
 DEFAULT_SIZE = 5 * 1024 * 1024
 DEEPEST = 3
 LEAST_INNER = 500
+SPACES = re.compile(r"\s*")
 
 
 def part_size(n: Column, most: Column | None = None, parts: Column | None = None) -> Column:
@@ -29,15 +30,16 @@ def part_size(n: Column, most: Column | None = None, parts: Column | None = None
 
 def plain_chunks(text: str, most: int) -> list[str]:
     """text cut after the last space or closing punctuation within `most` characters, never behind a backslash that escapes; leading white space of what follows goes."""
-    out = []
-    while len(text) > most:
-        safe = SAFE_END.match(text, 0, most)
-        end = safe.end() if safe else most
-        slashes = end - len(text[:end].rstrip("\\"))
-        end = max(1, end - slashes % 2)
-        out.append(text[:end])
-        text = text[end:].lstrip()
-    return [*out, text] if text else out
+    out, start = [], 0
+    while len(text) - start > most:
+        safe = SAFE_END.match(text, start, start + most)
+        end = slash = safe.end() if safe else start + most
+        while slash > start and text[slash - 1] == "\\":
+            slash -= 1
+        end = max(start + 1, end - (end - slash) % 2)
+        out.append(text[start:end])
+        start = SPACES.match(text, end).end()
+    return [*out, text[start:]] if start < len(text) else out
 
 
 def json_array_packs(text: str, most: int) -> list[str]:
@@ -72,8 +74,11 @@ def markdown_parts(text: str, most: int, level: int = 1, above: str = "") -> lis
 
 
 def xml_parts(text: str, most: int) -> list[str]:
-    """The children of the root in documents of at most `most` bytes under the same root, halved or finer until they fit; a larger child stands alone."""
-    root = ElementTree.fromstring(text)
+    """The children of the root in documents of at most `most` bytes under the same root, halved or finer until they fit; a larger child stands alone. A text that is no XML stays as it is, in one part."""
+    try:
+        root = ElementTree.fromstring(text)
+    except ElementTree.ParseError:
+        return [text] if text.strip() else []
     out, waiting = [], [list(root)]
     while waiting:
         children = waiting.pop()

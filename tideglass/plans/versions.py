@@ -100,9 +100,9 @@ def mark_for_rerun(spark, sf_dir):
     return V.mark(cards, table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "rerun")
 
 
-@query("""WITH f AS (SELECT conv_id, min_by(turn, turn) FILTER (role = 'user') AS a, min_by(turn, turn) FILTER (role = 'assistant') AS b FROM conversations GROUP BY 1) SELECT conv_id, CASE WHEN b IS NOT NULL THEN a END AS first_user, CASE WHEN a IS NOT NULL THEN b END AS first_answer FROM f""")
+@query("""WITH f AS (SELECT conv_id, min_by(text, turn) FILTER (role = 'user') AS a, min_by(text, turn) FILTER (role = 'assistant') AS b FROM conversations GROUP BY 1) SELECT conv_id, CASE WHEN b IS NOT NULL THEN a END AS first_user, CASE WHEN a IS NOT NULL THEN b END AS first_answer FROM f""")
 def first_pairs(spark, sf_dir):
-    units = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("kind"), F.col("turn").alias("content"))
+    units = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("kind"), F.col("text").alias("content"))
     return V.first_pairs(units, ["conv_id"], "turn", "user", "assistant").select("conv_id", F.col("pair.user").alias("first_user"), F.col("pair.assistant").alias("first_answer"))
 
 
@@ -196,6 +196,22 @@ def next_interval(spark, sf_dir):
     return S.next_fire(o).select("o_orderkey", "next_at")
 
 
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderdate AS s, greatest(o_orderdate, TIMESTAMP '1996-06-15 06:30:00') AS b, TIMESTAMP '1996-06-15 06:30:00' <= o_orderdate AS same FROM orders),
+  n AS (SELECT k, CASE k % 4 WHEN 0 THEN CASE WHEN k % 8 = 0 THEN b END WHEN 1 THEN CASE WHEN same THEN s ELSE s + INTERVAL 1 HOUR * ((date_diff('second', s, b) // 18000 + 1) * 5) END
+    WHEN 2 THEN date_trunc('day', b) + INTERVAL 390 MINUTE + CASE WHEN date_trunc('day', b) + INTERVAL 390 MINUTE < b OR (date_trunc('day', b) + INTERVAL 390 MINUTE = b AND NOT same) THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END
+    ELSE CASE WHEN date_trunc('month', b) = b AND same THEN b ELSE date_trunc('month', b) + INTERVAL 1 MONTH END END AS fire FROM o)
+  SELECT k AS o_orderkey, CASE WHEN fire <= TIMESTAMP '1998-06-30' THEN fire END AS next_at FROM n""")
+def next_by_mode(spark, sf_dir):
+    """Orders as one-off, interval, daily and monthly schedules from their dates on, some fired already, all of them over in mid 1998."""
+    k, none = F.col("o_orderkey"), F.lit(None)
+    ntz = lambda c: c.cast("timestamp_ntz")
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(k % 4 == 0, "once").when(k % 4 == 1, "interval").otherwise("cron").alias("mode"), F.when(k % 4 == 2, "30 6 * * *").when(k % 4 == 3, "0 0 1 * *").alias("rule"), F.lit(18_000).alias("interval_seconds"),
+        ntz(F.col("o_orderdate")).alias("start_at"), ntz(F.lit("1998-06-30")).alias("end_at"), ntz(F.lit("1996-06-15 06:30:00")).alias("after"), (k % 8 == 4).cast("int").alias("fire_count"), none.cast("int").alias("max_fire_count"), none.cast("string").alias("zone"),
+    )
+    return S.next_fire(o).select("o_orderkey", "next_at")
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderdate <= TIMESTAMP '1997-01-01' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def due_schedules(spark, sf_dir):
     due = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("schedule_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("next_at"))

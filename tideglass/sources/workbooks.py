@@ -1,7 +1,8 @@
 """Workbooks (.xlsx): their rows, chunks, evaluation cases, parts, and a writer.
 
 A workbook is a zip of XML files. Spark reads the files as bytes; a task streams the rows of their sheets, of which it holds
-one batch and the file's table of shared strings. All that follows (titles, remarks, tables, cases, parts) is DataFrame work.
+one batch and the file's table of shared strings. All that follows (titles, remarks, tables, cases, parts) is DataFrame work
+over rows written once to the shared folder, so that no file is parsed twice.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tideglass.operators.rounds import settled
+
 ROWS = "path string, sheet_no int, sheet string, row int, cells array<string>, error string"
 #: Rows of a batch that a task gives back at a time.
 _BATCH = 2_000
@@ -223,7 +226,7 @@ def chunks(rows: DataFrame) -> DataFrame:
     The title is the first row with most cells filled; what stands above it is a last column of its own. Of columns with
     one name the last has the value. Line breaks in cells are <br>. Rows with an error are left out.
     """
-    rows = rows.where("error IS NULL").withColumn("n", F.size(_filled("cells")))
+    rows = settled(rows.where("error IS NULL").withColumn("n", F.size(_filled("cells"))))
     key = ["path", "sheet_no", "sheet"]
     order = F.struct("n", -F.col("row"))
     sheets = rows.groupBy(*key).agg(F.max(F.size("cells")).alias("width"), F.max("n").alias("most"), F.max_by("cells", order).alias("title"), F.max_by("row", order).alias("begin"))
@@ -257,9 +260,10 @@ def eval_cases(rows: DataFrame) -> DataFrame:
     workbook without a header, a query column or cases, or one that can't be read, is a row with that error alone. Read
     with formulas=False.
     """
+    rows = settled(rows.where("error IS NOT NULL OR sheet_no = 0"))
     known = F.create_map(*(F.lit(v) for field, names in HEADERS.items() for n in names for v in (n, field)))
     field = lambda c: F.get(F.array(F.try_element_at(known, _stripped(F.rtrim(F.lower(_stripped(c)), F.lit("*"))))), 0)
-    first = rows.where("error IS NULL AND sheet_no = 0").withColumn("fields", F.transform("cells", lambda c: field(c)))
+    first = rows.where("error IS NULL").withColumn("fields", F.transform("cells", lambda c: field(c)))
     header = first.where(F.size(_filled("fields")) > 0).groupBy("path").agg(F.min_by("fields", "row").alias("fields"), F.min("row").alias("begin"))
     cell = lambda name: F.nullif(_stripped(F.get("cells", F.nullif(F.array_position("fields", F.lit(name)), F.lit(0)).cast("int") - 1)), F.lit(""))
     cases = first.drop("fields").join(header, "path").where("row > begin").select("path", "row", *(cell(n).alias(n) for n in HEADERS))
@@ -283,7 +287,7 @@ def split_rows(rows: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
     """
     key = ["path", "sheet_no", "sheet"]
     groups = sizes.select("path", F.ceil(F.col("size") / most).cast("int").alias("groups"))
-    rows = rows.where("error IS NULL").join(groups, "path", "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
+    rows = settled(rows.where("error IS NULL")).join(groups, "path", "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
     whole = rows.where("groups <= 1").withColumn("part", F.lit(0))
     cut = rows.where("groups > 1")
     slices = cut.where("row > 1").groupBy(*key, "groups").agg((F.max("row") - 1).alias("n")).withColumn("slice", F.ceil(F.col("n") / F.col("groups")).cast("int"))
