@@ -44,15 +44,25 @@ def exact_match(prediction: Column, gold: Column) -> Column:
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Size of the common multiset of two token arrays."""
-    count = lambda array, x: F.size(F.filter(array, lambda y: y == x))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, x: acc + F.least(count(a, x), count(b, x)))
+    """Size of the common multiset of two token arrays: both are sorted as one, and each run of a token counts its lesser side. Nulls are common to none."""
+    tagged = F.sort_array(F.concat(F.transform(a, lambda w: F.struct(w.alias("w"), F.lit(0).alias("of"))), F.transform(b, lambda w: F.struct(w.alias("w"), F.lit(1).alias("of")))))
+    run = lambda w, n_a, n_b, common: F.struct(w.alias("w"), n_a.alias("n_a"), n_b.alias("n_b"), common.alias("common"))
+
+    def step(acc: Column, x: Column) -> Column:
+        same = F.coalesce(acc["w"] == x["w"], F.lit(False))
+        n_a, n_b = F.when(same, acc["n_a"]).otherwise(0), F.when(same, acc["n_b"]).otherwise(0)
+        ended = F.when(same, 0).otherwise(F.least(acc["n_a"], acc["n_b"]))
+        return run(x["w"], n_a + 1 - x["of"], n_b + x["of"], acc["common"] + ended)
+
+    start = run(F.lit(None).cast("string"), F.lit(0), F.lit(0), F.lit(0))
+    return F.aggregate(tagged, start, step, lambda acc: acc["common"] + F.least(acc["n_a"], acc["n_b"]))
 
 
 def f1(a: Column, b: Column) -> Column:
     """Token F1 of two token arrays; 1 if both are empty."""
     common = overlap(a, b).cast("double")
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when(common == 0, 0.0).otherwise(2.0 * common / (F.size(a) + F.size(b)))
+    size = F.size(a) + F.size(b)
+    return F.when(size == 0, 1.0).otherwise(2.0 * common / size)
 
 
 def keyword_coverage(text: Column, keywords: Column) -> Column:
