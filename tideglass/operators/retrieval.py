@@ -53,6 +53,7 @@ def quota(ranked: DataFrame, keys: Sequence[str], group: str, order: Sequence, p
 
 
 def _best(batches: Iterator[pa.RecordBatch], queries, k: int) -> Iterator[pa.RecordBatch]:
+    """Candidates of a batch for each query of a block. Vectors that are null or of another length than the queries' have no cosine with them and are no candidates."""
     ids, matrix = queries.value
     for batch in batches:
         vectors = [v for v in batch.column(1).to_pylist()]
