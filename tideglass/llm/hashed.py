@@ -27,7 +27,7 @@ def stem_feature(word: bytes) -> int:
 
 
 def shape(word: bytes) -> bytes:
-    """Capitals, letters and digits as A, a and 0, other characters as they are, runs once."""
+    """Capitals, letters and digits as A, a and 0, other characters as they are, runs once; of that, eight bytes at most make the feature (the word's own feature has all of it)."""
     return _RUNS.sub(rb"\1", word.translate(_SHAPE))[:8]
 
 
