@@ -29,7 +29,7 @@ from tideglass.llm._common import staged
 RULES = [
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
-    ("block", "net", "/de/"),
+    ("allow", "net", "/de/"),
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
