@@ -16,3 +16,17 @@ def test_all_terms_counts_no_pairs(spark):
     assert not re.search(r"Aggregate \[query_id#\d+L?, doc_id", optimized(found))
     rows = sorted(map(tuple, found.collect()))
     assert rows == sorted([(q, d) for q in range(10) for d in range(40) if d % 3 == 1] + [(22, d) for d in range(40)])
+
+
+def test_entity_lookup_seeks_each_text_once(spark, monkeypatch):
+    from tideglass.operators import matching as M
+
+    sought, plain = [], M.contains_pairs
+    monkeypatch.setattr(M, "contains_pairs", lambda texts, needles: sought.append(needles.count()) or plain(texts, needles))
+    entities = spark.createDataFrame([(k, f"Red Bolt {k}", ["red"]) for k in range(30)], "id int, name string, aliases array<string>")
+    queries = spark.createDataFrame([(q, "bolt ") for q in range(20)] + [(50, "red"), (51, " ")], "query_id int, query string")
+    ranked = spark.createDataFrame([(q, i, n) for q in range(20) for n, i in enumerate((2, 0, q))], "query_id int, id int, rank int")
+    rows = X.entity_lookup(entities, queries, ranked, 5).collect()
+    assert sought == [2, 2]
+    of = {q: [r["id"] for r in sorted(rows, key=lambda r: r["place"]) if r["query_id"] == q] for q in (0, 7, 50)}
+    assert of == {0: [2, 0, 1, 3, 4], 7: [2, 0, 7, 1, 3], 50: [0, 1, 2, 3, 4]} and len(rows) == 105
