@@ -30,3 +30,13 @@ def test_entity_lookup_seeks_each_text_once(spark, monkeypatch):
     assert sought == [2, 2]
     of = {q: [r["id"] for r in sorted(rows, key=lambda r: r["place"]) if r["query_id"] == q] for q in (0, 7, 50)}
     assert of == {0: [2, 0, 1, 3, 4], 7: [2, 0, 7, 1, 3], 50: [0, 1, 2, 3, 4]} and len(rows) == 105
+
+
+def test_weighted_cosine_compares_sets(spark):
+    from tideglass.operators import knowledge as K
+
+    right = spark.createDataFrame([(k, t) for k in range(30) for t in ("a", f"x{k % 2}", "a")] + [(77, None), (78, "alone")], "id int, token string")
+    found = K.weighted_cosine(right.where("id < 4"), right, K.idf(right, "id"))
+    assert not re.search(r"Aggregate \[left_id", optimized(found))
+    rows = {(r["left_id"], r["right_id"]): r["similarity"] for r in found.collect()}
+    assert len(rows) == 120 and abs(rows[0, 28] - 1) < 1e-9 and 0 < rows[0, 1] == rows[2, 29] < 1
