@@ -40,3 +40,15 @@ def test_weighted_cosine_compares_sets(spark):
     assert not re.search(r"Aggregate \[left_id", optimized(found))
     rows = {(r["left_id"], r["right_id"]): r["similarity"] for r in found.collect()}
     assert len(rows) == 120 and abs(rows[0, 28] - 1) < 1e-9 and 0 < rows[0, 1] == rows[2, 29] < 1
+
+
+def test_near_copies_by_tiles(spark, monkeypatch):
+    from tideglass.operators import clustering as C
+
+    monkeypatch.setattr(C, "TILE", 7)
+    monkeypatch.setattr(C, "STRIP", 3)
+    vectors = [(k, "b" if k % 3 else "c", [float(k % 5), 1.0, 0.5] if k != 11 else [1.0]) for k in range(40)] + [(90, "b", None), (91, "b", [None, 1.0, 0.5]), (92, None, [0.0, 1.0, 0.5])]
+    found = C.duplicate_pairs(spark.createDataFrame(vectors, "id bigint, block string, vector array<double>"))
+    want = {(a, b) for a in range(40) for b in range(a) if 11 not in (a, b) and a % 5 == b % 5 and (a % 3 > 0) == (b % 3 > 0)}
+    rows = [(r["b"], r["a"]) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want and "Join" not in optimized(found).split("FlatMapGroups")[0]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -12,6 +14,9 @@ from pyspark.sql import functions as F
 
 from tideglass.operators.graph import components
 
+#: Vectors of a block that are compared with as many others in one group, and so many of them at a time.
+TILE, STRIP = 4096, 512
+
 
 def weighted_mean(chunks: DataFrame, key: str, vector: str, weight: str) -> DataFrame:
     """(key, vector): the mean of each key's vectors, weighted."""
@@ -41,15 +46,39 @@ def choose_k(vectors: DataFrame) -> int:
 
 
 def duplicate_pairs(vectors: DataFrame, least_cosine: float = 0.98, most_apart: float = 0.01) -> DataFrame:
-    """(a, b), a < b, of one block that are near copies: cosine at least 0.98 and a distance of 1 % of the mean norm at most. vectors: id, block, vector."""
-    rows = vectors.withColumn("v", F.transform("vector", lambda x: x.cast("double"))).drop("vector")
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, p: acc + p)
-    rows = rows.withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v"))))
-    a, b = (rows.select("block", F.col("id").alias(n), F.col("v").alias(f"{n}_v"), F.col("norm").alias(f"{n}_norm")) for n in ("a", "b"))
-    both = a.join(b, "block").where("a < b")
-    product, norms = dot(F.col("a_v"), F.col("b_v")), F.col("a_norm") * F.col("b_norm")
-    apart = F.sqrt(F.greatest(F.lit(0.0), F.col("a_norm") ** 2 + F.col("b_norm") ** 2 - 2 * product))
-    return both.where((norms > 0) & (product / norms >= least_cosine) & (apart <= most_apart * (F.col("a_norm") + F.col("b_norm")) / 2)).select("a", "b")
+    """(a, b), a < b, of one block that are near copies: cosine at least 0.98 and a distance of 1 % of the mean norm at most. vectors: id, block, vector.
+
+    A block's vectors are dealt out in tiles; each pair of tiles is one group, a product of two matrices in strips of STRIP rows. Work grows with
+    the square of a block, memory does not. Vectors of other lengths, or with a null, are near to none.
+    """
+    fit = F.col("block").isNotNull() & F.col("id").isNotNull() & (F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull())
+    rows = vectors.where(fit).select("block", F.size("vector").alias("width"), "id", F.transform("vector", lambda x: x.cast("double")).alias("v"))
+    tiles = rows.groupBy("block", "width").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    rows = rows.join(tiles, ["block", "width"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least("tile", k).alias("x"), F.greatest("tile", k).alias("y")))
+    dealt = rows.select("block", "width", "tile", "id", "v", F.explode(pairs).alias("p")).select("block", "width", "p.x", "p.y", "tile", "id", "v")
+
+    def near(tile: pa.Table) -> pa.Table:
+        at = tile["tile"].to_numpy()
+        v = tile["v"].combine_chunks().flatten().to_numpy().reshape(len(at), -1)
+        norm = np.sqrt((v * v).sum(axis=1))
+        x, y = tile["x"][0].as_py(), tile["y"][0].as_py()
+        left, right, same, found = np.flatnonzero(at == x), np.flatnonzero(at == y), x == y, []
+        for start in range(0, len(left), STRIP):
+            a = left[start : start + STRIP]
+            product, norms = v[a] @ v[right].T, norm[a][:, None] * norm[right]
+            apart = np.sqrt(np.maximum(0, norm[a][:, None] ** 2 + norm[right] ** 2 - 2 * product))
+            yes = (norms > 0) & (product / np.where(norms > 0, norms, 1) >= least_cosine) & (apart <= most_apart * (norm[a][:, None] + norm[right]) / 2)
+            if same:
+                yes &= a[:, None] < right
+            i, j = np.nonzero(yes)
+            found.append(np.stack([a[i], right[j]]))
+        i, j = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        return pa.table({"a": tile["id"].take(pa.array(i)), "b": tile["id"].take(pa.array(j))})
+
+    kind = dict(vectors.dtypes)["id"]
+    both = dealt.groupBy("block", "width", "x", "y").applyInArrow(near, f"a {kind}, b {kind}").where("a <> b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def merge_duplicates(clusters: DataFrame, pairs: DataFrame) -> DataFrame:
