@@ -52,3 +52,18 @@ def test_near_copies_by_tiles(spark, monkeypatch):
     want = {(a, b) for a in range(40) for b in range(a) if 11 not in (a, b) and a % 5 == b % 5 and (a % 3 > 0) == (b % 3 > 0)}
     rows = [(r["b"], r["a"]) for r in found.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want and "Join" not in optimized(found).split("FlatMapGroups")[0]
+
+
+def test_layers_by_tiles(spark, monkeypatch, tmp_path, sf_dir):
+    from tideglass.operators import layers as L
+    from tideglass.plans import channels
+
+    every = lambda: sorted(map(tuple, channels.layered_search(spark, sf_dir).collect()), key=str)
+    found, searched = every(), []
+    monkeypatch.setattr(L, "TILE", 9)
+    monkeypatch.setattr(L, "STRIP", 2)
+    assert every() == found
+    rows = spark.createDataFrame([(1, 2)], "request_id int, memory_id int")
+    monkeypatch.setattr(L, "settled", lambda df: searched.append(1) or df)
+    L.append_hits(rows, f"{tmp_path}/log", 1)
+    assert searched == [1] and "Join" not in optimized(L._scored(spark.createDataFrame([(1, "t", "u", None, [1.0], 1, 0.5)], "request_id int, tenant_id string, user_id string, asked_agent string, asked array<double>, k int, least double"), channels.memories(spark, sf_dir))).split("CoGroup")[0]

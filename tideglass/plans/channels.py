@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tideglass.functions import canonical as C
 from tideglass.operators import layers as L
-from tideglass.operators.rounds import shared_folder
+from tideglass.operators.rounds import settled, shared_folder
 from tideglass.plans._base import query, table
 from tideglass.streaming import channels as S
 
@@ -94,7 +94,7 @@ def hit_log(spark, sf_dir):
     """The log after the same batch was delivered twice."""
     asked = requests(spark, sf_dir)
     log = f"{shared_folder(spark)}/hits-{uuid.uuid4().hex}"
-    rows = L.hits(L.layered_search(asked, long_term(spark, sf_dir), memories(spark, sf_dir)), asked, F.lit("2024-05-01 10:00:00").cast("timestamp"))
+    rows = settled(L.hits(L.layered_search(asked, long_term(spark, sf_dir), memories(spark, sf_dir)), asked, F.lit("2024-05-01 10:00:00").cast("timestamp")))
     for _ in range(2):
         L.append_hits(rows, log, 7)
     return spark.read.parquet(log).select("request_id", "memory_id", "query_hash", F.round("retrieval_score", 6).alias("retrieval_score"), "day")
