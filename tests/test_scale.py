@@ -67,3 +67,10 @@ def test_layers_by_tiles(spark, monkeypatch, tmp_path, sf_dir):
     monkeypatch.setattr(L, "settled", lambda df: searched.append(1) or df)
     L.append_hits(rows, f"{tmp_path}/log", 1)
     assert searched == [1] and "Join" not in optimized(L._scored(spark.createDataFrame([(1, "t", "u", None, [1.0], 1, 0.5)], "request_id int, tenant_id string, user_id string, asked_agent string, asked array<double>, k int, least double"), channels.memories(spark, sf_dir))).split("CoGroup")[0]
+
+
+def test_sizes_of_large_events(spark, tmp_path):
+    from tideglass.plans import text
+
+    spark.createDataFrame([(6_000_000,), (10,), (3,)], "event_id bigint").write.parquet(f"{tmp_path}/events.parquet")
+    assert {r["event_id"]: r["size"] for r in text.readable_size(spark, str(tmp_path)).collect()} == {6_000_000: "201165676116.9 GB", 10: "1000 B", 3: "27 B"}

@@ -114,7 +114,8 @@ def cut_sentence(spark, sf_dir):
 @query("""WITH n AS (SELECT event_id, event_id * event_id * event_id AS n FROM events)
   SELECT event_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f', n / 1024.0::DOUBLE) || ' KB' WHEN n < 1073741824 THEN printf('%.1f', n / 1048576.0::DOUBLE) || ' MB' ELSE printf('%.1f', n / 1073741824.0::DOUBLE) || ' GB' END AS size FROM n""")
 def readable_size(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", T.readable_size(F.col("event_id") * F.col("event_id") * F.col("event_id")).alias("size"))
+    n = F.col("event_id").cast("decimal(12,0)")  # a bigint overflows from event 2,097,152 on
+    return table(spark, sf_dir, "events").select("event_id", T.readable_size(n * n * n).alias("size"))
 
 
 @query("""WITH s AS (SELECT event_id, ['PENDING', 'STARTED', 'SUCCESS', 'FAILURE', NULL][event_id % 5 + 1] AS p, ['PENDING', 'STARTED', 'SUCCESS', 'FAILURE', NULL][(event_id // 5) % 5 + 1] AS f FROM events)
