@@ -45,11 +45,11 @@ def workbook_chunks(spark, sf_dir):
   p AS (SELECT path, CASE WHEN groups = 1 THEN 0 ELSE (row - 2) // slice END AS part, CASE WHEN groups = 1 THEN row ELSE (row - 2) % slice + 2 END AS row, line FROM d)
   SELECT path || '/' || part AS path, row, line FROM p UNION ALL SELECT DISTINCT p.path || '/' || part, 1, concat('Suppliers of', chr(10), 'nation ', split_part(p.path, '-', 1)) FROM p""")
 def workbook_parts(spark, sf_dir):
-    """Books cut by their numbers of suppliers, three a part, written as workbooks again and read back; the first sheet."""
+    """Books cut by their numbers of suppliers, three a part, written as workbooks again and read back; the sheet of suppliers, which a part may lack."""
     rows = W.rows_of(supplier_books(spark, sf_dir))
     sizes = rows.where("sheet_no = 0 AND row > 2").groupBy("path").agg(F.count("*").alias("size"))
     parts = W.to_workbooks(W.split_rows(rows, sizes, 3), "path", "part").select(F.concat_ws("/", "path", "part").alias("path"), "content")
-    return W.rows_of(parts).where("sheet_no = 0").select("path", "row", F.array_join("cells", "|").alias("line"))
+    return W.rows_of(parts).where("sheet = 'suppliers'").select("path", "row", F.array_join("cells", "|").alias("line"))
 
 
 @query(f"""SELECT 'book' || (item_id // {BOOK}) AS path, row_number() OVER (PARTITION BY item_id // {BOOK} ORDER BY item_id) - 1 AS order_no, 's' || (item_id // 2) AS session_id, CAST(item_id % 2 + 1 AS VARCHAR) AS turn_order,
