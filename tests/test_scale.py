@@ -94,3 +94,13 @@ def test_parts_without_suppliers(spark, tmp_path):
     spark.createDataFrame([(k, f"s{k}", 0, 1.0) for k in range(9) if k != 4] + [(53, "s53", 0, 1.0), (106, "s106", 0, 1.0), (159, "s159", 0, 1.0)], "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
     rows = workbooks.workbook_parts(spark, str(tmp_path)).where("row > 1").collect()
     assert len(rows) == 12 and all(r["line"].count("|") == 2 for r in rows)
+
+
+def test_assignment_within_values_seeks_no_components(spark, monkeypatch):
+    from tideglass.operators import matching as M
+
+    edges = spark.createDataFrame([(k, f"{k}o{o}", f"{k}i{i}", float((o * 7 + i * 3 + k) % 5)) for k in range(8) for o in range(3) for i in range(3)], "k int, owner string, item string, score double")
+    whole = M.assign(edges.drop("k")).groupBy().sum("score").first()[0]
+    assert M.assign(edges, most=5, within="k").count() >= 16  # each value is larger than `most`
+    monkeypatch.setattr(M, "components", None)
+    assert M.assign(edges, within="k").groupBy().sum("score").first()[0] == whole

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial, reduce
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -155,10 +158,24 @@ def _best_assignment(edges: Sequence[tuple], capacity: int) -> list[tuple]:
         load[owner] += 1  # the path began at this owner's free slot
 
 
-def _assign_group(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    rows = rows.sort_values(["owner", "item"])
-    pairs = _best_assignment(list(zip(rows["owner"], rows["item"], rows["score"])), capacity)
-    return pd.DataFrame(pairs, columns=["owner", "item"]).astype({"owner": rows["owner"].dtype, "item": rows["item"].dtype})
+def _assign_runs(frames: Iterator[pd.DataFrame], capacity: int) -> Iterator[pd.DataFrame]:
+    """Components, each in rows that follow one another, solved one by one; a batch may end within one."""
+
+    def solved(rows: list[tuple]) -> Iterator[tuple]:
+        for _, run in groupby(rows, itemgetter(0)):
+            edges = sorted(r[1:] for r in run)
+            score = {e[:2]: e[2] for e in edges}
+            yield from ((o, i, score[o, i]) for o, i in _best_assignment(edges, capacity))
+
+    held, kinds = [], None
+    for frame in frames:
+        kinds = frame[["owner", "item", "score"]].dtypes
+        held += zip(frame["component"], frame["owner"], frame["item"], frame["score"])
+        last = next((k for k in range(len(held) - 1, 0, -1) if held[k - 1][0] != held[-1][0]), 0)
+        yield pd.DataFrame(solved(held[:last]), columns=kinds.index).astype(kinds)
+        held = held[last:]
+    if held:
+        yield pd.DataFrame(solved(held), columns=kinds.index).astype(kinds)
 
 
 def auction(edges: DataFrame, capacity: int, epsilon: float) -> DataFrame:
@@ -194,21 +211,31 @@ def auction(edges: DataFrame, capacity: int, epsilon: float) -> DataFrame:
         held = settled(held.join(won.select("item"), "item", "left_anti").unionByName(won))
 
 
-def assign(edges: DataFrame, capacity: int = 1, epsilon: float = 1e-4, most: int = 2000) -> DataFrame:
+def assign(edges: DataFrame, capacity: int = 1, epsilon: float = 1e-4, most: int = 2000, within: str | None = None) -> DataFrame:
     """(owner, item, score): at most capacity items for each owner, one owner for each item, of the largest total score. Scores that are not positive don't count.
 
-    edges: owner, item, score. Connected components of up to `most` edges are solved exactly, one in a task's memory at a time;
-    larger ones go to the distributed auction, whose total is within epsilon a slot of the largest.
+    edges: owner, item, score. Connected components of up to `most` edges are solved exactly, in a task's memory one at a time;
+    larger ones go to the distributed auction, whose total is within epsilon a slot of the largest. within: a column whose
+    values share no owner and no item; components are sought only in values of more than `most` edges.
     """
-    edges = edges.where("score > 0").groupBy("owner", "item").agg(F.max("score").cast("double").alias("score")).checkpoint()
-    node = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
-    component = components(edges.select(node("o", "owner").alias("src"), node("i", "item").alias("dst")))
-    labelled = edges.withColumn("node", node("o", "owner")).join(component, "node").drop("node").checkpoint()
-    sizes = labelled.groupBy("component").agg(F.count("*").alias("__n"))
-    large = labelled.join(sizes.where(F.col("__n") > most), "component", "left_semi")
+    keys = [within] if within else []
+    edges = edges.where("score > 0").groupBy("owner", "item", *keys).agg(F.max("score").cast("double").alias("score")).checkpoint()
     kinds = dict(edges.dtypes)
-    small = labelled.join(sizes.where(F.col("__n") > most), "component", "left_anti").groupBy("component").applyInPandas(lambda rows: _assign_group(rows, capacity), f"owner {kinds['owner']}, item {kinds['item']}")
-    pairs = small
+    solve = lambda rows: rows.select("component", "owner", "item", "score").repartition("component").sortWithinPartitions("component").mapInPandas(partial(_assign_runs, capacity=capacity), f"owner {kinds['owner']}, item {kinds['item']}, score double")
+    found, rest = [], edges
+    if within:
+        sizes = edges.groupBy(within).agg(F.count("*").alias("__n"))
+        wide = sizes.where(F.col("__n") > most).select(within)
+        found, rest = [solve(edges.join(wide, within, "left_anti").withColumn("component", F.col(within)))], edges.join(wide, within, "left_semi").drop(within)
+        if not rest.limit(1).count():
+            return found[0]
+        rest = rest.checkpoint()
+    node = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    component = components(rest.select(node("o", "owner").alias("src"), node("i", "item").alias("dst")))
+    labelled = rest.withColumn("node", node("o", "owner")).join(component, "node").drop("node").checkpoint()
+    wide = labelled.groupBy("component").agg(F.count("*").alias("__n")).where(F.col("__n") > most)
+    found.append(solve(labelled.join(wide, "component", "left_anti")))
+    large = labelled.join(wide, "component", "left_semi")
     if large.limit(1).count():
-        pairs = pairs.unionByName(auction(large.select("owner", "item", "score"), capacity, epsilon))
-    return pairs.join(edges, ["owner", "item"])
+        found.append(auction(large.select("owner", "item", "score"), capacity, epsilon).join(rest, ["owner", "item"]).select("owner", "item", "score"))
+    return reduce(DataFrame.unionByName, found)

@@ -50,9 +50,9 @@ def optimal_assignment(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_suppkey").alias("s"), F.col("l_quantity").alias("q"), F.col("l_discount").alias("d")).distinct()
     o, i = l.where("n <= 3"), l.where("n >= 3").select("k", F.col("s").alias("is"), F.col("d").alias("id"))
     score = F.round(F.col("q") * (1 + F.col("id")) / (1 + (F.col("s") + F.col("is")) % 7), 6)
-    edges = o.join(i, "k").select(F.struct("k", "n", "s", "q", "d").alias("o"), F.struct("k", "is").alias("i"), score.alias("score"))
+    edges = o.join(i, "k").select("k", F.struct("k", "n", "s", "q", "d").alias("o"), F.struct("k", "is").alias("i"), score.alias("score"))
     text = lambda c: F.to_json(c)  # noqa: E731  owners and items of an order as strings
-    found = M.assign(edges.select(text("o").alias("owner"), text("i").alias("item"), "score"))
+    found = M.assign(edges.select("k", text("o").alias("owner"), text("i").alias("item"), "score"), within="k")
     return found.groupBy(F.get_json_object("owner", "$.k").cast("bigint").alias("l_orderkey")).agg(F.round(F.sum("score"), 4).alias("total"))
 
 
