@@ -104,3 +104,17 @@ def test_assignment_within_values_seeks_no_components(spark, monkeypatch):
     assert M.assign(edges, most=5, within="k").count() >= 16  # each value is larger than `most`
     monkeypatch.setattr(M, "components", None)
     assert M.assign(edges, within="k").groupBy().sum("score").first()[0] == whole
+
+
+def test_cosine_compares_slices(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from tideglass.operators import retrieval as R
+
+    monkeypatch.setattr(R, "SLICE", 4)
+    queries = type("Q", (), {"value": (np.array([1]), np.array([[1.0, 0.0]]))})
+    vectors = [[float(k), 1.0] for k in range(10)] + [None, [1.0], [None, 1.0], [float("nan"), 1.0]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(14)), pa.array(vectors, pa.list_(pa.float32()))], ["id", "vector"])
+    out = list(R._best(iter([batch]), queries, 2))
+    assert [b.column(1).to_pylist() for b in out] == [[2, 3], [6, 7], [8, 9]]
