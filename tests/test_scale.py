@@ -118,3 +118,14 @@ def test_cosine_compares_slices(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(14)), pa.array(vectors, pa.list_(pa.float32()))], ["id", "vector"])
     out = list(R._best(iter([batch]), queries, 2))
     assert [b.column(1).to_pylist() for b in out] == [[2, 3], [6, 7], [8, 9]]
+
+
+def test_packed_sizes_are_those_of_packed_texts(spark):
+    from tideglass.operators import retrieval as R
+
+    rows = [(None if d % 5 == 0 else "ab"[d % 2], d, "t" * (d % 3), None if d % 7 == 0 else "x" * (d * 13 % 29)) for d in range(120)]
+    docs = spark.createDataFrame(rows, "lang string, doc_id int, title string, text string")
+    plain = R.pack_context(R.top_k(docs, ["lang"], ["doc_id"], 10**9), ["lang"], 300).select("lang", "rank", "used", "span_hash")
+    found = R.pack_sizes(docs, ["lang"], ["doc_id"], 300)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    assert not re.search(r"windowspecdefinition\(lang", optimized(found))

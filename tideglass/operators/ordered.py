@@ -30,3 +30,11 @@ def in_order(rows: DataFrame, order: Sequence, sums: Sequence[str] = (), place:
     for c in sums:
         out = out.withColumn(f"{c}_upto", F.col(f"__{c}") + F.sum(c).over(within))
     return out.select(*rows.columns, place, *(f"{c}_upto" for c in sums))
+
+
+def in_order_by(rows: DataFrame, keys: Sequence[str], order: Sequence, sums: Sequence[str] = (), place: str = "place") -> DataFrame:
+    """in_order with places and sums that begin anew in each key (a null is one); a key may hold most rows."""
+    out = in_order(rows, [*keys, *order], sums, place)
+    first = out.groupBy(*(F.col(k).alias(f"__of_{k}") for k in keys)).agg(F.min(place).alias("__first"), *(F.min_by(F.col(f"{c}_upto") - F.coalesce(c, F.lit(0)), place).alias(f"__from_{c}") for c in sums))
+    both = out.join(first, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys])
+    return both.select(*rows.columns, (F.col(place) - F.col("__first") + 1).alias(place), *((F.col(f"{c}_upto") - F.col(f"__from_{c}")).alias(f"{c}_upto") for c in sums))
