@@ -129,3 +129,12 @@ def test_packed_sizes_are_those_of_packed_texts(spark):
     found = R.pack_sizes(docs, ["lang"], ["doc_id"], 300)
     assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
     assert not re.search(r"windowspecdefinition\(lang", optimized(found))
+
+
+def test_pieces_go_on_before_the_batch_ends(spark, monkeypatch):
+    from tideglass.operators import chunking as C
+
+    monkeypatch.setattr(C, "PIECES", 10)
+    rows = spark.createDataFrame([(k, "ab cd ef") for k in range(20)] + [(50, None), (51, "")], "id int, text string").coalesce(1)
+    out = C.explode_with(rows, "text", lambda t: t.split(), "chunk string")
+    assert out.count() == 60 and [tuple(r) for r in out.where("id = 3").orderBy("chunk_idx").collect()] == [(3, 0, "ab"), (3, 1, "cd"), (3, 2, "ef")]

@@ -7,12 +7,17 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tideglass.operators.splitters import SPACES, plain_chunks
 
+#: Characters of pieces that explode_with holds before it hands them on.
+PIECES = 1_000_000
+
 
 def paragraph_chunks(text: Column, size: int = 600) -> Column:
     """Paragraphs (between blank lines) packed to chunks of at most `size` characters, two counted for each join; longer ones are cut hard.
@@ -125,17 +130,22 @@ def cut_sentence(text: Column, most: int) -> Column:
 
 
 def explode_with(rows: DataFrame, column: str, split, schema: str) -> DataFrame:
-    """Each row's text split by a Python function, in Arrow batches: (all other columns, chunk_idx, fields of schema)."""
+    """Each row's text split by a Python function, in Arrow batches: (all other columns, chunk_idx, fields of schema). Pieces go on by about PIECES characters, so that a worker's memory doesn't follow its batch."""
     others = [c for c in rows.columns if c != column]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                values = row._asdict()
-                for k, piece in enumerate(split(values[column] or "")):
-                    out.append((*(values[c] for c in others), k, *(piece if isinstance(piece, tuple) else (piece,))))
-            yield pd.DataFrame(out, columns=[*others, "chunk_idx", *(f.split()[0] for f in schema.split(", "))])
-
-    kinds = dict(rows.dtypes)
-    return rows.mapInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in others), "chunk_idx int", schema]))
+    made = StructType([*rows.select(*others).schema.fields, StructField("chunk_idx", IntegerType()), *StructType.fromDDL(schema).fields])
+    kinds = to_arrow_schema(made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, pieces, size = [], [], 0
+            for row, text in enumerate(batch.column(column)):
+                for k, piece in enumerate(split(text.as_py() or "")):
+                    at.append(row)
+                    pieces.append((k, *(piece if isinstance(piece, tuple) else (piece,))))
+                    size += sum(len(p) for p in pieces[-1] if isinstance(p, str))
+                if at and (size > PIECES or row == batch.num_rows - 1):
+                    whole = [batch.column(c).take(pa.array(at)) for c in others]
+                    yield pa.RecordBatch.from_arrays(whole + [pa.array(values, kinds.field(len(whole) + k).type) for k, values in enumerate(zip(*pieces))], schema=kinds)
+                    at, pieces, size = [], [], 0
+
+    return rows.mapInArrow(run, made)
