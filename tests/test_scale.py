@@ -138,3 +138,22 @@ def test_pieces_go_on_before_the_batch_ends(spark, monkeypatch):
     rows = spark.createDataFrame([(k, "ab cd ef") for k in range(20)] + [(50, None), (51, "")], "id int, text string").coalesce(1)
     out = C.explode_with(rows, "text", lambda t: t.split(), "chunk string")
     assert out.count() == 60 and [tuple(r) for r in out.where("id = 3").orderBy("chunk_idx").collect()] == [(3, 0, "ab"), (3, 1, "cd"), (3, 2, "ef")]
+
+
+def test_neighbors_without_distinct(spark, monkeypatch):
+    from tideglass.operators import graph as G
+
+    pairs = [(f"s{k}", f"n{k % 3}") for k in range(12)] + [(f"c{k}", f"n{k % 3}") for k in range(20)] + [("s0", "c1"), ("s1", "s4"), ("n0", "r"), ("n1", "r"), ("s5", "s5")]
+    edges = spark.createDataFrame([(a, b, f"{a}:{b}", "x") for a, b in pairs], "src string, dst string, id string, rel_type string")
+    want = set()
+    for seed in ("s0", "s1", "s5", "c2"):
+        level, seen = {seed}, {seed}
+        for hop in range(4):
+            want |= {(seed, n, hop) for n in level}
+            level = {y for a, b in pairs for x, y in ((a, b), (b, a)) if x in level} - seen
+            seen |= level
+    seeds = spark.createDataFrame([("s0",), ("s1",), ("s5",), ("c2",)], "node string")
+    for few in (100, 2, 0):
+        monkeypatch.setattr(G, "FEW", few)
+        rows = [tuple(r) for r in G.neighbors(edges, seeds, 3).select("seed", "node", "hop").collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tideglass.operators.relational import current_view
 
+#: Nodes found that a seed's row carries along.
+FEW = 100
+
 
 def upsert_entities(nodes: DataFrame, incoming: DataFrame) -> DataFrame:
     """nodes (id, props map, aliases array, valid_at) merged with incoming rows (the same and pos, their order).
@@ -79,12 +82,26 @@ def neighbors(edges: DataFrame, seeds: DataFrame, hops: int, at: Column | None =
     found = seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("hop", F.lit(0))
     frontier = found
     for k in range(1, hops + 1):
-        step = frontier.join(ways, "node").select("seed", F.col("other").alias("node")).distinct()
-        frontier = step.join(found.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hop", F.lit(k)).checkpoint()  # each hop is read by all later ones
+        frontier = _step(frontier, found, ways).withColumn("hop", F.lit(k))
+        if k < hops:
+            frontier = frontier.checkpoint()  # each hop is read by all later ones
         found = found.unionByName(frontier)
     return found
 
 
+def _step(frontier: DataFrame, found: DataFrame, ways: DataFrame) -> DataFrame:
+    """(seed, node): the new nodes one edge beyond the frontier.
+
+    A seed with one frontier node meets no node twice: while it has found at most FEW nodes, these go along in its row, and the join's
+    rows are neither gathered nor shuffled, however many a node has. The other seeds' are made distinct.
+    """
+    one = frontier.groupBy("seed").count().where("count = 1").select("seed").join(found.groupBy("seed").count().where(F.col("count") <= FEW).select("seed"), "seed")
+    seen = found.join(one, "seed", "left_semi").groupBy("seed").agg(F.collect_list("node").alias("__seen"))
+    plain = frontier.join(seen, "seed").join(ways, "node").where(~F.coalesce(F.array_contains("__seen", F.col("other")), F.lit(False))).select("seed", F.col("other").alias("node"))
+    step = frontier.join(one, "seed", "left_anti").join(ways, "node").select("seed", F.col("other").alias("node")).distinct()
+    return plain.unionByName(step.join(found.select("seed", "node"), ["seed", "node"], "left_anti"))
+
+
 def degree(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy("node").agg(F.countDistinct("id").alias("degree"))
 
