@@ -157,3 +157,35 @@ def test_neighbors_without_distinct(spark, monkeypatch):
         monkeypatch.setattr(G, "FEW", few)
         rows = [tuple(r) for r in G.neighbors(edges, seeds, 3).select("seed", "node", "hop").collect()]
         assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_bm25_by_products(spark, monkeypatch):
+    """Blocks and slices of two, an id that occurs twice, null and empty texts; no row is made for a term of a pair."""
+    import math
+
+    from tideglass.operators import products as P
+    from tideglass.operators import retrieval as R
+
+    monkeypatch.setattr(P, "QUERIES", 2)
+    monkeypatch.setattr(P, "SLICE", 2)
+    texts = [(k, "ab"[k % 2], [f"w{(k * j) % 7}" for j in range(k % 6)]) for k in range(20)] + [(3, "b", ["w1", "w0", "w1"]), (50, "a", None)]
+    queries = {q: [f"w{q}", f"w{(q * 2) % 7}", "w1", "nowhere"] for q in range(5)}
+    chunks = spark.createDataFrame(texts, "chunk_id int, source string, tokens array<string>")
+    asked = spark.createDataFrame(list(queries.items()), "query_id bigint, tokens array<string>")
+    mean = sum(len(t) for *_, t in texts if t is not None) / 21
+    postings = {}
+    for i, _, t in texts:
+        for w in t or ():
+            postings[i, len(t), w] = postings.get((i, len(t), w), 0) + 1
+    df = {w: sum(p[2] == w for p in postings) for *_, w in postings}
+    want = {}
+    for q, terms in queries.items():
+        for (i, n, w), tf in postings.items():
+            if w in terms:
+                want[q, i] = want.get((q, i), 0) + terms.count(w) * math.log(1 + (22 - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean))
+    every = R.bm25(chunks, asked)
+    assert "Join Inner" not in optimized(every)
+    found = {(r["query_id"], r["chunk_id"]): r["score"] for r in every.collect()}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+    few = {(r["query_id"], r["chunk_id"]) for r in R.bm25_best(chunks, asked, 1).collect()}
+    assert few <= want.keys() and all(max((round(v, 6), -i) for (p, i), v in want.items() if p == q)[1] in {-i for p, i in few if p == q} for q in queries)
