@@ -189,3 +189,18 @@ def test_bm25_by_products(spark, monkeypatch):
     assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
     few = {(r["query_id"], r["chunk_id"]) for r in R.bm25_best(chunks, asked, 1).collect()}
     assert few <= want.keys() and all(max((round(v, 6), -i) for (p, i), v in want.items() if p == q)[1] in {-i for p, i in few if p == q} for q in queries)
+
+
+def test_fuzzy_by_products(spark, monkeypatch):
+    from tideglass.operators import lexical as L
+    from tideglass.operators import products as P
+
+    docs = spark.createDataFrame([(k, [f"token{k % 3}", "word", f"x{k}", "word"][: k % 5]) for k in range(12)] + [(4, ["words"])], "id int, tokens array<string>")
+    asked = spark.createDataFrame([(q, ["word", f"token{q}", "token9", "word"]) for q in range(5)] + [(9, [])], "query_id int, tokens array<string>")
+    weights = spark.createDataFrame([(0, "token1", 0.5), (1, "x3", 0.25)], "query_id int, term string, weight double")
+    run = lambda: [sorted((tuple(round(x, 9) for x in r) for r in df.collect())) for df in (L.fuzzy_matches(docs, asked), L.weighted_search({"text": docs}, asked, weights), L.phrases(docs, asked))]
+    whole = run()
+    monkeypatch.setattr(P, "QUERIES", 2)
+    monkeypatch.setattr(P, "SLICE", 2)
+    assert run() == whole and len(whole[0]) == len(whole[1]) > 40
+    assert "Join Inner" not in optimized(L.fuzzy_matches(docs, asked)) and "Join Inner" not in optimized(L.phrases(docs, asked))

@@ -5,16 +5,18 @@ Tokens come as arrays in text order. An edit is an insertion, a deletion, a subs
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideglass.operators.filters import all_terms
+from tideglass.operators import products
 from tideglass.operators.retrieval import B, K1
+from tideglass.operators.rounds import settled
 
 #: The slop of phrases, the share of tokens that must match, the factor of term weights.
 SLOP, MINIMUM_MATCH, BOOST = 3, 0.5, 2.0
@@ -70,7 +72,8 @@ def fuzzy_terms(vocabulary: DataFrame, asked: DataFrame) -> DataFrame:
     Two words within k edits have a common form after at most k deletions in each, in their beginnings too: an
     equi-join on such forms finds all candidates, and the exact distance decides. What is shuffled follows the number of distinct terms.
     """
-    have = vocabulary.where("term <> ''").select("term").distinct()
+    width = int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a small vocabulary has many forms
+    have = vocabulary.where("term <> ''").select("term").repartition(width, "term").distinct()
     want = asked.where("term <> ''").select(F.col("term").alias("asked")).distinct().withColumn("edits", auto_distance(F.col("asked")))
     most = F.when(F.length("term") >= 4, 2).when(F.length("term") >= 2, 1).otherwise(0)
     forms = have.select("term", F.explode(_deletions(F.col("term"), most)).alias("form"))
@@ -85,10 +88,15 @@ def fuzzy_terms(vocabulary: DataFrame, asked: DataFrame) -> DataFrame:
 
 def phrase_distance(tokens: list[str], phrase: list[str], slop: int) -> int | None:
     """The least slop within which tokens hold the phrase: moves of terms, each at a place of its own; None beyond slop."""
-    wanted, at = Counter(phrase), {}
+    wanted, at = set(phrase), {}
     for k, t in enumerate(tokens):
         if t in wanted:
             at.setdefault(t, []).append(k)
+    return _least_slop(at, phrase, slop)
+
+
+def _least_slop(at: dict[str, list[int]], phrase: list[str], slop: int) -> int | None:
+    """phrase_distance by the ascending places of terms."""
     places = [(at.get(t, []), q) for q, t in enumerate(phrase)]
     starts = sorted({p - q for ps, q in places for p in ps})
     for width in range(slop + 1):
@@ -104,39 +112,38 @@ def phrase_distance(tokens: list[str], phrase: list[str], slop: int) -> int | No
     return None
 
 
-def _distances(batches: Iterator[pd.DataFrame], slop: int) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        found = [phrase_distance(list(t), list(p), slop) for t, p in zip(rows["tokens"], rows["phrase"])]
-        yield rows[["query_id", "id"]].assign(distance=pd.array(found, "Int32"))
+def _phrases_found(s: products.Slice, block: products.Block, slop: int):
+    r, q = np.nonzero(products.held(s, block) @ block.times == block.times.sum(axis=0))
+    row, term, place = s.tokens
+    number, found, lengths = {t: k for k, t in enumerate(block.terms.to_pylist())} if len(r) else {}, [], []
+    for i, j in zip(r, q):
+        phrase, own = block.tokens[j], slice(*np.searchsorted(row, [i, i + 1]))
+        at = {t: place[own][term[own] == number[t]].tolist() for t in set(phrase)}
+        found.append(_least_slop(at, phrase, slop))
+        lengths.append(s.lengths[i])
+    kept = np.array([d is not None for d in found], bool)
+    return r[kept], q[kept], [("distance", pa.array([d for d in found if d is not None], pa.int32())), ("length", pa.array(np.array(lengths, np.int32)[kept], pa.int32()))]
+
+
+def _phrases(docs: DataFrame, queries: DataFrame, slop: int) -> DataFrame:
+    """phrases with the length of the document."""
+    asked = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("times"), F.lit(None).cast("double").alias("weight")))
+    whole = queries.where((F.size("tokens") > 0) & ~F.exists("tokens", lambda t: t.isNull())).select("query_id", F.size("tokens").alias("n"), "tokens", asked.alias("asked"))
+    return products.pairs(products.each_alone(docs), whole, None, 0, partial(_phrases_found, slop=slop), "distance int, length int")
 
 
 def phrases(docs: DataFrame, queries: DataFrame, slop: int = SLOP) -> DataFrame:
     """(query_id, id, distance): documents (id, tokens) that hold the tokens of a query (query_id, tokens) as a phrase of at most so much slop.
 
-    Only documents with all terms of the query, found by joins of distinct terms, meet it whole. Queries without tokens find nothing.
+    Queries are a stated set, compared in blocks. Only documents with all terms of a query, found by a product of matrices, are
+    measured, by the places of its terms alone. Queries without tokens find nothing.
     """
-    held = docs.select("id", F.explode(F.array_distinct("tokens")).alias("term"))
-    asked = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    both = all_terms(held.join(asked.select("term").distinct(), "term", "left_semi"), asked, "query_id", "id")
-    rows = both.join(queries.select("query_id", F.col("tokens").alias("phrase")), "query_id").join(docs.select("id", "tokens"), "id")
-    kinds = dict(both.dtypes)
-    return rows.select("query_id", "id", "tokens", "phrase").mapInPandas(partial(_distances, slop=slop), f"query_id {kinds['query_id']}, id {kinds['id']}, distance int").where("distance IS NOT NULL")
+    return _phrases(docs, queries, slop).drop("length")
 
 
 # --- matches and weighted queries ---
 
 
-def _statistics(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings (id, length, term, tf), checkpointed, and one row (n_all, mean_length)."""
-    totals = docs.agg(F.count("*").alias("n_all"), F.avg(F.size("tokens")).alias("mean_length"))
-    postings = docs.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
-    return postings.checkpoint(), totals
-
-
-def _bm25(tf: Column, df: Column, k1: float = K1, b: float = B) -> Column:
-    return _idf(df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-
-
 def _idf(df: Column) -> Column:
     return F.log(1 + (F.col("n_all") - df + 0.5) / (df + 0.5))
 
@@ -145,21 +152,38 @@ def fuzzy_matches(docs: DataFrame, queries: DataFrame, minimum: float = MINIMUM_
     """(query_id, id, matched, score): documents in which at least this share (rounded down, at least one) of a query's tokens match a term within the allowed edits.
 
     A token's part of the score is its best term's BM25, times 1 - edits / the shorter length; a repeated token counts repeatedly.
+    Queries are a stated set, compared in blocks.
     """
-    postings, totals = _statistics(docs)
-    return _fuzzy_matches(postings, totals, queries, minimum)
+    rows, totals = products.texts(docs), _totals(docs)
+    asked = products.asked_by(queries.withColumn("n", F.size("tokens")), ["query_id", "n"])
+    return _fuzzy_matches(rows, totals, products.frequencies(rows), asked, minimum, False).drop("factor")
+
+
+def _totals(docs: DataFrame) -> tuple:
+    """How many documents there are, and their mean length."""
+    return docs.agg(F.count("*"), F.avg(F.size("tokens"))).first()
+
+
+def _fuzzy_found(s: products.Slice, block: products.Block, mean_length: float, minimum: float, every: bool):
+    part = products.parts(s, block, mean_length, K1, B, best=True)
+    matched = (part > 0) @ block.times
+    enough = matched >= np.maximum(np.floor(block.sizes * minimum), 1)
+    present, factor = np.zeros(enough.shape, bool), np.zeros(enough.shape)
+    if not np.isnan(block.weights).all():
+        own = products.held(s, block)
+        present, factor = own @ ~np.isnan(block.weights) > 0, own @ np.nan_to_num(block.weights)
+    r, q = np.nonzero(enough | present if every else enough)
+    score = (part @ block.times)[r, q]
+    return r, q, [("matched", pa.array(matched[r, q].astype(np.int64))), ("score", pa.array(score, mask=~enough[r, q])), ("factor", pa.array(factor[r, q], mask=~present[r, q]))]
 
 
-def _fuzzy_matches(postings: DataFrame, totals: DataFrame, queries: DataFrame, minimum: float) -> DataFrame:
-    asked = queries.select("query_id", F.size("tokens").alias("n"), F.explode("tokens").alias("asked")).groupBy("query_id", "n", "asked").agg(F.count("*").alias("times"))
-    near = fuzzy_terms(postings.select("term"), asked.select(F.col("asked").alias("term")))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+def _fuzzy_matches(rows: DataFrame, totals: tuple, df: DataFrame, asked: DataFrame, minimum: float, every: bool) -> DataFrame:
+    """(query_id, id, matched, score, factor): factor is the sum of the weights of the terms held, null if there is none. every: pairs too few tokens match in, for their factor; their score is null."""
+    near = fuzzy_terms(df, asked.select(F.explode("asked").alias("a")).where("a.times > 0").select("a.term"))
     worth = 1 - F.col("distance") / F.least(F.length("asked"), F.length("term"))
-    weighed = near.join(df, "term").select("asked", "term", "df", worth.alias("worth"))
-    scored = postings.join(weighed, "term").crossJoin(F.broadcast(totals))  # totals is one row
-    best = scored.groupBy("id", "asked").agg(F.max(_bm25(F.col("tf"), F.col("df")) * F.col("worth")).alias("part"))
-    found = best.join(asked, "asked").groupBy("query_id", "id", "n").agg(F.sum("times").alias("matched"), F.sum(F.col("part") * F.col("times")).alias("score"))
-    return found.where(F.col("matched") >= F.greatest(F.floor(F.col("n") * minimum), F.lit(1))).select("query_id", "id", "matched", "score")
+    near = settled(near.join(df, "term").select("asked", "term", "df", worth.alias("worth")))
+    find = partial(_fuzzy_found, mean_length=totals[1], minimum=minimum, every=every)
+    return products.pairs(rows, asked, near, totals[0], find, "matched bigint, score double, factor double")
 
 
 def weighted_search(fields: dict[str, DataFrame], queries: DataFrame, weights: DataFrame, field_weights: dict[str, float] | None = None, slop: int = SLOP, minimum: float = MINIMUM_MATCH, boost: float = BOOST) -> DataFrame:
@@ -169,22 +193,31 @@ def weighted_search(fields: dict[str, DataFrame], queries: DataFrame, weights: D
     BM25 of a term with the sum of the terms' idf and a frequency of 1 / (1 + distance). Both are summed over fields by their weight, then
     multiplied by the sum of weight * field weight * boost over weights (query_id, term, weight) whose term a field holds, or by 1 if it holds none.
     """
-    parts, factors = [], []
+    sized = queries.withColumn("n", F.size("tokens"))
+    plain = products.asked_by(sized, ["query_id", "n"])
+    given = weights.groupBy("query_id").agg(F.collect_list(F.struct("term", F.lit(0).cast("bigint").alias("times"), F.col("weight").cast("double").alias("weight"))).alias("given"))
+    asked = settled(plain.join(given, "query_id", "left").select("query_id", "n", F.concat("asked", F.coalesce("given", F.filter("asked", lambda _: F.lit(False)))).alias("asked")))
+    apart = len(fields) > 1 or minimum > 1  # else all that counts for a pair is in its one row, and phrases are among the matches
+    parts = []
     for name, docs in fields.items():
         weight = (field_weights or {}).get(name, 1.0)
-        postings, totals = _statistics(docs)
-        parts.append(_fuzzy_matches(postings, totals, queries, minimum).select("query_id", "id", (F.col("score") * weight).alias("score")))
-        df = postings.groupBy("term").agg(F.count("*").alias("df"))
-        idf = queries.select("query_id", F.explode("tokens").alias("term")).join(df, "term").crossJoin(F.broadcast(totals)).groupBy("query_id", "mean_length").agg(F.sum(_idf(F.col("df"))).alias("idf"))
-        lengths = docs.select("id", F.size("tokens").alias("length"))
+        rows, totals = products.texts(docs), _totals(docs)
+        df = products.frequencies(rows)
+        found = _fuzzy_matches(rows, totals, df, asked, minimum, apart).select("query_id", "id", (F.col("score") * weight).alias("score"), (F.col("factor") * weight * boost).alias("factor"))
+        of_terms = queries.select("query_id", F.explode("tokens").alias("term")).join(df, "term").withColumn("n_all", F.lit(totals[0]))
+        idf = of_terms.groupBy("query_id").agg(F.sum(_idf(F.col("df"))).alias("idf"))
         often = 1 / (1 + F.col("distance"))
-        score = F.col("idf") * often * (K1 + 1) / (often + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-        parts.append(phrases(docs, queries, slop).join(idf, "query_id").join(lengths, "id").select("query_id", "id", (score * weight).alias("score")))
-        factors.append(weights.select("query_id", "term", "weight").join(postings.select("id", "term"), "term").groupBy("query_id", "id").agg(F.sum(F.col("weight") * weight * boost).alias("factor")))
-    union = lambda all_: all_[0] if len(all_) == 1 else union([all_[0].unionByName(all_[1]), *all_[2:]])
-    base = union(parts).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
-    factor = union(factors).groupBy("query_id", "id").agg(F.sum("factor").alias("factor"))
-    return base.join(factor, ["query_id", "id"], "left").select("query_id", "id", (F.col("score") * F.coalesce("factor", F.lit(1.0))).alias("score"))
+        score = F.col("idf") * often * (K1 + 1) / (often + K1 * (1 - B + B * F.col("length") / F.lit(totals[1])))
+        phrase = _phrases(docs, queries, slop).join(idf, "query_id").select("query_id", "id", (score * weight).alias("score"))
+        if apart:
+            parts += [found, phrase.withColumn("factor", F.lit(None).cast("double"))]
+        else:
+            phrase = settled(phrase.groupBy("query_id", "id").agg(F.sum("score").alias("phrase")))
+            parts.append(found.join(phrase, ["query_id", "id"], "left").select("query_id", "id", (F.col("score") + F.coalesce("phrase", F.lit(0.0))).alias("score"), "factor"))
+    every = reduce(DataFrame.unionByName, parts)
+    if apart:
+        every = every.groupBy("query_id", "id").agg(F.sum("score").alias("score"), F.sum("factor").alias("factor")).where("score IS NOT NULL")
+    return every.select("query_id", "id", (F.col("score") * F.coalesce("factor", F.lit(1.0))).alias("score"))
 
 
 # --- term weights ---
