@@ -204,3 +204,15 @@ def test_fuzzy_by_products(spark, monkeypatch):
     monkeypatch.setattr(P, "SLICE", 2)
     assert run() == whole and len(whole[0]) == len(whole[1]) > 40
     assert "Join Inner" not in optimized(L.fuzzy_matches(docs, asked)) and "Join Inner" not in optimized(L.phrases(docs, asked))
+
+
+def test_calibration_makes_no_pairs(spark, monkeypatch):
+    """200 items like the same 200 anchors: what is walked is items and anchors; small rounds give the walk's rows."""
+    from tideglass.operators import matching as M
+
+    machine = spark.createDataFrame([(k, "ADD", "none", "about #7") for k in range(200)], "item int, change_type string, anchor string, points string")
+    gold = spark.createDataFrame([(k, "ADD", f"a{(k * 37) % 200}", "#7", "verified") for k in range(200)], "place int, change_type string, anchor string, field string, status string")
+    plain, walked = M.first_come, []
+    monkeypatch.setattr(M, "first_come", lambda *given: walked.extend(df.count() for df in given[:-1]) or plain(*given))
+    assert sorted(map(tuple, M.calibration_pairs(machine, gold, 70).collect())) == [(k, f"a{(k * 37) % 200}") for k in range(200)]
+    assert sum(walked) <= 600

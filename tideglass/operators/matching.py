@@ -17,6 +17,8 @@ from tideglass.operators.rounds import settled
 
 #: Length of the grams that substring joins look up.
 GRAM = 3
+#: Fewest items that a round of first_come walks.
+LEAST_ROUND = 10
 
 
 def contains_pairs(texts: DataFrame, needles: DataFrame) -> DataFrame:
@@ -42,49 +44,56 @@ def contains_pairs(texts: DataFrame, needles: DataFrame) -> DataFrame:
     return found.join(texts.select("id", "text"), "id").where(F.contains("text", "needle")).select("id", "needle_id").distinct()
 
 
-def _walk(rows: pd.DataFrame) -> pd.DataFrame:
-    used, found = set(), []
-    rows["preference"] = [tuple(p.values()) if isinstance(p, dict) else tuple(p) if isinstance(p, (tuple, list)) else (p,) for p in rows["preference"]]
-    done = object()
-    for item, _, target in sorted(zip(rows["item"], rows["preference"], rows["target"]), key=lambda r: r[:2]):
-        if item != done and (target is None or target not in used):
-            done = item
-            if target is not None:
-                used.add(target)
-                found.append((item, target))
-    return pd.DataFrame(found, columns=["item", "target"]).astype({"item": rows["item"].dtype})
-
-
-def first_come(edges: DataFrame, most: int = 100_000) -> DataFrame:
-    """(item, target): items in ascending order take, one after another, the target they prefer among those still free.
-
-    edges: item, target (a string), preference (the least is preferred; different for the targets of an item). A null target satisfies its
-    item and is never used up. Connected components of up to `most` edges are walked in a task. In larger ones rounds
-    find what the walk would: an item whose best free target no earlier item can still want takes it; both leave. The
-    earliest item left always does, so the rounds end.
+def _walk(_, items: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+    """Items in order, each with the first free entry of its lists; a list's used entries are passed once."""
+    lists, used, found = {}, set(), []
+    for name, by, place, target in sorted(zip(entries["list"], entries["by"], entries["place"], entries["target"]), key=lambda r: r[:3]):
+        lists.setdefault(name, deque()).append((by, place, target))
+    for item, names in sorted(zip(items["item"], items["lists"]), key=itemgetter(0)):
+        heads = []
+        for name in names:
+            left = lists.get(name, ())
+            while left and left[0][2] in used:
+                left.popleft()
+            if left:
+                heads.append(left[0])
+        target = min(heads, key=lambda h: h[:2])[2] if heads else None
+        if target is not None:
+            used.add(target)
+            found.append((item, target))
+    return pd.DataFrame(found, columns=["item", "target"]).astype({"item": items["item"].dtype})
+
+
+def first_come(items: DataFrame, entries: DataFrame, most: int = 100_000) -> DataFrame:
+    """(item, target): items in ascending order take, one after another, the target they prefer among those still free in their lists.
+
+    items: item, lists (names). entries: list, by, place, target (a string); the least (by, place) is preferred. A null target satisfies its item
+    and is never used up. Items that like the same share lists, so no row is made for an item and a target. A round walks the next
+    `most` items (LEAST_ROUND at least) in a task, with as many free entries of each of their lists; used targets, and items whose lists are empty, leave.
     """
-    edges = edges.groupBy("item", "target").agg(F.min("preference").alias("preference")).checkpoint()
-    node = F.concat(F.lit("i"), F.col("item").cast("string"))
-    # items that only a null target satisfies are no part of any component
-    label = components(edges.where("target IS NOT NULL").select(node.alias("src"), F.concat(F.lit("t"), "target").alias("dst")))
-    labelled = edges.withColumn("node", node).join(label, "node").drop("node").checkpoint()
-    large = labelled.groupBy("component").agg(F.count("*").alias("__n")).where(F.col("__n") > most).select("component").checkpoint()
-    small = labelled.join(large, "component", "left_anti").groupBy("component").applyInPandas(_walk, f"item {dict(edges.dtypes)['item']}, target string")
-    if not large.limit(1).count():
-        return small
-    return small.unionByName(_in_rounds(labelled.join(large, "component", "left_semi").drop("component").checkpoint()))
-
-
-def _in_rounds(edges: DataFrame) -> DataFrame:
-    taken = edges.select("item", "target").limit(0)
-    while edges.limit(1).count():
-        best = edges.groupBy("item").agg(F.min(F.struct("preference", "target")).alias("best")).select("item", "best.target")
-        first = edges.where("target IS NOT NULL").groupBy("target").agg(F.min("item").alias("first"))
-        won = best.join(first, "target", "left").where("target IS NULL OR item = first").select("item", "target")
-        won = settled(won)
+    most = max(most, LEAST_ROUND)
+    entries = settled(entries.groupBy("list", "by", "target").agg(F.min("place").alias("place")))
+    items = settled(items)
+    taken = items.select("item", F.lit(None).cast("string").alias("target")).limit(0)
+    while True:
+        free = entries.select("list").distinct()
+        able = items.select("item", F.explode("lists").alias("list")).join(free, "list", "left_semi").groupBy("item").agg(F.collect_list("list").alias("lists"))
+        able = settled(able)
+        now = settled(able.orderBy("item").limit(most))
+        last, n = now.agg(F.max("item"), F.count("*")).first()
+        if not n:
+            return taken
+        asked = now.select(F.explode("lists").alias("list")).distinct()
+        place = F.row_number().over(Window.partitionBy("list").orderBy("by", "place"))
+        # each item uses up one target at most
+        near = entries.join(asked, "list", "left_semi").withColumn("__n", place).where(F.col("__n") <= n).drop("__n")
+        one = F.lit(0).alias("one")
+        won = settled(now.groupBy(one).cogroup(near.groupBy(one)).applyInPandas(_walk, f"item {dict(items.dtypes)['item']}, target string"))
         taken = taken.unionByName(won)
-        edges = settled(edges.join(won.select("item"), "item", "left_anti").join(won.select("target").where("target IS NOT NULL"), "target", "left_anti"))
-    return taken.where("target IS NOT NULL")
+        if n < most:
+            return taken
+        items = able.where(F.col("item") > F.lit(last))
+        entries = settled(entries.join(won.select("target"), "target", "left_anti"))
 
 
 def calibration_pairs(machine: DataFrame, gold: DataFrame, most: int = 100_000) -> DataFrame:
@@ -97,13 +106,18 @@ def calibration_pairs(machine: DataFrame, gold: DataFrame, most: int = 100_000)
     """
     real = machine.where("change_type <> 'UNCHANGED'").select("item", "change_type", F.coalesce("anchor", F.lit("")).alias("own"), F.concat_ws(" ", F.coalesce("anchor", F.lit("")), F.coalesce("points", F.lit(""))).alias("text"))
     rows = eligible(gold).select("place", "change_type", F.coalesce("anchor", F.lit("")).alias("anchor"), F.when(F.coalesce("field", F.lit("")) != "", F.col("field")).otherwise(F.coalesce("anchor", F.lit(""))).alias("label"))
-    keyed = real.join(rows, (F.trim("own") == F.trim("anchor")) & (real["change_type"] == rows["change_type"])).select("item", "anchor", F.struct(F.lit(0).alias("by"), "place").alias("preference"))
+    name = lambda by, label: F.to_json(F.struct(F.lit(by).alias("by"), "change_type", label.alias("label")))
+    kinds = real.select("change_type", "own", "text").distinct()
+    anchors = rows.select("change_type", F.trim("anchor").alias("label")).distinct()
+    keyed = kinds.withColumn("label", F.trim("own")).join(anchors, ["change_type", "label"]).select("change_type", "own", "text", name(0, F.col("label")).alias("list"))
     labels = rows.select("change_type", "label").distinct().withColumn("needle_id", F.struct("change_type", "label"))
-    near = contains_pairs(real.select(F.struct("item", "change_type").alias("id"), "text"), labels.select("needle_id", F.col("label").alias("needle")))
-    near = near.where("id.change_type = needle_id.change_type").select("id.item", "needle_id.change_type", "needle_id.label")
-    named = near.join(rows, ["change_type", "label"]).select("item", "anchor", F.struct(F.lit(1).alias("by"), "place").alias("preference"))
-    edges = keyed.unionByName(named).select("item", F.when(F.col("anchor") != "", F.col("anchor")).alias("target"), "preference")
-    return first_come(edges, most).select("item", F.col("target").alias("anchor"))
+    near = contains_pairs(kinds.select(F.struct("change_type", "text").alias("id"), "text").distinct(), labels.select("needle_id", F.col("label").alias("needle")))
+    near = near.where("id.change_type = needle_id.change_type").select("id.change_type", "id.text", "needle_id.label")
+    named = kinds.join(near, ["change_type", "text"]).select("change_type", "own", "text", name(1, F.col("label")).alias("list"))
+    of_kind = keyed.unionByName(named).groupBy("change_type", "own", "text").agg(F.collect_list("list").alias("lists"))
+    items = real.join(of_kind, ["change_type", "own", "text"]).groupBy("item").agg(F.array_distinct(F.flatten(F.collect_list("lists"))).alias("lists"))
+    entry = lambda by, label: rows.select(name(by, label).alias("list"), F.lit(by).alias("by"), "place", F.when(F.col("anchor") != "", F.col("anchor")).alias("target"))
+    return first_come(items, entry(0, F.trim("anchor")).unionByName(entry(1, F.col("label"))), most).select("item", F.col("target").alias("anchor"))
 
 
 def eligible(gold: DataFrame) -> DataFrame:
