@@ -216,3 +216,9 @@ def test_calibration_makes_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(M, "first_come", lambda *given: walked.extend(df.count() for df in given[:-1]) or plain(*given))
     assert sorted(map(tuple, M.calibration_pairs(machine, gold, 70).collect())) == [(k, f"a{(k * 37) % 200}") for k in range(200)]
     assert sum(walked) <= 600
+
+
+def test_conflicts_repeat_no_expression(spark, sf_dir):
+    from tideglass.plans import knowledge
+
+    assert optimized(knowledge.conflict_resolve(spark, sf_dir)).count("CASE") < 12  # 21 when they were written out in each other
