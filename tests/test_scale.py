@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from tideglass.operators import filters as X
 
 
@@ -222,3 +224,16 @@ def test_conflicts_repeat_no_expression(spark, sf_dir):
     from tideglass.plans import knowledge
 
     assert optimized(knowledge.conflict_resolve(spark, sf_dir)).count("CASE") < 12  # 21 when they were written out in each other
+
+
+def test_upsert_relations_holds_keys_once(spark):
+    """Stated, new, repeated and ended claims, keys with nulls, other columns: one aggregation, no join of distinct rows."""
+    from tideglass.operators import graph as G
+
+    edges = spark.createDataFrame([("a", "b", "r", "x", 1, None), ("a", "c", "r", "x", 2, 9), ("a", None, "r", "x", 3, None), ("d", "e", "r", "x", 4, None), ("d", "e", "r", "x", 5, None)], "src string, dst string, rel_type string, claim string, id int, invalid_at int")
+    given = [("a", "b", "r", "x", 10), ("a", "b", "r", "y", 11), ("a", "c", "r", "x", 12), ("a", None, "r", "x", 13), ("a", None, "r", "x", 13), ("d", "e", "r", "x", 14), ("f", "g", "r", None, 15), ("f", "g", "r", None, 15)]
+    incoming = spark.createDataFrame(given, "src string, dst string, rel_type string, claim string, id int").withColumn("note", F.concat(F.lit("n"), "id"))
+    found = G.upsert_relations(edges, incoming)
+    assert "Join" not in optimized(found) and found.columns == [*edges.columns, "note"]
+    rows = {(r["src"], r["dst"], r["claim"], r["id"], r["note"]) for r in found.where("note is not null").collect()}
+    assert rows == {("a", "b", "y", 11, "n11"), ("a", "c", "x", 12, "n12"), ("a", None, "x", 13, "n13"), ("f", "g", None, 15, "n15")} and found.count() == 9

@@ -39,10 +39,17 @@ def upsert_entities(nodes: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def upsert_relations(edges: DataFrame, incoming: DataFrame) -> DataFrame:
-    """edges with those of incoming (src, dst, rel_type, claim ...) that no current edge states; a new claim is a new row."""
+    """edges with those of incoming (src, dst, rel_type, claim ...) that no current edge states; a new claim is a new row.
+
+    Current edges and incoming rows are grouped together, so that a key is held once: not in a map of distinct
+    rows and in the sorted rows of an anti-join. A key with a null in it is stated by no edge.
+    """
     key = ["src", "dst", "rel_type", "claim"]
-    current = edges.where("invalid_at is null").select(*key)
-    new = incoming.dropDuplicates(key).join(current, key, "left_anti")
+    whole = " and ".join(f"{k} is not null" for k in key)
+    stated = edges.where(f"invalid_at is null and {whole}").select(*key, F.lit(True).alias("__stated"))
+    rest = [F.first(c).alias(c) for c in incoming.columns if c not in key]
+    rows = incoming.unionByName(stated, allowMissingColumns=True).groupBy(*key).agg(F.max("__stated").alias("__stated"), *rest)
+    new = rows.where("__stated is null").select(*incoming.columns)
     return edges.unionByName(new, allowMissingColumns=True)
 
 
