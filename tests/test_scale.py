@@ -44,6 +44,19 @@ def test_weighted_cosine_compares_sets(spark):
     assert len(rows) == 120 and abs(rows[0, 28] - 1) < 1e-9 and 0 < rows[0, 1] == rows[2, 29] < 1
 
 
+def test_weighted_cosine_spreads_pairs(spark, monkeypatch):
+    """A large class and many small ones: tasks grow with the lists of ids, and no pair of ids is shuffled or in two of them."""
+    from tideglass.operators import knowledge as K
+
+    monkeypatch.setattr(K, "LIST", 8, raising=False)
+    monkeypatch.setattr(K, "TOGETHER", 4, raising=False)
+    rows = spark.createDataFrame([(k, t) for k in range(140) for t in (["a"] if k < 100 else ["a", f"x{k}"])], "id int, token string")
+    found = K.weighted_cosine(rows, rows, K.idf(rows, "id"))
+    assert 10 <= found.rdd.getNumPartitions() <= 14
+    pairs = {(r["left_id"], r["right_id"]): r["similarity"] for r in found.collect()}
+    assert len(pairs) == found.count() == 140**2 and abs(pairs[3, 99] - 1) < 1e-9 and pairs[0, 120] == pairs[139, 5] > pairs[120, 121] > 0
+
+
 def test_near_copies_by_tiles(spark, monkeypatch):
     from tideglass.operators import clustering as C
 
