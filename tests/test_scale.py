@@ -57,6 +57,15 @@ def test_weighted_cosine_spreads_pairs(spark, monkeypatch):
     assert len(pairs) == found.count() == 140**2 and abs(pairs[3, 99] - 1) < 1e-9 and pairs[0, 120] == pairs[139, 5] > pairs[120, 121] > 0
 
 
+def test_idf_cosine_compares_all(spark, sf_dir):
+    """Every part is on either side: as many pairs as share a token, each of them both ways."""
+    from tideglass.plans import knowledge
+
+    sets = {r["p_partkey"]: {*r["p_name"].split(" "), r["p_brand"], r["p_type"]} for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect()}
+    rows = {(r["left_id"], r["right_id"]) for r in knowledge.idf_cosine(spark, sf_dir).collect()}
+    assert rows == {(a, b) for a in sets for b in sets if a != b and sets[a] & sets[b]} and {a for a, _ in rows} == set(sets)
+
+
 def test_near_copies_by_tiles(spark, monkeypatch):
     from tideglass.operators import clustering as C
 
